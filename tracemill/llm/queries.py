@@ -6,17 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import simhash
+from tracemill.llm import html, neighbours, packing, sharding, simhash
 from tracemill.storage import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, x -> x * x), (a, b) -> a + b)) AS l FROM v
+      WHERE len(list_filter(e, x -> x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_reduce(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2]), (a, b) -> a + b) / (q.l * c.l) AS score
+      FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash}
+    return {
+        "op1_html": op1_html,
+        "op3_sharding": op3_sharding,
+        "op4_simhash": op4_simhash,
+        "op8_neighbours": op8_neighbours,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_neighbours": OP8_SQL}
