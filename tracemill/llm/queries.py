@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import html, neighbours, packing, sharding, simhash
+from tracemill.llm import html, mixing, neighbours, packing, quality, sharding, simhash
 from tracemill.storage import table
 
 
@@ -28,10 +28,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,7 +62,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html": op1_html,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
+        "op6_mixing": op6_mixing,
         "op8_neighbours": op8_neighbours,
+        "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
 
