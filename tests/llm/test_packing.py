@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tracemill.llm import packing, wordids
-from tracemill.llm.queries import tokenizer_path
+from corpus_pipeline import tokenizer_path
 
 ODD = ["it's we'll a_b 12 x3y ÉCOLE straße <|endoftext|> a.b,c x́y İ ΣΑΣ ΟΔΟΣ, 中文字 ½ x² ٣ don't!? \x1c z", "", " \n", "A" * 500, "’s naïve—dash “q”"]
 

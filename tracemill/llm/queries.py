@@ -6,14 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import html, mixing, neighbours, packing, quality, sharding, simhash
-from tracemill.storage import table
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
+import corpus_pipeline
 
-    return public_tokenizers.path("word_bpe_49k.json")
+from tracemill.llm import html, language, mixing, neighbours, packing, quality, sharding, simhash
+from tracemill.storage import table
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +24,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -41,7 +41,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
 OP8_SQL = """
@@ -62,10 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html": op1_html,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
+        "op5_language": op5_language,
         "op6_mixing": op6_mixing,
         "op8_neighbours": op8_neighbours,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

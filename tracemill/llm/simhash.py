@@ -197,18 +197,39 @@ def links(distinct: DataFrame) -> DataFrame:
     return placed.mapInPandas(run, "src long, dst long").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, least, root) of each fingerprint; a component shares one root."""
     prints = written(fingerprints(docs))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(distinct))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    found = connected_components(written(links(distinct)))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return prints, rooted.select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs."""
+    prints, rooted = _rooted(docs)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits and the smallest doc_id of the component."""
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return components(docs).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """docs' rows, one of each component: that of the smallest doc_id (nulls last, then by fingerprint)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series(np.fromiter((fingerprint(t) for t in b), dtype="<u8", count=len(b)).view("<i8"))
+
+    prints, of_print = _rooted(docs)
+    first = prints.join(of_print, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
+    chosen = first.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("first.fp").alias("_fp"))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key, F.pandas_udf(run, "long")("text").alias("_fp"))
+    return rows.join(chosen, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("_row.*")
