@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tracemill.llm import html, language, mixing, neighbours, packing, quality, sharding, simhash
+from tracemill.llm import html, language, mixing, neighbours, packing, pitman_yor, quality, sharding, simhash
 from tracemill.storage import table
 
 
@@ -32,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_language": op5_language,
         "op6_mixing": op6_mixing,
+        "op7_pitman_yor": op7_pitman_yor,
         "op8_neighbours": op8_neighbours,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
