@@ -1 +1,4 @@
-"""See the modules of this package."""
+"""Plans of all registered queries."""
+
+from tracemill.plans import corpora, traces  # noqa: F401
+from tracemill.plans.registry import PLANS, TWINS  # noqa: F401
