@@ -46,3 +46,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def depths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """(id, depth): longest chain of inputs below each node of a DAG; edges (src, dst): src reads dst.
+
+    Levels are found in turn and checkpointed: a node's depth is final once all its inputs have theirs.
+    """
+    done = checkpointed(nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("depth")))
+    left = checkpointed(edges.distinct())
+    for level in range(1, most + 1):
+        if left.isEmpty():
+            return done
+        known = left.join(done.withColumnRenamed("id", "dst"), "dst", "left")
+        ready = known.groupBy("src").agg(F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select(F.col("src").alias("id"), F.lit(level).alias("depth"))
+        ready = checkpointed(ready)
+        if ready.isEmpty():
+            raise ValueError("the graph has a cycle or an input that isn't a node")
+        done = checkpointed(done.unionByName(ready))
+        left = checkpointed(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+    raise ValueError(f"deeper than {most}")
