@@ -66,3 +66,19 @@ def depths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
         done = checkpointed(done.unionByName(ready))
         left = checkpointed(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
     raise ValueError(f"deeper than {most}")
+
+
+def merkle(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """(id, signature): SHA-256 of each node's name and its inputs' signatures in sorted order, bottom up.
+
+    nodes: (id, name). Equal signatures mean equal subtrees, whatever the nodes' ids.
+    """
+    level = depths(nodes.select("id"), edges, most)
+    deepest = level.agg(F.max("depth")).first()[0] or 0
+    placed = checkpointed(nodes.join(level, "id"))
+    done = placed.where("depth = 0").select("id", F.sha2("name", 256).alias("signature"))
+    for k in range(1, deepest + 1):
+        inputs = placed.where(F.col("depth") == k).join(edges.distinct().withColumnRenamed("src", "id"), "id").join(done.withColumnRenamed("id", "dst"), "dst")
+        below = inputs.groupBy("id").agg(F.first("name").alias("name"), F.array_join(F.sort_array(F.collect_list("signature")), "").alias("below"))
+        done = checkpointed(done.unionByName(below.select("id", F.sha2(F.concat("name", "below"), 256).alias("signature"))))
+    return done

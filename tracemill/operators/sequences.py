@@ -137,3 +137,23 @@ def windows_of(rows: pd.DataFrame, budget: int, fill: float = 0.92, history: flo
         out.append((rows["workflow"].iloc[0], start, end, kept, omitted, total))
         start = end
     return pd.DataFrame(out, columns=["workflow", "first_step", "end_step", "history", "omitted", "tokens"])
+
+
+def joined_typing(rows: pd.DataFrame, per_char: float = 0.75) -> pd.DataFrame:
+    """Typed texts of one stream that a span boundary cut: a text goes on in the next row if it starts within
+    `per_char` seconds a character of the text so far; chains join to the left, emptied rows go."""
+    out: list[list] = []
+    for r in rows.itertuples(index=False):
+        last = out[-1] if out else None
+        if last and last[3] == "type_text" and r.kind == "type_text" and 0 <= r.t - last[2] <= per_char * len(last[4]):
+            last[4] += r.text
+        else:
+            out.append([r.workflow, r.segment, r.t, r.kind, r.text])
+    return pd.DataFrame(out, columns=["workflow", "segment", "t", "kind", "text"])
+
+
+def priority_pick(d: DataFrame, by: list[str], item: str, order: str, priority: Column, most: int) -> DataFrame:
+    """Distinct items of each key, the latest occurrence's order and the highest priority, best `most` first."""
+    each = d.withColumn("_p", priority).groupBy(*by, item).agg(F.max("_p").alias("priority"), F.max(order).alias(order))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("priority"), F.desc(order)))
+    return each.withColumn("rank", rank).where(F.col("rank") <= most)

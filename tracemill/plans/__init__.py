@@ -1,4 +1,4 @@
 """Plans of all registered queries."""
 
-from tracemill.plans import corpora, policy, streams, traces  # noqa: F401
+from tracemill.plans import corpora, policy, records, streams, traces  # noqa: F401
 from tracemill.plans.registry import PLANS, TWINS  # noqa: F401
