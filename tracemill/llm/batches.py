@@ -6,8 +6,15 @@ from pyspark.sql import SparkSession
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 ROWS_PER_BATCH = 256
+#: Rows of a batch of words or numbers.
+SHORT_ROWS_PER_BATCH = 20_000
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker: a batch holds few documents, whatever their length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def large_batches(spark: SparkSession) -> None:
+    """For rows that are short whatever the documents are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHORT_ROWS_PER_BATCH))

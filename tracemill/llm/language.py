@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tracemill.llm.batches import small_batches
 
@@ -182,12 +181,14 @@ class Reader:
 def training_words(docs: DataFrame) -> dict[str, list[bytes]]:
     """Words of a sample of the labelled documents outside the held-out fold, by language.
 
-    The sample is the SAMPLE_DOCS documents of each language that come first by a hash of their id, and
-    SAMPLE_WORDS words spread over each; only ids are ranked, and only the sample reaches the driver.
+    A hash of the id deals the documents of each language into SAMPLE_DOCS parts; the sample is the first of
+    each part by the hash, and SAMPLE_WORDS words spread over each. Only ids are compared, by a minimum that is
+    taken before the shuffle, and only the sample reaches the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).select("doc_id", "lang", "text")
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    h = F.xxhash64("doc_id")
+    part = F.pmod(h, F.lit(SAMPLE_DOCS)).alias("part")
+    first = usable.groupBy("lang", part).agg(F.min(F.struct(h.alias("h"), "doc_id"))["doc_id"].alias("doc_id"))
     common = [r["lang"] for r in first.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     chosen = first.where(F.col("lang").isin(common)).select("doc_id", "lang")  # SAMPLE_DOCS * LANGUAGES ids at most
     words = F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")
@@ -213,7 +214,8 @@ def languages(docs: DataFrame, *more: str) -> DataFrame:
             found = [(UNKNOWN, 0.0) if p is None else (names[int(p.argmax())], min(1.0, float(p.max()))) for p in (reader.texts(list(b)) if names else [None] * len(b))]
             yield pd.DataFrame(found, columns=["lang", "score"])
 
-    predict = F.pandas_udf(run, "lang string, score double")
+    # so marked, it runs once a row: filters on its result aren't pushed below it
+    predict = F.pandas_udf(run, "lang string, score double").asNondeterministic()
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
     found = docs.select(*more, held.alias("held_out"), predict("text").alias("_found"))
     return found.select(*more, "held_out", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))

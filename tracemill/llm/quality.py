@@ -217,8 +217,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with docs' columns; texts aren't shuffled."""
     names = docs.columns
-    slim = written(_measured(docs).select("lang", "source", "_q.base_failed", *(f"x{i}" for i in DIMS)).where(~F.col("base_failed")))
-    found = estimates(slim)
+    # filtered after it is written: a filter would be pushed below the counts and repeat them
+    slim = written(_measured(docs).select("lang", "source", "_q.base_failed", *(f"x{i}" for i in DIMS)))
+    found = estimates(slim.where(~F.col("base_failed")))
     again = counted(docs.select(F.struct(*names).alias("_row"), "lang", "source", "text"))
-    rows = again.withColumns({f"x{i}": s for i, s in enumerate(statistics())} | {"base_failed": F.col("_q.base_failed")})
+    # exploding one struct keeps what is above from being merged into the counts, which would repeat them
+    x = F.struct(F.col("_q.base_failed").alias("base_failed"), *(s.alias(f"x{i}") for i, s in enumerate(statistics())))
+    rows = again.select("_row", "lang", "source", F.explode(F.array(x)).alias("_x")).select("_row", "lang", "source", "_x.*")
     return judged(rows, found).where("kept").select("_row.*")

@@ -231,5 +231,5 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     first = prints.join(of_print, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
     chosen = first.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("first.fp").alias("_fp"))
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key, F.pandas_udf(run, "long")("text").alias("_fp"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key, F.pandas_udf(run, "long").asNondeterministic()("text").alias("_fp"))
     return rows.join(chosen, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("_row.*")
