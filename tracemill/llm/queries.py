@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from tracemill.llm import html, language, mixing, neighbours, packing, pitman_yor, quality, sharding, simhash
+from tracemill.llm import html, language, licenses, mixing, neighbours, packing, pitman_yor, quality, sharding, simhash
 from tracemill.storage import table
 
 
@@ -16,6 +16,10 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
+        "op2_licenses": op2_licenses,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
         "op5_language": op5_language,
