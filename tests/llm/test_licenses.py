@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tracemill.llm import licenses
+from tracemill.llm import licenses, queries
 
 INDEX = licenses.indexes(licenses.TEMPLATES)[0]
 FILL = "stone river walked under the old bridge and sang of many small boats".split()
@@ -85,3 +85,15 @@ def test_whole_table_has_every_line(spark):
     for name in ("apache-2.0-line", "mit-line", "gpl-3.0-line", "cc-by-nc-4.0-line"):
         want = {r[0] for r in docs.where(docs["text"].contains(licenses.TEMPLATES[name])).select("doc_id").collect()}
         assert want and want <= {i for i, n in got if n == name}
+
+
+def test_registered_library_finds_whole_texts_and_notices(spark, tmp_path):
+    rng = random.Random(4)
+    library = licenses.library()
+    names = sorted(library)
+    for wanted in ("bsd-3-clause-text", "lgpl-2.1-notice", "agpl-3.0-notice", "gpl-2.0-text", "cc-by-4.0-notice", "cc-by-sa-4.0-text", "cc0-1.0-text", "unlicense-text", "bsl-1.0-text", "isc-text"):
+        assert wanted in library
+    rows = [(i, f"{prose(rng, 40)}\n{library[name]}\n{prose(rng, 40)}") for i, name in enumerate(names)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["license"], r["coverage"]) for r in queries.op2_licenses(spark, str(tmp_path)).collect()}
+    assert {(i, name, 1.0) for i, name in enumerate(names)} <= got

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ MAX_POSTINGS = 1_000_000
 MATCH, MISS = 2, 1
 WORD = re.compile(r"[^\W_]+")
 
-#: Notices by which licences are granted or named, as their publishers word them.
+#: Notices by which licences are granted or named; the four lines are worded as in the supplied documents.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "mit-line": "Released under the MIT License.",
@@ -71,6 +72,13 @@ TEMPLATES = {
 }
 
 
+def library() -> dict[str, str]:
+    """TEMPLATES, and the notices and whole licence texts of license_texts: NAME-notice and NAME-text."""
+    files = sorted((f for f in resources.files("tracemill.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    names = [f.name.removesuffix(".txt") for f in files]
+    return TEMPLATES | {name if name.endswith("-notice") else f"{name}-text": f.read_text("utf-8") for name, f in zip(names, files, strict=True)}
+
+
 def words_of(text: str | None) -> tuple[list[str], np.ndarray]:
     """The words, and the (start, end) of each in the text in code points."""
     found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text or "")]
@@ -141,13 +149,24 @@ class Index:
             yield int(which[a]), int(diagonal[a]), int(diagonal[b - 1])
 
 
+def _may_match(template: np.ndarray, text: np.ndarray, low: int, high: int, enough: int) -> bool:
+    """Whether enough of the template's words have an equal word of the text on diagonals low to high."""
+    if np.isin(template, text[max(0, low) : high + len(template)]).sum() < enough:
+        return False
+    met = np.zeros(len(template), bool)
+    for d in range(max(low, 1 - len(template)), min(high, len(text) - 1) + 1):
+        a, b = max(0, -d), min(len(template), len(text) - d)
+        met[a:b] |= template[a:b] == text[a + d : b + d]
+    return int(met.sum()) >= enough
+
+
 def aligned(template: np.ndarray, text: np.ndarray, least: int, most: int, coverage: float) -> list[tuple[int, int, int]]:
     """(first word, word after the last, matched words) of alignments in the band of diagonals least - BAND to
     most + BAND that match that share of the template and of what they span; best first, none overlapping a better one."""
     enough = int(np.ceil(coverage * len(template) - 1e-9))
     low, high = least - BAND, most + BAND
     from_word, to_word = max(0, low), min(len(text), high + len(template))
-    if np.isin(template, text[from_word:to_word]).sum() < enough:
+    if to_word - from_word < enough or not _may_match(template, text, low, high, enough):
         return []
     wide = high - low + 1
     at = np.arange(wide)

@@ -17,7 +17,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scanned(table(spark, sf_dir, "documents"))
+    return licenses.scanned(table(spark, sf_dir, "documents"), licenses.library())
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
