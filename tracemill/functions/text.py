@@ -39,10 +39,20 @@ def last_error(log: Column) -> Column:
     return F.element_at(F.filter(F.split(log, "\n"), lambda x: x.rlike("(Error|Exception)")), -1)
 
 
+def folded(text: Column) -> Column:
+    """Lower case; typographic quotes, dashes and diameter signs as plain characters; white space collapsed."""
+    plain = F.translate(F.lower(text), "\u2019\u2018\u201c\u201d\u2013\u2014\u00f8\u2300", "''\"\"--oo")
+    return F.trim(F.regexp_replace(plain, "(?U)[\\s\\x1c-\\x1f]+", " "))
+
+
+def bare(text: Column) -> Column:
+    """Folded text without white space."""
+    return F.replace(folded(text), F.lit(" "), F.lit(""))
+
+
 def quoted(needle: Column, page: Column) -> Column:
-    """Whether a page holds a quote of six characters or more, whatever the case and the white space."""
-    bare = lambda t: F.lower(F.regexp_replace(t, "\\s+", ""))
-    return (F.char_length(bare(needle)) >= 6) & F.contains(bare(page), bare(needle))
+    """Whether a page holds a quote of six characters or more, whatever the case, the white space and the typography."""
+    return (F.char_length(folded(needle)) >= 6) & F.contains(bare(page), bare(needle))
 
 
 def masked(secret: Column, shown: int = 4) -> Column:

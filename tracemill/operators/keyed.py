@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.functions import text as T
+
 
 def latest(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by one pre-aggregated max."""
@@ -55,3 +57,25 @@ def ranked_matches(queries: DataFrame, texts: DataFrame, query_id: str, text_id:
     shared = q.join(d, "token").groupBy(query_id, text_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("shared"), text_id))
     return shared.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of items (item_id, text) that docs (doc_id, text) hold verbatim as T.quoted says.
+
+    A quote's opening, some characters without white space, finds the pages to compare: 24 of them, or four
+    (no quote has fewer) for a quote under 24. Pages are cut at every character, so no opening is missed.
+    """
+    q = items.select("item_id", F.col("text").alias("quote"), T.bare(F.col("text")).alias("b")).where(F.char_length(T.folded(F.col("text"))) >= 6)
+    pages, pairs = docs.select("doc_id", T.bare(F.col("text")).alias("b")), None
+    for size, some in ((24, q.where(F.char_length("b") >= 24)), (4, q.where(F.char_length("b") < 24))):
+        if not (n := some.count()):
+            continue
+        openings = some.select("item_id", F.left("b", F.lit(size)).alias("g"))
+        cuts = F.regexp_extract_all("b", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        grams = pages.select("doc_id", F.explode(cuts).alias("g"))
+        found = grams.join(F.broadcast(openings) if n < 100_000 else openings, "g").select("item_id", "doc_id")
+        pairs = found if pairs is None else pairs.union(found)
+    if pairs is None:
+        return items.crossJoin(docs.select("doc_id")).select("item_id", "doc_id").where("false")
+    texts = docs.select("doc_id", "text")
+    return pairs.distinct().join(q.select("item_id", "quote"), "item_id").join(texts, "doc_id").where(T.quoted(F.col("quote"), F.col("text"))).select("item_id", "doc_id")

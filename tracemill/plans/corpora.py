@@ -187,15 +187,8 @@ def txt_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_quotes", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = 'en' AND contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g')))")
 def txt_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-25, FLT-15/16: quotes held verbatim; a quote's three-word openings find the pages to compare."""
-    gram = lambda t, all_: F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 3, F.lit(0)) if all_ else F.lit(0)), lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(3))))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n\\r\\x0b\\x0c]+"), F.lit(0))
-    # the first and last words of a quote may be parts of words on the page: words two to four are whole
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.slice(words, 2, 3).alias("w")).select("item_id", "quote", F.explode(gram(F.col("w"), False)).alias("g"))
-    d = _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(gram(F.col("w"), True))).alias("g"))
-    pairs = d.join(F.broadcast(q.select("item_id", "g")) if q.count() < 100_000 else q.select("item_id", "g"), "g").select("item_id", "doc_id").distinct()
-    texts = _docs(spark, sf_dir).select("doc_id", "text")
-    return pairs.join(q.select("item_id", "quote"), "item_id").join(texts, "doc_id").where(T.quoted(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    """TXT-25, FLT-15/16: quotes held verbatim in English documents."""
+    return keyed.quotes(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir).where("lang = 'en'"))
 
 
 @query("seq_dialogue_context", """WITH u AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
