@@ -58,10 +58,10 @@ def test_round_robin(spark):
 
 def test_scroll_fold_and_windows(spark):
     d = spark.createDataFrame([("w", t / 10, i, float(x)) for i, (t, x) in enumerate([(0, 4), (1, 4), (2, 4), (3, -1), (9, -1)])], "workflow string, t double, line_no long, delta double")
-    got = sequences.fold(d, ["workflow"], ["t"], sequences.scroll_runs, "workflow string, t double, end_t double, delta double, n long").orderBy("t").collect()
+    got = sequences.fold(d, ["workflow"], ["t"], sequences.ScrollRuns, "workflow string, t double, end_t double, delta double, n long").orderBy("t").collect()
     assert [(r["delta"], r["n"]) for r in got] == [(8.0, 2), (4.0, 1), (-1.0, 1), (-1.0, 1)]
     steps = spark.createDataFrame([("w", i, 900, 10) for i in range(30)], "workflow string, i int, cost long, log_cost long")
-    w = sequences.fold(steps, ["workflow"], ["i"], lambda r: sequences.windows_of(r, 4000), "workflow string, first_step long, end_step long, history long, omitted long, tokens long").orderBy("first_step").collect()
+    w = sequences.fold(steps, ["workflow"], ["i"], lambda: sequences.Windows(4000, header=600), "workflow string, first_step long, end_step long, history long, omitted long, tokens long").orderBy("first_step").collect()
     assert w[0]["first_step"] == 0 and w[-1]["end_step"] == 30 and all(a["end_step"] == b["first_step"] for a, b in zip(w, w[1:]))
     assert all(r["history"] + r["omitted"] == r["first_step"] and r["tokens"] <= 4000 for r in w)
 
@@ -91,13 +91,47 @@ def test_statistics(spark):
 
 def test_completions_validate(spark):
     good = '{"actions":[{"type":"click","x":500,"y":250,"button":"left"}]}'
-    bad = ["nope", "```json\n{}```", '{"actions":[]}', good[:-1] + ',"more":1}', good.replace("500", "1000"), good.replace("500", "1.5"), good.replace("500", "true"), good.replace(',"button":"left"', ""), good.replace('"left"', '"left","modifiers":["hyper"]'), '{"actions":[{"type":"type_text","text":""}]}', '{"actions":[{"type":"scroll","x":1,"y":1,"dx":0,"dy":0}]}', '{"actions":[{"type":"scroll","x":1,"y":1,"dx":11,"dy":0}]}', '{"actions":[{"type":"dance"}]}', good.replace('"left"', '"left","clicks":4')]
-    fine = [good, good.replace('"left"', '"left","clicks":2,"modifiers":["ctrl"]'), '{"actions":[{"type":"scroll","x":1,"y":1,"dx":0,"dy":-3},{"type":"key","key":"Enter"}]}']
+    bad = ["nope", "```json\n{}```", '{"actions":[]}', good[:-1] + ',"more":1}', good.replace("500", "1000"), good.replace("500", "1.5"), good.replace("500", "true"), good.replace(',"button":"left"', ""), good.replace('"left"', '"left","modifiers":["hyper"]'), '{"actions":[{"type":"type_text","text":""}]}', '{"actions":[{"type":"scroll","x":1,"y":1,"delta_x":0,"delta_y":0}]}', '{"actions":[{"type":"scroll","x":1,"y":1,"delta_x":11,"delta_y":0}]}', '{"actions":[{"type":"dance"}]}', good.replace('"left"', '"left","clicks":4'), '{"actions":[{"type":"key","key":"Enter"}]}', '{"actions":[{"type":"scroll","x":1,"y":1,"dx":0,"dy":-3}]}']
+    fine = [good, good.replace('"left"', '"left","clicks":2,"modifiers":["ctrl"]'), '{"actions":[{"type":"scroll","x":1,"y":1,"delta_x":0,"delta_y":-3},{"type":"key","key":"Enter","modifiers":[]}]}']
     d = spark.createDataFrame([(i, t) for i, t in enumerate(fine + bad)], "i int, t string")
     got = {r["i"]: r["e"] for r in d.select("i", A.errors(F.col("t")).alias("e")).collect()}
     assert [i for i, e in got.items() if not e] == list(range(len(fine))), got
 
 
+def test_targets_of_neutral_actions(spark):
+    """Expected objects are the contract's own examples."""
+    schema = "i int, a struct<type:string,x:double,y:double,end_x:double,end_y:double,button:string,delta_x:double,delta_y:double,text:string,key_code:int,modifiers:int,clicks:int,dt:double>"
+    names = "type x y end_x end_y button delta_x delta_y text key_code modifiers clicks dt".split()
+    cases = [
+        (dict(type="click", x=0.5, y=0.5), '{"type":"click","x":500,"y":500,"button":"left"}'),
+        (dict(type="drag", x=0.1, y=0.1, end_x=0.2, end_y=0.3, button="left"), '{"type":"drag","x":100,"y":100,"end_x":200,"end_y":300,"button":"left"}'),
+        (dict(type="scroll", x=0.5, y=0.5, delta_x=0.0, delta_y=-2.0), '{"type":"scroll","x":500,"y":500,"delta_x":0,"delta_y":-2}'),
+        (dict(type="key", key_code=90, text="\x1a", modifiers=2), '{"type":"key","key":"z","modifiers":["ctrl"]}'),
+        (dict(type="click", x=0.5, y=0.25, button="Right", modifiers=0, clicks=2), '{"type":"click","x":500,"y":250,"button":"right","modifiers":[],"clicks":2}'),
+        (dict(type="key", key_code=16, text="", modifiers=1), A.SKIPPED),
+        (dict(type="drag", x=0.1, y=0.1), "conversion_error:coordinates"),
+        (dict(type="key", key_code=177, text="", modifiers=0), A.SKIPPED),
+        (dict(type="key", key_code=9999, text="\x01\x02", modifiers=0), "conversion_error:unmapped_key"),
+        (dict(type="scroll", x=0.5, y=0.5), "conversion_error:zero_scroll"),
+    ]
+    d = spark.createDataFrame([(i, tuple(a.get(n) for n in names)) for i, (a, _) in enumerate(cases)], schema)
+    j = d.select("i", F.get(A.judged(F.array("a")), F.lit(0)).alias("a"))
+    got = {r["i"]: r["x"] for r in j.select("i", F.coalesce("a.outcome", A.target(F.col("a"))).alias("x")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_row_reasons(spark):
+    fields = "type string, x double, y double, end_x double, end_y double, button string, delta_x double, delta_y double, text string, key_code int, modifiers int, clicks int, dt double"
+    of = lambda **a: tuple(a.get(f.split()[0]) for f in fields.split(", "))
+    click, text, drag, shift = of(type="click", x=0.5, y=0.25, dt=0.5), of(type="type_text", text="a", dt=0.9), of(type="drag", x=0.1, y=0.1, end_x=0.5, end_y=0.5, dt=0.5), of(type="key", key_code=16, text="", dt=0.1)
+    late = of(type="type_text", text="b", dt=3.0)
+    rows = [([click, text, late], "f", None, 2), ([drag], "f", "drag_excluded", 1), ([], "f", "no_actions", 0), ([click], None, "no_image", 1), ([shift], "f", "only_modifier_keys", 0), ([click, of(type="dance")], "f", "conversion_error:type", 1)]
+    d = spark.createDataFrame([(i, a, f) for i, (a, f, _, _) in enumerate(rows)], f"i int, a array<struct<{fields.replace(' ', ':').replace(',:', ', ')}>>, f string")
+    j = d.select("i", "f", A.judged(F.col("a")).alias("a"))
+    got = {r["i"]: (r["why"], r["n"]) for r in j.select("i", A.row_reason(F.col("a"), F.col("f"), most=4).alias("why"), F.size(A.chunk(F.col("a"), most=4)).alias("n")).collect()}
+    assert [got[i] for i in range(len(rows))] == [(why, n) for _, _, why, n in rows]
+
+
 def test_keyed(spark):
     old = spark.createDataFrame([("a", "1", 1), ("b", "2", 2)], "k string, v string, n int")
     new = spark.createDataFrame([("b", "3", 3), ("c", "4", 4)], "k string, v string, n int")

@@ -53,7 +53,7 @@ def test_key_names(spark):
 def test_joined_typing(spark):
     rows = [("w", 1, 0.0, "type_text", "4"), ("w", 2, 0.5, "type_text", "0"), ("w", 3, 1.4, "type_text", "x"), ("w", 4, 9.0, "type_text", "y"), ("w", 5, 9.1, "key", ""), ("w", 6, 9.2, "type_text", "z")]
     d = spark.createDataFrame(rows, "workflow string, segment long, t double, kind string, text string")
-    got = sequences.fold(d, ["workflow"], ["t", "segment"], sequences.joined_typing, "workflow string, segment long, t double, kind string, text string").orderBy("segment").collect()
+    got = sequences.fold(d, ["workflow"], ["t", "segment"], sequences.JoinedTyping, "workflow string, segment long, t double, kind string, text string").orderBy("segment").collect()
     assert [(r["segment"], r["text"]) for r in got] == [(1, "40x"), (4, "y"), (5, ""), (6, "z")]
 
 

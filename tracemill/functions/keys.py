@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,17 +32,28 @@ CONTROL = {"\r": "Enter", "\n": "Enter", "\t": "Tab", "\x1b": "Escape", "\x08":
 def windows_table() -> dict[int, str]:
     """Digits, number pad, letters and function keys follow from their codes."""
     digits = {first + d: str(d) for first in (48, 96) for d in range(10)}
-    return WINDOWS | digits | {65 + k: chr(97 + k) for k in range(26)} | {112 + k: f"F{k + 1}" for k in range(24)}
+    return WINDOWS | digits | {65 + k: chr(97 + k) for k in range(26)} | {112 + k: f"F{k + 1}" for k in range(12)}
+
+
+def _named(table: dict, key: Column) -> Column:
+    """The key's name in a table, which is one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")[key.cast("string")]
 
 
 def key_name(code: Column, characters: Column, platform: Column | None = None) -> Column:
     """Name by the platform's code (mac, else windows), else by control character, else the printable character,
     else the letter of a control code."""
-    by_code = F.create_map(*(F.lit(x) for pair in windows_table().items() for x in pair))[code]
+    by_code = _named(windows_table(), code)
     if platform is not None:
-        by_code = F.when(F.lower(platform) == "mac", F.create_map(*(F.lit(x) for pair in MAC.items() for x in pair))[code]).otherwise(by_code)
-    by_control = F.create_map(*(F.lit(x) for pair in CONTROL.items() for x in pair))[characters]
+        by_code = F.when(F.lower(platform) == "mac", _named(MAC, code)).otherwise(by_code)
+    by_control = _named(CONTROL, characters)
     single = F.char_length(characters) == 1
     plain = F.when(single & characters.rlike("^[^\\p{C}\\p{Z}]$"), F.when(characters.rlike("^\\p{L}$"), F.lower(characters)).otherwise(characters))
     letter = F.when(single & (F.ascii(characters) < 32), F.char(F.ascii(characters) + 96))
     return F.coalesce(by_code, by_control, plain, letter)
+
+
+def sql_map(pairs: dict) -> str:
+    """The pairs as a map literal of DuckDB."""
+    lit = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in pairs.items()) + "}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,13 +65,37 @@ def repeats_cycle(d: DataFrame, by: list[str], order: list[str], item: str, size
     return out
 
 
-def fold(d: DataFrame, by: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A sequential automaton over each key's ordered rows: one stream is one recorded session."""
+def fold(d: DataFrame, by: list[str], order: list[str], start: Callable[[], Automaton], schema: str) -> DataFrame:
+    """A sequential automaton over each key's rows in order; rows of `schema` are the key and what it emits.
+
+    Rows stream past in sorted partitions, so a key of any size needs the memory of the automaton's state only.
+    """
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, machine = None, None
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                now = tuple(None if v != v else v for v in (getattr(row, c) for c in by))
+                if machine is None or now != key:
+                    out += [(*key, *r) for r in machine.end()] if machine else []
+                    key, machine = now, start()
+                out += [(*key, *r) for r in machine.take(row)]
+            yield pd.DataFrame(out, columns=names)
+        if machine:
+            yield pd.DataFrame([(*key, *r) for r in machine.end()], columns=names)
+
+    return d.repartition(parts, *by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return step(rows.sort_values(order, kind="stable", ignore_index=True))
 
-    return d.groupBy(*by).applyInPandas(run, schema)
+class Automaton(Protocol):
+    def take(self, row) -> list[tuple]:
+        """What is known for certain once this row has come."""
+
+    def end(self) -> list[tuple]:
+        """What is left when the key's rows have ended."""
 
 
 def gestures(d: DataFrame) -> DataFrame:
@@ -107,49 +133,75 @@ def gestures(d: DataFrame) -> DataFrame:
     )
 
 
-def scroll_runs(rows: pd.DataFrame, gap: float = 0.15, most: float = 10) -> pd.DataFrame:
-    """Scrolls of one stream coalesced while near in time, of one direction, and at most `most` in sum."""
-    out: list[list] = []
-    for t, delta in zip(rows["t"], rows["delta"], strict=True):
-        last = out[-1] if out else None
-        if last and t - last[1] <= gap and delta * last[2] > 0 and abs(last[2] + delta) <= most:
-            last[1], last[2], last[3] = t, last[2] + delta, last[3] + 1
-        else:
-            out.append([t, t, delta, 1])
-    return pd.DataFrame([[rows["workflow"].iloc[0], *r] for r in out], columns=["workflow", "t", "end_t", "delta", "n"])
-
-
-def windows_of(rows: pd.DataFrame, budget: int, fill: float = 0.92, history: float = 0.2, header: int = 600) -> pd.DataFrame:
-    """Consecutive steps of one stream cut into windows of at most `fill` of the budget (a first step always
-    goes in), each with the newest earlier log lines that fit a share of the budget."""
-    cost, log = rows["cost"].tolist(), rows["log_cost"].tolist()
-    out, start = [], 0
-    while start < len(rows):
-        used = kept = 0
-        for c in reversed(log[:start]):
-            if used + c > int(budget * history):
-                break
-            used, kept = used + c, kept + 1
-        omitted = start - kept
-        total, end = header + used + (12 if omitted else 0), start
-        while end < len(rows) and (end == start or total + cost[end] <= budget * fill):
-            total, end = total + cost[end], end + 1
-        out.append((rows["workflow"].iloc[0], start, end, kept, omitted, total))
-        start = end
-    return pd.DataFrame(out, columns=["workflow", "first_step", "end_step", "history", "omitted", "tokens"])
-
-
-def joined_typing(rows: pd.DataFrame, per_char: float = 0.75) -> pd.DataFrame:
-    """Typed texts of one stream that a span boundary cut: a text goes on in the next row if it starts within
-    `per_char` seconds a character of the text so far; chains join to the left, emptied rows go."""
-    out: list[list] = []
-    for r in rows.itertuples(index=False):
-        last = out[-1] if out else None
-        if last and last[3] == "type_text" and r.kind == "type_text" and 0 <= r.t - last[2] <= per_char * len(last[4]):
-            last[4] += r.text
-        else:
-            out.append([r.workflow, r.segment, r.t, r.kind, r.text])
-    return pd.DataFrame(out, columns=["workflow", "segment", "t", "kind", "text"])
+class ScrollRuns:
+    """(t, end_t, delta, n): scrolls coalesced while near in time, of one direction, and at most `most` in sum."""
+
+    def __init__(self, gap: float = 0.15, most: float = 10):
+        self.gap, self.most, self.run = gap, most, None
+
+    def take(self, row) -> list[tuple]:
+        if self.run:
+            t, end, sum_, n = self.run
+            if row.t - end <= self.gap and row.delta * sum_ > 0 and abs(sum_ + row.delta) <= self.most:
+                self.run = (t, row.t, sum_ + row.delta, n + 1)
+                return []
+        done, self.run = self.end(), (row.t, row.t, row.delta, 1)
+        return done
+
+    def end(self) -> list[tuple]:
+        return [self.run] if self.run else []
+
+
+class Windows:
+    """(first_step, end_step, history, omitted, tokens): consecutive steps in windows of a share of the budget.
+
+    A sliding sum holds the newest log lines that fit the history's share; what it holds when a window opens is
+    that window's history. A step that would overfill an open window opens the next; a window has one step at least.
+    """
+
+    #: Shares of the budget for a window and for history, tokens that tell how many lines are left out.
+    FILL, HISTORY, OMISSION = 0.92, 0.2, 12
+
+    def __init__(self, budget: int, header: int = 220, fill: float = FILL, history: float = HISTORY):
+        self.room, self.lines_room, self.header = budget * fill, int(budget * history), header
+        self.lines, self.lines_cost, self.seen = deque(), 0, 0
+        self.first, self.history, self.tokens = 0, 0, None
+
+    def take(self, row) -> list[tuple]:
+        done = self.end() if self.tokens is not None and self.tokens + row.cost > self.room else []
+        if done or self.tokens is None:
+            self.first, self.history = self.seen, len(self.lines)
+            self.tokens = self.header + self.lines_cost + (self.OMISSION if self.history < self.first else 0)
+        self.tokens += row.cost
+        self.seen += 1
+        self.lines.append(row.log_cost)
+        self.lines_cost += row.log_cost
+        while self.lines_cost > self.lines_room:
+            self.lines_cost -= self.lines.popleft()
+        return done
+
+    def end(self) -> list[tuple]:
+        return [(self.first, self.seen, self.history, self.first - self.history, self.tokens)] if self.tokens is not None else []
+
+
+class JoinedTyping:
+    """(segment, t, kind, text): typed texts that a span boundary cut. A text goes on in the next row if that starts
+    within `per_char` seconds a character of the text so far; chains join to the left, emptied rows go."""
+
+    def __init__(self, per_char: float = 0.75):
+        self.per_char, self.last = per_char, None
+
+    def take(self, row) -> list[tuple]:
+        if self.last:
+            segment, t, kind, text = self.last
+            if kind == row.kind == "type_text" and 0 <= row.t - t <= self.per_char * len(text):
+                self.last = (segment, t, kind, text + row.text)
+                return []
+        done, self.last = self.end(), (row.segment, row.t, row.kind, row.text)
+        return done
+
+    def end(self) -> list[tuple]:
+        return [self.last] if self.last else []
 
 
 def priority_pick(d: DataFrame, by: list[str], item: str, order: str, priority: Column, most: int) -> DataFrame:

@@ -222,20 +222,22 @@ def txt_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("digest"), "turns")
 
 
-WINDOWS_SQL = """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, (floor(length(text) / 2.5) + 25)::BIGINT AS c FROM conversations),
-    w AS (SELECT conv_id, i, 0::BIGINT AS first_step, 40 + c AS total FROM s WHERE i = 0
-      UNION ALL SELECT s.conv_id, s.i, CASE WHEN w.total + s.c > 552 THEN s.i ELSE w.first_step END, CASE WHEN w.total + s.c > 552 THEN 52 + s.c ELSE w.total + s.c END FROM w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1)
-    SELECT conv_id AS workflow, first_step, max(i) + 1 AS end_step, max(total) AS tokens FROM w GROUP BY conv_id, first_step"""
+WINDOWS_SQL = """WITH RECURSIVE s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, (floor(length(text) / 2.5) + 25)::BIGINT AS c,
+      coalesce(sum((floor(length(substr(text, 1, 60)) / 2.5) + 2)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM conversations),
+    h AS (SELECT s.conv_id, s.i, s.c, s.i - coalesce(min(o.i), s.i) AS kept, s.p - coalesce(min(o.p), s.p) AS used FROM s LEFT JOIN s o ON o.conv_id = s.conv_id AND o.i < s.i AND s.p - o.p <= 80 GROUP BY s.conv_id, s.i, s.c, s.p),
+    w AS (SELECT conv_id, i, 0::BIGINT AS first_step, 0::BIGINT AS history, 40 + c AS total FROM h WHERE i = 0
+      UNION ALL SELECT h.conv_id, h.i, CASE WHEN w.total + h.c > 368 THEN h.i ELSE w.first_step END, CASE WHEN w.total + h.c > 368 THEN h.kept ELSE w.history END,
+        CASE WHEN w.total + h.c > 368 THEN 40 + h.used + CASE WHEN h.kept < h.i THEN 12 ELSE 0 END + h.c ELSE w.total + h.c END FROM w JOIN h ON h.conv_id = w.conv_id AND h.i = w.i + 1)
+    SELECT conv_id AS workflow, first_step, max(i) + 1 AS end_step, max(history) AS history, first_step - max(history) AS omitted, max(total) AS tokens FROM w GROUP BY conv_id, first_step"""
 
 
 @query("seq_windows", WINDOWS_SQL)
 def seq_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEQ-09: steps cut greedily into windows of a token budget (here without history lines)."""
-    cost = (S.text_tokens(F.col("text")) + 24).alias("cost")
-    d = turns(spark, sf_dir).select(F.col("conv_id").alias("workflow"), "turn", cost, F.lit(10**9).alias("log_cost"))
+    """SEQ-09: steps cut greedily into windows of a token budget, each with the newest earlier lines that fit a fifth of it."""
+    cost, line = S.text_tokens(F.col("text")) + 24, S.text_tokens(F.substring("text", 1, 60)) + 1
+    d = turns(spark, sf_dir).select(F.col("conv_id").alias("workflow"), "turn", cost.alias("cost"), line.alias("log_cost"))
     schema = "workflow long, first_step long, end_step long, history long, omitted long, tokens long"
-    w = sequences.fold(d, ["workflow"], ["turn"], lambda rows: sequences.windows_of(rows, 600, header=40), schema)
-    return w.select("workflow", "first_step", "end_step", "tokens")
+    return sequences.fold(d, ["workflow"], ["turn"], lambda: sequences.Windows(400, header=40), schema)
 
 
 @query("seq_prompt_fit", """WITH s AS (SELECT conv_id, turn, sum((floor(length(text) / 2.5) + 1)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations),

@@ -6,51 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import actions as A
+from tracemill.functions import keys as K
 from tracemill.operators import graph
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL, events
 from tracemill.storage import table
 
-NEUTRAL_SQL = f"""{EVENTS_SQL}, n AS (SELECT event_id, user_id, t, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'purchase' THEN 'drag' WHEN 'signup' THEN 'type_text' ELSE 'key' END AS type,
-    value / 400.0 AS x, k / 100.0 AS y, (k - 50) / 10.0 AS d, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Left' ELSE 'RIGHT' END AS button, CASE WHEN k % 11 > 0 THEN 'k' || k END AS key FROM e),
-    g AS (SELECT *, round_even(x * 999, 0)::INT AS gx, round_even(y * 999, 0)::INT AS gy, (sign(d) * greatest(1.0, round_even(abs(d), 0)))::INT AS gd, coalesce(lower(button), 'left') AS b FROM n),
-    r AS (SELECT *, CASE WHEN type IN ('click', 'scroll', 'drag') AND NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1) THEN 'conversion_error:coordinates' WHEN type = 'scroll' AND gd = 0 THEN 'conversion_error:scroll'
-      WHEN type = 'type_text' AND key IS NULL THEN 'conversion_error:text' WHEN type = 'key' AND key IS NULL THEN 'only_modifier_keys' END AS reason FROM g)"""
+KEY_SQL = f"coalesce({K.sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END)"
+NEUTRAL_SQL = f"""{EVENTS_SQL}, n AS (SELECT event_id, user_id, t, k, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'purchase' THEN 'drag' WHEN 'signup' THEN 'type_text' ELSE 'key' END AS type,
+    value / 400.0 AS x, k / 100.0 AS y, (k - 50) / 10.0 AS d, CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Left' ELSE 'RIGHT' END AS button, CASE WHEN k % 2 = 0 THEN chr(33 + k) ELSE '' END AS txt, {KEY_SQL} AS name,
+    CASE WHEN k % 4 > 0 THEN k % 16 END AS mask, CASE WHEN k % 5 = 0 THEN 1 + k % 3 END AS clicks FROM e),
+    g AS (SELECT *, round_even(x * 999, 0)::INT AS gx, round_even(y * 999, 0)::INT AS gy, (sign(d) * greatest(1.0, round_even(abs(d), 0)))::INT AS gd, coalesce(lower(button), 'left') AS b,
+      '[' || array_to_string(list_filter([CASE WHEN mask & 2 > 0 THEN '"ctrl"' END, CASE WHEN mask & 1 > 0 THEN '"shift"' END, CASE WHEN mask & 4 > 0 THEN '"alt"' END, CASE WHEN mask & 8 > 0 THEN '"meta"' END], lambda m: m IS NOT NULL), ',') || ']' AS names FROM n),
+    r AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'no_actions' WHEN k % 13 = 0 THEN 'no_image' WHEN type = 'scroll' AND d = 0 THEN 'conversion_error:zero_scroll'
+      WHEN type IN ('click', 'scroll', 'drag') AND NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1) THEN 'conversion_error:coordinates'
+      WHEN type = 'type_text' AND txt = '' THEN 'conversion_error:text' WHEN type = 'key' AND name IS NULL THEN CASE WHEN txt = '' THEN 'only_modifier_keys' ELSE 'conversion_error:unmapped_key' END
+      WHEN type = 'key' AND name IN ('Shift', 'Control', 'Alt', 'Meta', 'CapsLock', 'NumLock', 'ScrollLock') THEN 'only_modifier_keys' WHEN type = 'drag' AND k % 7 > 0 THEN 'drag_excluded' END AS reason FROM g)"""
 
 
-def _neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, user_id, t, actions, reason): one neutral action a row or none; every seventh k lets drags in."""
     kinds = {"click": "click", "view": "scroll", "purchase": "drag", "signup": "type_text", "error": "key"}
     kind = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))[F.col("event_type")]
-    x, y, key = F.col("value") / 400.0, F.col("k") / 100.0, F.when(F.col("k") % 11 > 0, F.concat(F.lit("k"), F.col("k").cast("string")))
-    button = F.when(F.col("k") % 3 == 1, "Left").when(F.col("k") % 3 == 2, "RIGHT")
-    return events(spark, sf_dir).select(
-        "event_id", "user_id", "t",
-        F.struct(
-            kind.alias("type"), x.alias("x"), y.alias("y"), x.alias("end_x"), y.alias("end_y"), button.alias("button"),
-            ((F.col("k") - 50) / 10.0).alias("delta_x"), F.lit(0.0).alias("delta_y"), key.alias("text"), key.alias("key"),
-        ).alias("a"),
+    k = F.col("k")
+    x, y = F.col("value") / 400.0, k / 100.0
+    button = F.when(k % 3 == 1, "Left").when(k % 3 == 2, "RIGHT")
+    action = F.struct(
+        kind.alias("type"), x.alias("x"), y.alias("y"), x.alias("end_x"), y.alias("end_y"), button.alias("button"), ((k - 50) / 10.0).alias("delta_x"), F.lit(0.0).alias("delta_y"),
+        F.when(k % 2 == 0, F.char(k + 33)).otherwise("").alias("text"), (k + 8).alias("key_code"), F.when(k % 4 > 0, k % 16).alias("modifiers"), F.when(k % 5 == 0, 1 + k % 3).alias("clicks"), F.lit(0.0).alias("dt"),
     )
+    actions = F.filter(F.array(F.when(k % 17 > 0, action)), lambda a: a.isNotNull())
+    image = F.when(k % 13 > 0, "frame.png")
+    d = events(spark, sf_dir).select("event_id", "user_id", "t", "k", A.judged(actions).alias("actions"), image.alias("image"))
+    reason = A.row_reason(F.col("actions"), F.col("image"), drags=k % 7 == 0)
+    return d.select("event_id", "user_id", "t", "actions", reason.alias("reason"))
 
 
 @query("policy_rejects", f"WITH {NEUTRAL_SQL} SELECT coalesce(split_part(reason, ':', 1), 'kept') AS reason, count(*) AS n FROM r GROUP BY 1")
 def policy_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-08, SCL-16: reasons counted by their prefix."""
-    reason = F.substring_index(F.coalesce(A.reject_reason(F.col("a")), F.lit("kept")), ":", 1)
-    return _neutral(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.substring_index(F.coalesce("reason", F.lit("kept")), ":", 1)
+    return _rows(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(
     "policy_completions",
-    f"""WITH {NEUTRAL_SQL}, j AS (SELECT event_id, CASE type WHEN 'click' THEN '{{"type":"click","x":' || gx || ',"y":' || gy || ',"button":"' || b || '"}}'
-      WHEN 'drag' THEN '{{"type":"drag","x":' || gx || ',"y":' || gy || ',"end_x":' || gx || ',"end_y":' || gy || ',"button":"' || b || '"}}'
-      WHEN 'scroll' THEN '{{"type":"scroll","x":' || gx || ',"y":' || gy || ',"dx":' || gd || ',"dy":0}}' WHEN 'type_text' THEN '{{"type":"type_text","text":"' || key || '"}}'
-      ELSE '{{"type":"key","key":"' || key || '"}}' END AS t FROM r WHERE reason IS NULL)
+    f"""WITH {NEUTRAL_SQL}, h AS (SELECT *, CASE WHEN mask IS NULL THEN '' ELSE ',"modifiers":' || names END AS held FROM r WHERE reason IS NULL), j AS (SELECT event_id,
+      CASE type WHEN 'click' THEN '{{"type":"click","x":' || gx || ',"y":' || gy || ',"button":"' || b || '"' || held || coalesce(',"clicks":' || clicks, '') || '}}'
+      WHEN 'drag' THEN '{{"type":"drag","x":' || gx || ',"y":' || gy || ',"end_x":' || gx || ',"end_y":' || gy || ',"button":"' || b || '"' || held || '}}'
+      WHEN 'scroll' THEN '{{"type":"scroll","x":' || gx || ',"y":' || gy || ',"delta_x":' || gd || ',"delta_y":0' || held || '}}' WHEN 'type_text' THEN '{{"type":"type_text","text":' || to_json(txt) || '}}'
+      ELSE '{{"type":"key","key":' || to_json(name) || ',"modifiers":' || coalesce(names, '[]') || '}}' END AS t FROM h)
     SELECT event_id, '{{"actions":[' || t || ']}}' AS completion, 0 AS errors FROM j""",
 )
 def policy_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-04/05/06: canonical targets, all of which pass the strict validator."""
-    kept = _neutral(spark, sf_dir).where(A.reject_reason(F.col("a")).isNull())
-    c = kept.select("event_id", A.completion(F.array(A.target(F.col("a")))).alias("completion"))
+    kept = _rows(spark, sf_dir).where("reason is null")
+    c = kept.select("event_id", A.completion(F.transform(A.chunk(F.col("actions")), A.target)).alias("completion"))
     return c.select("event_id", "completion", F.size(A.errors(F.col("completion"))).alias("errors"))
 
 
@@ -60,8 +71,8 @@ def policy_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def policy_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-03: counts of kept targets by type."""
-    kept = _neutral(spark, sf_dir).where(A.reject_reason(F.col("a")).isNull())
-    return kept.groupBy(F.col("a.type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("workflows"), F.min("t").alias("first_t"))
+    kept = _rows(spark, sf_dir).where("reason is null")
+    return kept.groupBy(F.get("actions", F.lit(0))["type"].alias("type")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("workflows"), F.min("t").alias("first_t"))
 
 
 @query(

@@ -21,16 +21,11 @@ def along():
     return W.partitionBy("user_id").orderBy("t", "event_id")
 
 
-def _sql_map(pairs: dict) -> str:
-    lit = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in pairs.items()) + "}"
-
-
-@query("scl_key_names", f"WITH {EVENTS_SQL} SELECT event_id, coalesce({_sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END) AS name FROM e WHERE k < 90")
+@query("scl_key_names", f"WITH {EVENTS_SQL} SELECT event_id, coalesce({K.sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END) AS name FROM e")
 def scl_key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCL-11, JOIN-12: key codes to names, then characters."""
     chars = F.when(F.col("k") % 2 == 0, F.char(F.col("k") + 33))
-    return events(spark, sf_dir).where("k < 90").select("event_id", K.key_name(F.col("k") + 8, chars).alias("name"))
+    return events(spark, sf_dir).select("event_id", K.key_name(F.col("k") + 8, chars).alias("name"))
 
 
 @query(
@@ -51,12 +46,20 @@ def seq_atomic_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("user_id", "epoch").agg(F.count_if(F.col("event_type").isin("click", "view")).alias("actions"), F.min("since").alias("since"))
 
 
-@query("seq_joined_typing")
+@query(
+    "seq_joined_typing",
+    f"""WITH RECURSIVE {EVENTS_SQL}, s AS (SELECT user_id AS workflow, event_id AS segment, t / (8.0 * {HOUR}) AS t, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'type_text' ELSE 'key' END AS kind, k::VARCHAR AS text,
+      row_number() OVER (PARTITION BY user_id ORDER BY t / (8.0 * {HOUR}), event_id) AS i FROM e),
+    w AS (SELECT workflow, i, segment, t, kind, text FROM s WHERE i = 1
+      UNION ALL SELECT s.workflow, s.i, CASE WHEN j.on_ THEN w.segment ELSE s.segment END, CASE WHEN j.on_ THEN w.t ELSE s.t END, s.kind, CASE WHEN j.on_ THEN w.text || s.text ELSE s.text END
+      FROM w JOIN s ON s.workflow = w.workflow AND s.i = w.i + 1, LATERAL (SELECT w.kind = 'type_text' AND s.kind = 'type_text' AND s.t - w.t BETWEEN 0 AND 0.75 * length(w.text) AS on_) j)
+    SELECT workflow, segment, min(t) AS t, min(kind) AS kind, arg_max(text, i) AS text FROM w GROUP BY workflow, segment""",
+)
 def seq_joined_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-07: texts that boundaries cut joined again; each join depends on the text so far."""
     kind = F.when(F.col("event_type").isin("click", "view", "signup"), "type_text").otherwise("key")
     d = events(spark, sf_dir).select(F.col("user_id").alias("workflow"), F.col("event_id").alias("segment"), (F.col("t") / (8.0 * HOUR)).alias("t"), kind.alias("kind"), F.col("k").cast("string").alias("text"))
-    return sequences.fold(d, ["workflow"], ["t", "segment"], sequences.joined_typing, "workflow long, segment long, t double, kind string, text string")
+    return sequences.fold(d, ["workflow"], ["t", "segment"], sequences.JoinedTyping, "workflow long, segment long, t double, kind string, text string")
 
 
 @query("seq_priority_pick", f"""WITH {EVENTS_SQL}, g AS (SELECT user_id, k AS item, max(CASE event_type WHEN 'purchase' THEN 100 WHEN 'signup' THEN 90 WHEN 'click' THEN 80 ELSE 40 END) AS priority, max(event_id) AS event_id FROM e GROUP BY ALL),

@@ -481,7 +481,17 @@ def top_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.crossJoin(d.agg(F.count("*").alias("total"))).select("event_id", "place", "total")
 
 
-@query("seq_gestures")
+@query(
+    "seq_gestures",
+    f"""WITH {EVENTS_SQL}, d AS (SELECT user_id AS workflow, t, event_id, value AS x, k::DOUBLE AS y, CASE event_type WHEN 'click' THEN 'press' WHEN 'view' THEN 'move' WHEN 'purchase' THEN 'release' WHEN 'error' THEN 'close' END AS kind FROM e),
+    n AS (SELECT *, count(*) FILTER (WHERE kind <> 'move') OVER (PARTITION BY workflow ORDER BY t, event_id) AS edge FROM d WHERE kind IS NOT NULL),
+    p AS (SELECT workflow, edge, t, x, y FROM n WHERE kind = 'press'),
+    c AS (SELECT p.workflow, p.edge, p.t, p.x, p.y, count(m.t) FILTER (WHERE m.kind = 'move') AS path, max(m.t) FILTER (WHERE m.kind = 'release') AS released,
+      coalesce(max(m.t) FILTER (WHERE m.kind = 'release'), NULL) IS NOT NULL AS done, arg_max(m.x, (m.t, m.event_id)) AS ex, arg_max(m.y, (m.t, m.event_id)) AS ey
+      FROM p LEFT JOIN n m ON m.workflow = p.workflow AND ((m.kind = 'move' AND m.edge = p.edge) OR (m.kind = 'release' AND m.edge = p.edge + 1)) GROUP BY ALL),
+    g AS (SELECT *, coalesce(ex, x) AS lx, coalesce(ey, y) AS ly, sqrt((coalesce(ex, x) - x) ** 2 + (coalesce(ey, y) - y) ** 2) >= 4 AS drag FROM c)
+    SELECT workflow, t, CASE WHEN drag THEN 'drag' ELSE 'click' END AS type, x, y, CASE WHEN drag THEN lx END AS end_x, CASE WHEN drag THEN ly END AS end_y, CASE WHEN drag THEN path END AS path_points, CASE WHEN drag THEN released - t END AS duration FROM g""",
+)
 def seq_gestures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-01: presses, moves and releases of each stream as clicks and drags."""
     kind = F.create_map(*(F.lit(x) for x in ("click", "press", "view", "move", "purchase", "release", "error", "close")))
@@ -489,8 +499,15 @@ def seq_gestures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.gestures(d.where("kind is not null"))
 
 
-@query("seq_scroll_runs")
+@query(
+    "seq_scroll_runs",
+    f"""WITH RECURSIVE {EVENTS_SQL}, s AS (SELECT user_id AS workflow, t / 1e6 AS t, (k % 7 - 3)::DOUBLE AS delta, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e WHERE event_type = 'view'),
+    w AS (SELECT workflow, i, 1 AS run, t AS start, t AS last, delta AS total, 1 AS n FROM s WHERE i = 1
+      UNION ALL SELECT s.workflow, s.i, CASE WHEN j.on_ THEN w.run ELSE w.run + 1 END, CASE WHEN j.on_ THEN w.start ELSE s.t END, s.t, CASE WHEN j.on_ THEN w.total + s.delta ELSE s.delta END, CASE WHEN j.on_ THEN w.n + 1 ELSE 1 END
+      FROM w JOIN s ON s.workflow = w.workflow AND s.i = w.i + 1, LATERAL (SELECT s.t - w.last <= 86400 AND s.delta * w.total > 0 AND abs(w.total + s.delta) <= 10 AS on_) j)
+    SELECT workflow, min(start) AS t, max(last) AS end_t, arg_max(total, i) AS delta, max(n)::BIGINT AS n FROM w GROUP BY workflow, run""",
+)
 def seq_scroll_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-05: the cap on the sum depends on the path, so it is a fold over each stream."""
     d = events(spark, sf_dir).where("event_type = 'view'").select(F.col("user_id").alias("workflow"), (F.col("t") / 1e6).alias("t"), F.col("event_id").alias("line_no"), (F.col("k") % 7 - 3).cast("double").alias("delta"))
-    return sequences.fold(d, ["workflow"], ["t", "line_no"], lambda rows: sequences.scroll_runs(rows, gap=86_400.0), "workflow long, t double, end_t double, delta double, n long")
+    return sequences.fold(d, ["workflow"], ["t", "line_no"], lambda: sequences.ScrollRuns(gap=86_400.0), "workflow long, t double, end_t double, delta double, n long")
