@@ -24,6 +24,19 @@ def test_comments_and_menus_within_article():
     assert html.main_text(page) == f"Head\n{LONG}\nOne point\nTwo"
 
 
+def test_common_words_in_ids_and_classes_lose_nothing():
+    page = f'''<article><h1 class="banner">T</h1><h2 id="related-work">Related</h2><p id="notice-1">{LONG}</p><p class="share-price">{LONG}</p><section id="comments"><h2>Comments on the plan</h2><p>{LONG}</p></section>
+    <div class="related-work"><p>{LONG}</p></div><ul><li><a href=x>One source of it</a></li></ul><ol><li><a href=a>A long reference to another paper, 1999</a></li><li><a href=b>A second reference to a book, 2001</a></li></ol>
+    <div class="cookie-notice"><p>We use, cookies</p></div><p>No\xa0break&nbsp;here</p></article>'''
+    want = ["T", "Related", LONG, LONG, "Comments on the plan", LONG, LONG, "One source of it", "A long reference to another paper, 1999", "A second reference to a book, 2001", "No\xa0break\xa0here"]
+    assert html.main_text(page) == "\n".join(want)
+
+
+def test_a_marked_container_with_most_of_the_page_stays():
+    page = f'<body><div class="sidebar-left"><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>{LONG}</p></div></body>'
+    assert html.main_text(page) == f"{LONG}\n{LONG}"
+
+
 def test_cut_off_and_odd_pages():
     assert html.main_text(f"<article><p>{LONG}</p><p>Last &amp; words</p></artic") == f"{LONG}\nLast & words"
     assert html.main_text("<article><p>a < b &lt; c</p") == "a < b < c"

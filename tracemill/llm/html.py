@@ -2,9 +2,14 @@
 
 Each paragraph earns points for its length and commas and passes them to its ancestors, the full
 amount to the nearest container and less to each further one. A container's points are discounted by
-the share of its text that is link text. The best container, or the article that holds it, is kept
-with those siblings that score well, without the parts whose tag, role or class marks them as menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments.
+the share of its text that is link text. The best container is kept with those siblings that score well;
+where an article or main element holds it, all of that element's blocks are its siblings. Left out are
+elements whose tag or role makes them menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments, lists of short links, and containers whose class names nothing but such a part ("cookie-notice", not
+"related-work"). Ids count like classes outside articles only; paragraphs and headings are never left out for
+their class or id, and a container with most of the page's paragraphs isn't either.
+
+White space is HTML's: space, tab, line ends, form feed; no-break spaces stay.
 
 Defined results: a null or empty page has empty text; markup cut off at the end of a page is dropped
 and all open elements end there; a page without paragraphs gives its article's or body's text. Rows are
@@ -21,8 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import small_batches
-
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)|</?\Z""",
     re.S,
@@ -31,6 +34,7 @@ ATTRIBUTE = re.compile(r"""([\w:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)
 
 #: HTML's elements by kind.
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
+LISTS = frozenset("ul ol dl menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,6 +51,12 @@ JUNK_WORDS = frozenset(
     "footer header masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations pagination pager widget toolbar toc skip hidden".split()
 )
+#: Parts of class names that say where an element is, not what it is; elements that class names may mark.
+LAYOUT_WORDS = frozenset(
+    "site page main top bottom left right global local primary secondary outer inner wrapper wrap container content section area block box bar list item group row col column "
+    "panel inline float fixed sticky small large mobile desktop links buttons button icons thread".split()
+)
+CONTAINERS = frozenset("div section ul ol dl table td tr header menu details center article".split())
 #: Elements that end an open element of the first name, up to the nearest of the others.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -58,6 +68,10 @@ CLOSES = {
     "option": (("option",), ("select",)),
 }
 ARTICLE = frozenset(("article", "main"))
+SPACE = " \t\n\r\f\v"
+SPACES = re.compile(r"[ \t-\r]+")
+#: Longest mean link of a list of links that counts as a menu: shorter than what earns points.
+SHORT_LINK = 25
 WEIGHTS = {"article": 25, "main": 25, "div": 5, "section": 5, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "th": -5}
 
 
@@ -66,6 +80,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.junk = [""], [-1], [False]
+        self.named: list[bool] = [False]  # junk by class or id only
         self.links: list[bool] = [False]  # inside a link
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []  # (nearest block element, [(element, text)])
         self._open, self._new = [0], True
@@ -94,7 +109,7 @@ class Page:
     def _text(self, text: str) -> None:
         if not text:
             return
-        if self._new and text.strip():
+        if self._new and text.strip(SPACE):
             owner = next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCK)
             self.blocks.append((owner, []))
             self._new = False
@@ -116,7 +131,9 @@ class Page:
         up = self._open[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.junk.append(tag in JUNK_TAGS or bool(attrs) and _marked(attrs))
+        named = bool(attrs) and tag in CONTAINERS and _named(attrs, any(self.tag[e] in ARTICLE for e in self._open))
+        self.junk.append(named or tag in JUNK_TAGS or bool(attrs) and _marked(attrs))
+        self.named.append(named and not (tag in JUNK_TAGS or _marked(attrs)))
         self.links.append(tag == "a" or self.links[up])
         if not attrs.rstrip().endswith("/") or tag not in ("svg", "path"):
             self._open.append(len(self.tag) - 1)
@@ -135,16 +152,22 @@ class Page:
                 return
 
     def _settle(self) -> None:
-        """Marks spare what holds the article or its title; junk covers all below it."""
-        holds = [False] * len(self.tag)
-        for e in range(len(self.tag) - 1, 0, -1):
+        """Marks spare what holds the article, its title or most paragraphs; junk covers all below it."""
+        n = len(self.tag)
+        holds, chars = [False] * n, [0] * n
+        for owner, pieces in self.blocks:
+            if self.tag[owner] in PARAGRAPH:
+                chars[owner] += sum(len(t) for e, t in pieces if not self.links[e])
+        for e in range(n - 1, 0, -1):
             own = self.tag[e] in ARTICLE and not self.junk[e] or self.tag[e] == "h1"
             holds[self.parent[e]] |= own or holds[e]
-        for e in range(1, len(self.tag)):
+            if self.tag[e] not in JUNK_TAGS:
+                chars[self.parent[e]] += chars[e]
+        for e in range(1, n):
             tag, up = self.tag[e], self.parent[e]
             if tag == "header":
                 self.junk[e] = not (holds[e] and any(self.tag[x] in ARTICLE for x in self.above(e)))
-            elif self.junk[e] and tag not in JUNK_TAGS and (holds[e] or tag in ("html", "body")):
+            elif self.junk[e] and tag not in JUNK_TAGS and (holds[e] or tag in ("html", "body") or self.named[e] and 2 * chars[e] > chars[0]):
                 self.junk[e] = False
             self.junk[e] |= self.junk[up]
 
@@ -154,33 +177,43 @@ class Page:
 
 
 def _marked(attrs: str) -> bool:
-    """Whether an element's role, class or id says that it is no part of an article."""
+    """Whether an element is hidden or its role says that it is no part of an article."""
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value.strip() in JUNK_ROLES:
             return True
-        if name in ("class", "id") and not JUNK_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _named(attrs: str, in_article: bool) -> bool:
+    """Whether one of a container's class names (outside articles also its id) names a junk part and nothing else."""
+    for name, *values in ATTRIBUTE.findall(attrs):
+        if name.lower() == "class" or name.lower() == "id" and not in_article:
+            for token in "".join(values).lower().split():
+                parts = set(re.split(r"[^a-z]+", token)) - {""}
+                if parts & JUNK_WORDS and parts <= JUNK_WORDS | LAYOUT_WORDS:
+                    return True
+    return False
+
+
 def main_text(source: str | None) -> str:
     """Text of the article's blocks, joined by newlines."""
     page = Page(source or "")
     n = len(page.tag)
-    points, chars, linked, blocks = [0.0] * n, [0] * n, [0] * n, []
+    points, chars, linked, pieces_, blocks = [0.0] * n, [0] * n, [0] * n, [0] * n, []
     for owner, pieces in page.blocks:
         kept = [(e, t) for e, t in pieces if not page.junk[e]]
-        if text := " ".join("".join(t for _, t in kept).split()):
+        if text := SPACES.sub(" ", "".join(t for _, t in kept)).strip(" "):
             blocks.append((owner, text))
             links = sum(len(t) for e, t in kept if page.links[e])
             for e in (owner, *page.above(owner)):
                 chars[e] += len(text)
                 linked[e] += min(links, len(text))
+                pieces_[e] += 1
             paragraph = page.tag[owner] in PARAGRAPH
             if paragraph and page.tag[owner][0] != "h" or len(text) >= 25:
                 earned = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // 100, 3)
@@ -203,7 +236,7 @@ def main_text(source: str | None) -> str:
         if 0 not in kept and kept.isdisjoint(chain):
             continue
         inner = chain[: next((k for k, e in enumerate(chain) if e in kept), len(chain))]
-        if any(page.tag[e] in ("ul", "ol", "div", "section", "table", "dl") and density[e] > 0.5 for e in inner):
+        if any(page.tag[e] in LISTS and density[e] > 0.9 and pieces_[e] > 1 and chars[e] < SHORT_LINK * pieces_[e] for e in inner):
             continue  # a menu within the article
         out.append(text)
     return "\n".join(out)
@@ -222,7 +255,6 @@ def _siblings(page: Page, best: int, score: list[float], density: list[float], c
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each page. Narrow: no shuffle."""
-    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
