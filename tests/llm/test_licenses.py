@@ -97,3 +97,9 @@ def test_registered_library_finds_whole_texts_and_notices(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r["doc_id"], r["license"], r["coverage"]) for r in queries.op2_licenses(spark, str(tmp_path)).collect()}
     assert {(i, name, 1.0) for i, name in enumerate(names)} <= got
+
+
+def test_ids_beyond_doubles(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    d = spark.createDataFrame([(i, licenses.TEMPLATES["mit"]) for i in ids], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in licenses.scanned(d).collect()} == set(ids)

@@ -7,7 +7,7 @@ import pytest
 from tracemill.llm import packing, wordids
 from corpus_pipeline import tokenizer_path
 
-ODD = ["it's we'll a_b 12 x3y ÉCOLE straße <|endoftext|> a.b,c x́y İ ΣΑΣ ΟΔΟΣ, 中文字 ½ x² ٣ don't!? \x1c z", "", " \n", "A" * 500, "’s naïve—dash “q”"]
+ODD = ["hello <|endoftext|> there", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|><|endoftext|>", "it's we'll a_b 12 x3y ÉCOLE straße <|endoftext|> a.b,c x́y İ ΣΑΣ ΟΔΟΣ, 中文字 ½ x² ٣ don't!? \x1c z", "", " \n", "A" * 500, "’s naïve—dash “q”"]
 
 
 def ids_of(model, text):
@@ -18,9 +18,7 @@ def ids_of(model, text):
 def model():
     from tokenizers import Tokenizer
 
-    m = Tokenizer.from_file(tokenizer_path())
-    m.encode_special_tokens = True
-    return m
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_word_ids_equal_the_tokenizers(model, monkeypatch):
@@ -70,3 +68,15 @@ def test_packed_round_trip(spark, model):
 
 def test_empty(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_ids_beyond_doubles(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    got = packing.packed(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").coalesce(1), tokenizer_path()).collect()
+    assert {r["doc_id"] for r in got} == set(ids)
+
+
+def test_many_short_pieces():
+    sizes = np.ones(786_432, np.int64)
+    window = packing.pack(sizes)
+    assert np.bincount(window, sizes).max() <= 4096 and window.max() + 1 <= 194

@@ -32,3 +32,9 @@ def test_shards(spark):
 
 def test_empty(spark):
     assert sharding.shards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_beyond_doubles(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    d = spark.createDataFrame([(i, f"text number {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in sharding.shards(d).collect()} == set(ids)

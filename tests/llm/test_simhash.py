@@ -65,3 +65,16 @@ def test_components_match_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_beyond_doubles(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    d = spark.createDataFrame([(i, f"text number {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in simhash.near_duplicates(d).collect()} == set(ids)
+
+
+def test_stage_is_the_same_each_time(spark):
+    rows = [(1, "some words of a text", "x"), (1, "some words of a text", "y"), (2, "some words of a text", "z"), (2**60 + 1, "another text", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    got = [sorted(map(repr, simhash.one_of_each_group(docs.orderBy(order)).collect())) for order in ("`a.b`", "text")]
+    assert got[0] == got[1] and len(got[0]) == 3

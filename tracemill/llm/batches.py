@@ -1,20 +1,21 @@
-"""Small shared pieces of the corpus operators."""
+"""Small shared pieces of the corpus operators.
 
-from __future__ import annotations
+Arrow batches of texts are bounded by Spark's own spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set);
+nothing here changes the session. Ids never pass through pandas, where a null would turn a batch of longs into
+floats: they stay on the JVM's side, or travel as strings.
+"""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
 
-#: Rows of one Arrow batch. Texts may be long, so batches are kept small.
-ROWS_PER_BATCH = 256
-#: Rows of a batch of words or numbers.
-SHORT_ROWS_PER_BATCH = 20_000
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: a batch holds few documents, whatever their length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, whatever their names hold."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
-def large_batches(spark: SparkSession) -> None:
-    """For rows that are short whatever the documents are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHORT_ROWS_PER_BATCH))
+def id_text(name: str = "doc_id") -> Column:
+    """An id as text, exact at any size; null stays null."""
+    return F.col(name).cast("long").cast("string")

@@ -30,8 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import small_batches
-
 GRAM, WINDOW, BAND = 3, 2, 12
 SHORT_GRAM, SHORT = 2, 15
 COVERAGE = 0.8
@@ -223,22 +221,21 @@ def indexes(templates: dict[str, str], most: int = MAX_POSTINGS) -> list[Index]:
     return [Index(group) for group in groups]
 
 
-SCHEMA = "doc_id long, license string, start_char long, end_char long, matched_words long, template_words long, coverage double"
+FOUND = "license string, start_char long, end_char long, matched_words long, template_words long, coverage double"
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, most: int = MAX_POSTINGS) -> DataFrame:
     """One row for each place of a license in a text: doc_id, license, start_char, end_char, matched_words,
     template_words, coverage. Narrow; a pass over the texts for each index of the library."""
-    small_batches(docs.sparkSession)
-    columns = [x.split()[0] for x in SCHEMA.split(", ")]
+    columns = [x.split()[0] for x in FOUND.split(", ")]
 
     def by(index: Index) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
-                rows = [(i, *row) for i, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for row in found_in(text, index, coverage)]
-                yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+                yield b.map(lambda text: [dict(zip(columns, row, strict=True)) for row in found_in(text, index, coverage)], na_action=None)
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+        found = F.pandas_udf(run, f"array<struct<{FOUND.replace(' ', ':').replace(',:', ', ')}>>")
+        return docs.select(F.col("doc_id").cast("long"), F.explode(found("text")).alias("_found")).select("doc_id", "_found.*")
 
     passes = [by(index) for index in indexes(templates, most)]
-    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, passes) if passes else docs.sparkSession.createDataFrame([], f"doc_id long, {FOUND}")

@@ -7,7 +7,8 @@ fullest window of one with the emptiest of the other, which leaves windows near-
 exceeds the capacity, the block is packed again with one more window.
 
 Defined results: a null or empty text has only the closing id; repeated rows are packed one by one; null
-doc_ids are kept; an empty table gives no rows. Extra columns of the input are ignored.
+doc_ids are kept and ids of any size stay exact; an empty table gives no rows; the name of a special token within a
+text is that token, as in the tokenizer's own call. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,33 +22,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import small_batches
+from tracemill.llm.batches import id_text
 from tracemill.llm.wordids import word_ids
 from tracemill.storage import checkpointed
 
 CAPACITY, END_ID = 4096, 2
 #: Most ids of a piece that shares its sequence: short enough for differencing to level the windows.
 PIECE = 1024
+#: Pieces shorter than this are first laid together.
+BUNDLE = 64
 #: Sequences of one block: the unit of work of one task.
 WINDOWS = 192
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): runs of `capacity` ids, the rest in runs of at most `piece`."""
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, end = word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out = []
-            for doc, found in zip(b["doc_id"], known.texts(["" if t is None else t for t in b["text"]]), strict=True):
+            for found in known.texts(["" if t is None else t for t in b]):
                 ids = memoryview(found + end)
                 n, whole = len(ids) // 4, len(ids) // 4 // capacity * capacity
                 cuts = [*range(0, whole, capacity), *range(whole, n, piece), n]
-                out += [(doc, at, to - at, zlib.crc32(ids[4 * at : 4 * to]), n) for at, to in zip(cuts, cuts[1:], strict=False)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                out.append([{"start": at, "length": to - at, "ids_crc32": zlib.crc32(ids[4 * at : 4 * to]), "doc_tokens": n} for at, to in zip(cuts, cuts[1:], strict=False)])
+            yield pd.Series(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = F.pandas_udf(run, "array<struct<start:long, length:long, ids_crc32:long, doc_tokens:long>>")
+    return docs.select(F.col("doc_id").cast("long"), F.explode(cut("text")).alias("_piece")).select("doc_id", "_piece.*")
 
 
 def balance(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -82,13 +85,30 @@ def balance(sizes: np.ndarray, windows: int) -> np.ndarray:
     return window
 
 
+def bundled(sizes: np.ndarray, least: int = BUNDLE) -> np.ndarray:
+    """Bundle of each size: sizes of `least` or more alone, smaller ones together, in order, up to about that size.
+
+    A block's partial partitions are then bounded by its tokens, however short its pieces are.
+    """
+    small = sizes < least
+    into = np.cumsum(np.where(small, sizes, 0)) // least
+    alone = np.flatnonzero(~small)
+    bundle = np.empty(len(sizes), np.int64)
+    bundle[alone] = np.arange(len(alone))
+    _, bundle[small] = np.unique(into[small], return_inverse=True)
+    bundle[small] += len(alone)
+    return bundle
+
+
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Window of each size; as few windows as fit, one more whenever the fullest exceeds the capacity."""
     windows = max(1, -(-int(sizes.sum()) // capacity))
+    bundle = bundled(sizes)
+    together = np.bincount(bundle, sizes).astype(np.int64)
     while True:
-        window = balance(sizes, windows)
-        if np.bincount(window, sizes, minlength=windows).max() <= capacity:
-            return window
+        window = balance(together, windows)
+        if not len(sizes) or np.bincount(window, together, minlength=windows).max() <= capacity:
+            return window[bundle]
         windows += 1
 
 
@@ -109,6 +129,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     cut = checkpointed(pieces(docs, tokenizer, capacity)).withColumn("at", F.monotonically_increasing_id())
     tokens = cut.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(tokens / (capacity * WINDOWS)))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks)))
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("block").applyInPandas(lambda b: _pack_block(b, capacity), kinds)
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(blocks))).withColumn("doc_id", id_text())
+    kinds = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out = dealt.groupBy("block").applyInPandas(lambda b: _pack_block(b, capacity), kinds)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

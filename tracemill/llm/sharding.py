@@ -7,7 +7,7 @@ equal part of all bytes belongs to shard k; shards are contiguous and differ fro
 than one row.
 
 Defined results: a null text has one byte and checksum 0; null doc_ids come first; repeated rows are
-adjacent and keep one row each; an empty table gives no rows. Extra columns of the input are ignored.
+adjacent and keep one row each; an empty table gives no rows; ids of any size stay exact. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +43,21 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
         starts[t["part"]] = (before, position)
         before, position = before + t["size"], position + t["n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            at = at or starts[int(b["part"].iloc[0])]
-            sums = np.cumsum(b[size].to_numpy())
-            b["before"], b["position"] = at[0] + sums - b[size].to_numpy(), at[1] + np.arange(len(b))
-            at = (at[0] + int(sums[-1]), at[1] + len(b))
-            yield b.drop(columns="part")
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            at = at or starts[columns.pop("_part")[0].as_py()]
+            sizes = columns[size].to_numpy()
+            sums = np.cumsum(sizes)
+            columns |= {"before": pa.array(at[0] + sums - sizes), "position": pa.array(at[1] + np.arange(len(sizes)))}
+            at = (at[0] + int(sums[-1]), at[1] + len(sizes))
+            yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", before long, position long"
-    return dealt.withColumn("part", part).mapInPandas(run, kinds), before, position
+    return dealt.withColumn("_part", part).mapInArrow(run, kinds), before, position
 
 
 def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:

@@ -9,7 +9,7 @@ Fingerprints are joined on these keys and verified on all 64 bits; nothing is mi
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows
 keep one row each; a null doc_id gets its group's component; if a group has only null ids, so is its
-component. Extra columns of the input are ignored.
+component; ids of any size stay exact. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.batches import small_batches
+from tracemill.llm.batches import whole_row
 from tracemill.operators.graph import connected_components
 from tracemill.storage import checkpointed, written
 
@@ -57,16 +57,16 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Narrow; one pass over whole texts."""
-    small_batches(docs.sparkSession)
+def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for b in batches:
+        yield pd.Series(np.fromiter((fingerprint(t) for t in b), dtype="<u8", count=len(b)).view("<i8"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t) for t in b["text"]), dtype="<u8", count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view("<i8")})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp, more): fp is the fingerprint as a signed long. Narrow; one pass over whole texts."""
+    # so marked, it runs once a row, whatever is done with its result
+    fp = F.pandas_udf(_prints, "long").asNondeterministic()("text")
+    return docs.select(F.col("doc_id").cast("long"), *more, fp.alias("fp"))
 
 
 def _remainders() -> np.ndarray:
@@ -197,9 +197,9 @@ def links(distinct: DataFrame) -> DataFrame:
     return placed.mapInPandas(run, "src long, dst long").distinct()
 
 
-def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, least, root) of each fingerprint; a component shares one root."""
-    prints = written(fingerprints(docs))
+def _rooted(docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, more) of each row, and (fp, least, root) of each fingerprint; a component shares one root."""
+    prints = written(fingerprints(docs, *more))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(written(links(distinct)))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
@@ -220,16 +220,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs' rows, one of each component: that of the smallest doc_id (nulls last, then by fingerprint)."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(np.fromiter((fingerprint(t) for t in b), dtype="<u8", count=len(b)).view("<i8"))
-
-    prints, of_print = _rooted(docs)
-    first = prints.join(of_print, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
-    chosen = first.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("first.fp").alias("_fp"))
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key, F.pandas_udf(run, "long").asNondeterministic()("text").alias("_fp"))
-    return rows.join(chosen, ["_id", "_fp"], "left_semi").dropDuplicates(["_id", "_fp"]).select("_row.*")
+    """docs' rows, one of each component: that of the smallest doc_id (nulls last, then by fingerprint, then by a
+    hash of the whole row, so reruns agree)."""
+    digest = F.xxhash64(whole_row(docs)).alias("digest")
+    prints, of_print = _rooted(docs, digest)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")
+    chosen = prints.join(of_print, "fp").groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.digest").alias("_digest"), F.col("first.fp").alias("_fp"))
+    again = docs.select(whole_row(docs).alias("_row"), digest.alias("_digest"), F.pandas_udf(_prints, "long").asNondeterministic()("text").alias("_fp"))
+    return again.join(chosen, ["_digest", "_fp"], "left_semi").dropDuplicates(["_digest", "_fp"]).select("_row.*")

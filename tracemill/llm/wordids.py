@@ -22,15 +22,15 @@ PART = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 class WordIds:
     """No id spans white space, and none spans two parts, so a text's ids are those of its parts in order.
 
-    What has been learnt is kept by the Python worker across tasks. Names of special tokens within a text
-    are ordinary text.
+    What has been learnt is kept by the Python worker across tasks. A word that holds the name of a special
+    token goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.model.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocab = self.model.get_vocab()
@@ -55,7 +55,7 @@ class WordIds:
             self.parts.clear()
         cut = {}
         for w in words:
-            if len(w) < 200 and _plain(w):
+            if len(w) < 200 and _plain(w) and not any(t in w.lower() for t in self.special):
                 cut[w] = PART.findall(w.lower())
             else:
                 self.words[w] = self._ids(w).tobytes()
