@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.batches import whole_row
+from tracemill.storage import checkpointed
 
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample: documents of each language.
@@ -37,6 +38,8 @@ EMBEDDED, HIDDEN, STEPS, BATCH, DRAWN, RATE = 8, 8, 300, 128, (12, 40, 96), 0.02
 CORES, MARGIN = (32, 96, 224), 16
 #: Windows computed at once, and bytes of text held as windows.
 TOGETHER, HELD = 1536, 4_000_000
+#: Sampled ids that may be broadcast; with more languages they meet their texts by a shuffle.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = 0x20
@@ -232,8 +235,9 @@ def training_texts(docs: DataFrame) -> dict[str, list[bytes]]:
     h = F.xxhash64("doc_id")
     part = F.pmod(h, F.lit(SAMPLE_DOCS)).alias("part")
     first = usable.groupBy("lang", part).agg(F.min(F.struct(h.alias("h"), "doc_id"))["doc_id"].alias("doc_id"))
-    # SAMPLE_DOCS ids a language; Spark's own threshold decides whether that is broadcast
-    sample = usable.join(first.select("doc_id", "lang"), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    chosen = checkpointed(first.select("doc_id", "lang"))  # SAMPLE_DOCS ids a language at most
+    chosen = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    sample = usable.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     out: dict[str, list[bytes]] = {}
     for lang, _, text in sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.collect()):
         if LETTER.search(text):
