@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracemill.llm import quality
 
@@ -35,38 +36,84 @@ def vector(text):
     return np.floor(256 * np.array(values) + 0.5)
 
 
+def factor(cov):
+    """Cholesky factor whose pivots are at least the floors."""
+    low = np.zeros((4, 4))
+    for i in range(4):
+        for j in range(i):
+            low[i, j] = (cov[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        low[i, i] = max(cov[i, i] - low[i, :i] @ low[i, :i], (quality.FLOORS[i] * 256) ** 2) ** 0.5
+    return low
+
+
+def distances(x, m, low):
+    return (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+
+
+def weighted(x, f):
+    m = f @ x / f.sum()
+    return m, (x.T * f) @ x / f.sum() - np.outer(m, m)
+
+
+def nearest_share(d2, share):
+    """Weight of each document: bins of distance in order until the share is full, the last one in part."""
+    b, left, f = np.floor(16 * np.log2(1 + d2)), np.ceil(share * len(d2)), np.zeros(len(d2))
+    for v in np.unique(b):
+        f[b == v] = min(1, max(0, left / (b == v).sum()))
+        left -= (b == v).sum()
+    return f, b
+
+
+def estimate(x):
+    at = lambda p: np.sort(x, 0)[int(np.ceil(p * len(x))) - 1]
+    found = []
+    for m, cov in ((at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2)), weighted(x, np.ones(len(x)))):
+        low = factor(cov)
+        for _ in range(quality.STEPS):
+            m, cov = weighted(x, nearest_share(distances(x, m, low), 0.75)[0])
+            low = factor(quality._consistent(0.75) * cov)
+        found.append((round(np.log(np.diag(low)).sum(), 9), len(found), m, low))
+    _, _, m, low = min(found, key=lambda t: t[:2])
+    f, b = nearest_share(distances(x, m, low), 0.75)
+    f[b <= int(16 * np.log2(1 + quality._quantile(0.975, 4)))] = 1
+    m, cov = weighted(x, f)
+    return f.sum(), m, factor(quality._consistent(0.975) * cov)
+
+
 def test_estimates_match_numpy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = docs.collect()
     got = {r["doc_id"]: r for r in quality.verdicts(docs).collect()}
-    floor = (np.array(quality.FLOORS) * 256) ** 2
-
-    def estimate(x):
-        m, s = np.array([np.sort(x[:, k])[int(np.ceil(0.5 * len(x))) - 1] for k in range(4)]), np.array([(np.sort(x[:, k])[int(np.ceil(0.75 * len(x))) - 1] - np.sort(x[:, k])[int(np.ceil(0.25 * len(x))) - 1]) / 1.349 for k in range(4)])
-        cov = np.diag(s**2 + floor)
-        for step in range(quality.STEPS + 1):
-            last = step == quality.STEPS
-            d2 = (np.linalg.solve(np.linalg.cholesky(cov), (x - m).T) ** 2).sum(0)
-            b = np.floor(16 * np.log2(1 + d2))
-            if last:
-                near = b <= int(16 * np.log2(1 + quality._quantile(0.975, 4)))
-            else:
-                near = np.array([(b < v).sum() < np.ceil(0.75 * len(x)) for v in b])
-            share = 0.975 if last else 0.75
-            m, cov = x[near].mean(0), quality._consistent(share) * np.cov(x[near].T, bias=True) + np.diag(floor)
-        return m, cov
-
     good = [r for r in rows if not naive(r["text"])[5]]
-    by_lang = {}
-    for lang in {r["lang"] for r in rows}:
-        mine = [vector(r["text"]) for r in good if r["lang"] == lang]
-        by_lang[lang] = estimate(np.array(mine)) if len(mine) >= quality.MIN_GROUP else None
-    whole = estimate(np.array([vector(r["text"]) for r in good]))
-    for r in rows:  # sources are small here
-        m, cov = by_lang[r["lang"]] or whole
-        z = np.linalg.solve(np.linalg.cholesky(cov), vector(r["text"]) - m)
-        assert abs(got[r["doc_id"]]["d2"] - z @ z) <= 1e-6 * max(1, z @ z)
-        assert got[r["doc_id"]]["kept"] == (not naive(r["text"])[5] and z @ z <= quality.CUTOFF)
+    own = {}
+    for r in good:
+        own.setdefault((r["lang"], r["source"]), []).append(vector(r["text"]))
+    of_lang = {lang: estimate(np.array([v for k, vs in own.items() if k[0] == lang for v in vs])) for lang in {r["lang"] for r in rows}}
+    of = {k: estimate(np.array(v)) if len(v) >= quality.MIN_GROUP else of_lang[k[0]] for k, v in own.items()}
+    assert sum(len(v) for v in own.values() if len(v) >= quality.MIN_GROUP) > 0.6 * len(good)  # most are judged by their own group
+    for r in rows:
+        if (r["lang"], r["source"]) not in of:
+            assert not got[r["doc_id"]]["kept"]
+            continue
+        w, m, low = of[(r["lang"], r["source"])]
+        (d2,) = distances(vector(r["text"])[None], m, low)
+        assert abs(got[r["doc_id"]]["d2"] - d2) <= 1e-6 * max(1, d2)
+        k = w - 4
+        y = k / (k + 4 * d2 * w * k / (4 * (w - 1) * (w + 1)))
+        assert got[r["doc_id"]]["kept"] == (not naive(r["text"])[5] and y ** (k / 2) * (1 + k / 2 * (1 - y)) >= quality.ALPHA)
+
+
+def test_tail_probability_by_simulation(spark):
+    rng = np.random.default_rng(4)
+    w, n = 12, 40_000
+    x = rng.standard_normal((n, w, 4))
+    m, c = x.mean(1), np.einsum("nwi,nwj->nij", x, x) / w
+    c -= np.einsum("ni,nj->nij", m, m)
+    d = rng.standard_normal((n, 4)) - m
+    d2 = np.einsum("ni,nij,nj->n", d, np.linalg.inv(c * w / (w - 1)), d)
+    for at in (5.0, 20.0, 60.0):
+        p = np.exp(spark.range(1).select(quality._surprise(F.lit(at), F.lit(float(w)))).first()[0])
+        assert abs(p - (d2 >= at).mean()) < 4 * (p / n) ** 0.5 + 1e-4
 
 
 def test_clean_kept_and_junk_rejected(spark):
@@ -88,3 +135,6 @@ def test_empty_and_all_failed(spark):
     assert quality.verdicts(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = quality.verdicts(spark.createDataFrame([(None, None, None, None)] * 2, SCHEMA)).collect()
     assert [r["kept"] for r in rows] == [False, False]
+    few = spark.createDataFrame([(2**60 + 1, "a few plain words that are all different from each other here", None, "s", 1)] * 3 + [(None, "x " * 50_000, "en", None, 2)], "doc_id long, text string, lang string, source string, `a.b` int")
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in quality.verdicts(few).collect()) == [(0, False)] + [(2**60 + 1, True)] * 3
+    assert quality.good_documents(few).columns == few.columns and quality.good_documents(few).count() == 3

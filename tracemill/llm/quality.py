@@ -2,18 +2,21 @@
 
 Base counts are taken of every whole text. Documents that pass the base rules give a vector of four
 transformed statistics: mean word length, symbols, repeated lines and repeated words. For each language
-and source (and for each language and overall, where a group is small) the minimum-covariance-determinant
-estimate is found by concentration steps: each step takes the share COVER of the group's documents that
-lie nearest by the current Mahalanobis distance and estimates centre and covariance anew from them. A
-final step reweights. Documents beyond CUTOFF are rejected.
+and source the minimum-covariance-determinant estimate is found by concentration steps from two starts: each step
+takes the share COVER of the group's documents that lie nearest by the current Mahalanobis distance and estimates
+centre and covariance anew from them; the start that ends with the smaller determinant is kept, and a last step
+reweights. A document is rejected if a distance as large as its own has a probability below ALPHA, the number
+of documents behind the estimate considered. Groups of under MIN_GROUP documents, twice the number of statistics,
+have no estimate of their own and take their language's, or that of all documents.
 
-A step is one aggregation by (group, distance bin): the bins below the share's bin are then summed, so
-a group of any size is pre-aggregated before it is shuffled and no second pass is needed. Statistics are
-whole numbers (1/SCALE units), so sums and verdicts don't depend on the order of rows.
+Documents are first counted by (language, source, vector); a step is one aggregation of these counts by (group,
+distance bin), so a group of any size is pre-aggregated before it is shuffled. Statistics are whole numbers (1/SCALE
+units), so sums and verdicts don't depend on the order of rows.
 
 Defined results: a null text has no words and fails the base rules; null lang and null source are groups
 of their own; repeated rows count and are judged one by one; without any document that passes the base
-rules nothing is estimated; in an empty table there are no rows. Extra columns of the input don't matter.
+rules nothing is estimated; where even all documents are too few for the distribution (five or fewer taken), only
+the base rules judge; in an empty table there are no rows. Extra columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.llm.batches import whole_row
 from tracemill.storage import checkpointed, written
 
 MIN_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20
-#: Groups with fewer documents take the estimate of their language, or of all documents.
-MIN_GROUP = 200
+#: Least documents of a group with an estimate of its own: twice as many as statistics.
+MIN_GROUP = 8
 COVER, REWEIGHT, STEPS = 0.75, 0.975, 5
-#: Squared distance: the quantile 1 - 1e-12 of chi-square with four degrees of freedom.
-CUTOFF = 62.0
+#: Probability of a distance below which a document is rejected.
+ALPHA = 1e-6
 SCALE = 256
-#: Least standard deviation of each statistic, so that statistics that are the same for most documents don't
-#: turn small differences into outliers.
+#: Least deviation of each statistic (the earlier ones given), so that statistics that are the same for most
+#: documents don't turn small differences into outliers.
 FLOORS = (0.06, 0.25, 0.35, 0.35)
 #: Pseudo-counts that draw the statistics of short documents to what is usual.
 PSEUDO_WORDS, PSEUDO_LINES, USUAL_LENGTH = 50, 10, 5
@@ -120,18 +124,22 @@ def _consistent(p: float) -> float:
     return p / _share_below(_quantile(p, k), k + 2)
 
 
-def _factored(stats: DataFrame, factor: float) -> DataFrame:
-    """(key, n, m0.., l00..): centres and Cholesky factors from (key, n, w, s*, s**), w documents summed."""
-    d = stats.select("key", "n", *((F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in DIMS), *((F.col(f"s{i}{j}") / F.col("w")).alias(f"q{i}{j}") for i in DIMS for j in range(i + 1)))
-    for i in DIMS:
-        for j in range(i + 1):
-            c = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + (FLOORS[i] * SCALE) ** 2
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"l{j}{j}"))
-    return checkpointed(d.select("key", "n", *(f"m{i}" for i in DIMS), *(f"l{i}{j}" for i in DIMS for j in range(i + 1))))
+SQUARES = [(i, j) for i in DIMS for j in range(i + 1)]
+SUMS = [f"s{i}" for i in DIMS] + [f"s{i}{j}" for i, j in SQUARES]
+FOUND = [f"m{i}" for i in DIMS] + [f"l{i}{j}" for i, j in SQUARES]
+
+
+def _factored(stats: DataFrame, *by: str, factor: float) -> DataFrame:
+    """(by, n, w, m0.., l00..): centres and Cholesky factors from (by, n, w, s*, s**), w documents summed. No
+    pivot (the deviation of a statistic, the earlier ones given) is less than its floor."""
+    means = [(F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in DIMS]
+    d = stats.select(*by, "n", "w", *means, *((F.col(f"s{i}{j}") / F.col("w")).alias(f"q{i}{j}") for i, j in SQUARES))
+    for i, j in SQUARES:
+        c = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
+        for k in range(j):
+            c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit((FLOORS[i] * SCALE) ** 2))) if i == j else c / F.col(f"l{j}{j}"))
+    return checkpointed(d.select(*by, "n", "w", *FOUND))
 
 
 def _distance(d: DataFrame, of: str = "") -> DataFrame:
@@ -149,57 +157,91 @@ def _bin(d2: Column) -> Column:
     return F.floor(BINS_PER_OCTAVE * F.log2(1 + d2)).cast("int")
 
 
-def _small(spread: DataFrame, estimates: DataFrame) -> DataFrame:
-    return spread.join(F.broadcast(estimates) if estimates.count() <= MOST_BROADCAST else estimates, "key")
+def _sided(estimates: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(estimates) if few else estimates
 
 
-def _step(spread: DataFrame, estimates: DataFrame, cover: float, fixed: bool) -> DataFrame:
-    """One concentration step; fixed: take all within the normal quantile of `cover` instead of a share."""
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in DIMS] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]
-    placed = _distance(_small(spread, estimates)).withColumn("bin", _bin(F.col("d2")))
-    binned = placed.groupBy("key", "bin").agg(F.count("*").alias("w"), *sums)
-    below = F.coalesce(F.sum("w").over(W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("w").over(W.partitionBy("key"))
-    near = F.col("bin") <= int(BINS_PER_OCTAVE * math.log2(1 + _quantile(cover, len(FLOORS)))) if fixed else F.col("below") < F.ceil(cover * F.col("n"))
-    chosen = binned.withColumn("below", below).withColumn("n", total).where(near | (F.col("below") == 0))
-    return chosen.groupBy("key").agg(F.max("n").alias("n"), F.sum("w").alias("w"), *(F.sum(s).alias(s) for s in [f"s{i}" for i in DIMS] + [f"s{i}{j}" for i in DIMS for j in range(i + 1)]))
+def _step(spread: DataFrame, estimates: DataFrame, few: bool, *by: str, reweight: bool = False) -> DataFrame:
+    """One concentration step: sums over the nearest share COVER of each group's documents, the bin that the share
+    ends in with the part that is missing; reweight: also all within the normal quantile REWEIGHT."""
+    n = F.col("n")
+    sums = [F.sum(n * F.col(f"x{i}")).alias(f"s{i}") for i in DIMS] + [F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in SQUARES]
+    placed = _distance(spread.join(_sided(estimates.drop("n", "w"), few), "key")).withColumn("bin", _bin(F.col("d2")))
+    binned = placed.groupBy(*by, "bin").agg(F.sum(n).alias("w"), *sums)
+    below = F.sum("w").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("w")
+    total = F.sum("w").over(W.partitionBy(*by))
+    share = (F.ceil(COVER * F.col("n")) - F.col("below")) / F.col("w")
+    if reweight:
+        share = F.when(F.col("bin") <= int(BINS_PER_OCTAVE * math.log2(1 + _quantile(REWEIGHT, len(FLOORS)))), 1.0).otherwise(share)
+    chosen = binned.withColumn("below", below).withColumn("n", total).withColumn("part", F.least(share, F.lit(1.0))).where("part > 0")
+    # whole bins add up in whole numbers, so the order of rows doesn't matter; one bin at most is taken in part
+    add = lambda c: F.coalesce(F.sum(F.when(F.col("part") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part") * F.col(c))), F.lit(0.0))
+    return chosen.groupBy(*by).agg(F.max("n").alias("n"), *(add(c).alias(c) for c in ("w", *SUMS)))
 
 
-def _start(spread: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and spreads (quartile distances) of each group, from counts of equal values."""
+def _starts(spread: DataFrame) -> DataFrame:
+    """(key, start, n, w, sums): what the concentration starts from. 0: coordinate-wise medians and quartile
+    distances, from counts of equal values; 1: the mean and covariance of the whole group."""
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in DIMS))).alias("v")
-    counts = spread.select("key", values).groupBy("key", "v.i", "v.x").agg(F.count("*").alias("w"))
+    counts = spread.select("key", "n", values).groupBy("key", "v.i", "v.x").agg(F.sum("n").alias("w"))
     by = W.partitionBy("key", "i")
     ranked = counts.withColumn("upto", F.sum("w").over(by.orderBy("x"))).withColumn("n", F.sum("w").over(by))
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("n"), F.col("x")))
     parts = ranked.groupBy("key", "i").agg(F.max("n").alias("n"), at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
     one = lambda name, i: F.max(F.when(F.col("i") == i, F.col(name)))
     wide = parts.groupBy("key").agg(F.max("n").alias("n"), *(one("m", i).alias(f"m{i}") for i in DIMS), *(one("s", i).alias(f"d{i}") for i in DIMS))
-    second = [(F.col(f"m{i}") * F.col(f"m{j}") + (F.col(f"d{i}") * F.col(f"d{i}") if i == j else 0)).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]
-    return wide.select("key", "n", F.lit(1).alias("w"), *(F.col(f"m{i}").alias(f"s{i}") for i in DIMS), *second)
+    second = [(F.col(f"m{i}") * F.col(f"m{j}") + (F.col(f"d{i}") * F.col(f"d{i}") if i == j else 0.0)).alias(f"s{i}{j}") for i, j in SQUARES]
+    medians = wide.select("key", F.lit(0).alias("start"), "n", F.lit(1.0).alias("w"), *(F.col(f"m{i}").cast("double").alias(f"s{i}") for i in DIMS), *second)
+    n = F.col("n")
+    sums = [F.sum(n * F.col(f"x{i}")).cast("double").alias(f"s{i}") for i in DIMS] + [F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"s{i}{j}") for i, j in SQUARES]
+    means = spread.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n").cast("double").alias("w"), *sums)
+    return medians.unionByName(means.withColumn("start", F.lit(1)))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row a group: centre and Cholesky factor. rows: lang, source, x0.. of documents that passed the base."""
-    spread = rows.select(F.explode(F.array(*_keys())).alias("key"), *(f"x{i}" for i in DIMS))
-    found = _factored(_start(spread), 1.0)
+    """(group, n, w, m0.., l00..): the estimate that each language and source is judged by. rows: lang, source, x0..
+    of documents that passed the base rules.
+
+    A language and source with MIN_GROUP documents has its own estimate; one with fewer has that of its language,
+    one of a language with fewer that of all documents.
+    """
+    xs = [f"x{i}" for i in DIMS]
+    names = [k.alias(f"k{level}") for level, k in enumerate(_keys())]
+    vectors = checkpointed(rows.groupBy("lang", "source", *xs).agg(F.count("*").alias("n")).select(*names, *xs, "n"))
+    groups = vectors.groupBy("k0", "k1", "k2").agg(F.sum("n").alias("n0"))
+    of_lang = groups.groupBy("k1").agg(F.sum("n0").alias("n1"))
+    key = F.when(F.col("n0") >= MIN_GROUP, F.col("k0")).when(F.col("n1") >= MIN_GROUP, F.col("k1")).otherwise(F.col("k2"))
+    groups = checkpointed(groups.join(of_lang, "k1").select("k0", key.alias("key")))
+    few = groups.count() <= MOST_BROADCAST
+    deciding = groups.select("key").distinct()
+    each = [vectors.select(F.col(f"k{level}").alias("key"), *xs, "n").join(_sided(deciding, few), "key", "left_semi") for level in range(3)]
+    spread = checkpointed(each[0].unionByName(each[1].unionByName(each[2]).groupBy("key", *xs).agg(F.sum("n").alias("n"))))
+    found = _factored(_starts(spread), "key", "start", factor=1.0)
     for _ in range(STEPS):
-        found = _factored(_step(spread, found, COVER, False), _consistent(COVER))
-    return _factored(_step(spread, found, REWEIGHT, True), _consistent(REWEIGHT))
+        found = _factored(_step(spread, found, few, "key", "start"), "key", "start", factor=_consistent(COVER))
+    size = F.struct(F.round(sum((F.log(f"l{i}{i}") for i in DIMS), F.lit(0.0)), 9), "start")  # of the determinant
+    best = found.groupBy("key").agg(F.min_by(F.struct("n", "w", *FOUND), size).alias("b")).select("key", "b.*")
+    last = _factored(_step(spread, best, few, "key", reweight=True), "key", factor=_consistent(REWEIGHT))
+    return checkpointed(groups.join(_sided(last, few), "key").select(F.col("k0").alias("group"), "n", "w", *FOUND))
+
+
+def _surprise(d2: Column, w: Column) -> Column:
+    """Log probability of a squared distance or more from an estimate of w documents, if all were normal: k statistics
+    and w - k degrees of freedom (F distribution, in closed form for k = 4)."""
+    k = len(FLOORS)
+    half = (w - k) / 2
+    tail = d2 * w / ((w - 1) * (w + 1))  # k / (w - k) times an F-distributed value
+    y = 1 / (1 + tail)
+    return F.when(w > k + 1, half * F.log(y) + F.log1p(half * (1 - y))).otherwise(F.lit(0.0))
 
 
 def judged(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (lang, source, x0.., base_failed) with d2 and kept, by each row's finest group of MIN_GROUP or more."""
-    few = found.count() <= MOST_BROADCAST
-    names = [c for c in found.columns if c != "key"]
-    d = rows.withColumns({f"_k{level}": k for level, k in enumerate(_keys())})
-    for level in range(3):
-        side = found.select(F.col("key").alias(f"_k{level}"), F.struct(*names).alias(f"_e{level}"))
-        d = d.join(F.broadcast(side) if few or level else side, f"_k{level}", "left")
-    enough = lambda e: F.when(F.col(f"{e}.n") >= MIN_GROUP, F.col(e))
-    d = d.withColumn("_e", F.coalesce(enough("_e0"), enough("_e1"), F.col("_e2")))
-    d = _distance(d, "_e.").drop("_e", *(f"_{x}{i}" for x in "ke" for i in range(3)))
-    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
+    """rows (lang, source, x0.., base_failed) with d2 and kept."""
+    side = found.select(F.col("group").alias("_group"), F.struct("w", *FOUND).alias("_e"))
+    few = side.count() <= MOST_BROADCAST
+    d = rows.withColumn("_group", _keys()[0]).join(_sided(side, few), "_group", "left")
+    d = _distance(d, "_e.").withColumn("_p", _surprise(F.col("d2"), F.col("_e.w")))
+    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("_p") >= math.log(ALPHA), F.lit(True))).drop("_e", "_group", "_p")
 
 
 def _measured(docs: DataFrame, *names: str) -> DataFrame:
@@ -215,13 +257,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with docs' columns; texts aren't shuffled."""
-    names = docs.columns
-    # filtered after it is written: a filter would be pushed below the counts and repeat them
-    slim = written(_measured(docs).select("lang", "source", "_q.base_failed", *(f"x{i}" for i in DIMS)))
-    found = estimates(slim.where(~F.col("base_failed")))
-    again = counted(docs.select(F.struct(*names).alias("_row"), "lang", "source", "text"))
-    # exploding one struct keeps what is above from being merged into the counts, which would repeat them
+    """The rows of docs that are kept, with docs' columns. Rows are written once with their statistics, so texts are
+    counted once and not shuffled."""
     x = F.struct(F.col("_q.base_failed").alias("base_failed"), *(s.alias(f"x{i}") for i, s in enumerate(statistics())))
-    rows = again.select("_row", "lang", "source", F.explode(F.array(x)).alias("_x")).select("_row", "lang", "source", "_x.*")
+    rows = written(counted(docs.select(whole_row(docs).alias("_row"), "lang", "source", "text")).select("_row", "lang", "source", x.alias("_x")))
+    rows = rows.select("_row", "lang", "source", "_x.*")
+    found = estimates(rows.where(~F.col("base_failed")).drop("_row"))
     return judged(rows, found).where("kept").select("_row.*")
