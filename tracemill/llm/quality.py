@@ -125,6 +125,7 @@ def _consistent(p: float) -> float:
 
 
 SQUARES = [(i, j) for i in DIMS for j in range(i + 1)]
+TOTALS = [f"sum(n * x{i}) as s{i}" for i in DIMS] + [f"sum(n * x{i} * x{j}) as s{i}{j}" for i, j in SQUARES]
 SUMS = [f"s{i}" for i in DIMS] + [f"s{i}{j}" for i, j in SQUARES]
 FOUND = [f"m{i}" for i in DIMS] + [f"l{i}{j}" for i, j in SQUARES]
 
@@ -132,25 +133,20 @@ FOUND = [f"m{i}" for i in DIMS] + [f"l{i}{j}" for i, j in SQUARES]
 def _factored(stats: DataFrame, *by: str, factor: float) -> DataFrame:
     """(by, n, w, m0.., l00..): centres and Cholesky factors from (by, n, w, s*, s**), w documents summed. No
     pivot (the deviation of a statistic, the earlier ones given) is less than its floor."""
-    means = [(F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in DIMS]
-    d = stats.select(*by, "n", "w", *means, *((F.col(f"s{i}{j}") / F.col("w")).alias(f"q{i}{j}") for i, j in SQUARES))
+    means = [f"s{i} / w as m{i}" for i in DIMS]
+    low = []  # each row of the factor refers to the ones before it
     for i, j in SQUARES:
-        c = factor * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
-        for k in range(j):
-            c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit((FLOORS[i] * SCALE) ** 2))) if i == j else c / F.col(f"l{j}{j}"))
-    return checkpointed(d.select(*by, "n", "w", *FOUND))
+        rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        c = f"{factor!r}D * (s{i}{j} / w - m{i} * m{j}){rest}"
+        low.append(f"sqrt(greatest({c}, {(FLOORS[i] * SCALE) ** 2!r}D)) as l{i}{j}" if i == j else f"({c}) / l{j}{j} as l{i}{j}")
+    return checkpointed(stats.selectExpr(*by, "n", "w", *means, *low))
 
 
 def _distance(d: DataFrame, of: str = "") -> DataFrame:
     """Adds d2, the squared Mahalanobis distance of x0.. from the estimate in the same row."""
-    p = lambda name: F.col(f"{of}{name}")
-    for i in DIMS:
-        rest = F.col(f"x{i}") - p(f"m{i}")
-        for k in range(i):
-            rest = rest - p(f"l{i}{k}") * F.col(f"z{k}")
-        d = d.withColumn(f"z{i}", rest / p(f"l{i}{i}"))
-    return d.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0))).drop(*(f"z{i}" for i in DIMS))
+    z = [f"(x{i} - {of}m{i}{''.join(f' - {of}l{i}{k} * _z{k}' for k in range(i))}) / {of}l{i}{i} as _z{i}" for i in DIMS]
+    squared = " + ".join(f"_z{i} * _z{i}" for i in DIMS)
+    return d.selectExpr("*", *z, f"{squared} as d2").drop(*(f"_z{i}" for i in DIMS))
 
 
 def _bin(d2: Column) -> Column:
@@ -164,10 +160,8 @@ def _sided(estimates: DataFrame, few: bool) -> DataFrame:
 def _step(spread: DataFrame, estimates: DataFrame, few: bool, *by: str, reweight: bool = False) -> DataFrame:
     """One concentration step: sums over the nearest share COVER of each group's documents, the bin that the share
     ends in with the part that is missing; reweight: also all within the normal quantile REWEIGHT."""
-    n = F.col("n")
-    sums = [F.sum(n * F.col(f"x{i}")).alias(f"s{i}") for i in DIMS] + [F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in SQUARES]
     placed = _distance(spread.join(_sided(estimates.drop("n", "w"), few), "key")).withColumn("bin", _bin(F.col("d2")))
-    binned = placed.groupBy(*by, "bin").agg(F.sum(n).alias("w"), *sums)
+    binned = placed.groupBy(*by, "bin").agg(F.expr("sum(n) as w"), *map(F.expr, TOTALS))
     below = F.sum("w").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("w")
     total = F.sum("w").over(W.partitionBy(*by))
     share = (F.ceil(COVER * F.col("n")) - F.col("below")) / F.col("w")
@@ -175,8 +169,8 @@ def _step(spread: DataFrame, estimates: DataFrame, few: bool, *by: str, reweight
         share = F.when(F.col("bin") <= int(BINS_PER_OCTAVE * math.log2(1 + _quantile(REWEIGHT, len(FLOORS)))), 1.0).otherwise(share)
     chosen = binned.withColumn("below", below).withColumn("n", total).withColumn("part", F.least(share, F.lit(1.0))).where("part > 0")
     # whole bins add up in whole numbers, so the order of rows doesn't matter; one bin at most is taken in part
-    add = lambda c: F.coalesce(F.sum(F.when(F.col("part") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("part") < 1, F.col("part") * F.col(c))), F.lit(0.0))
-    return chosen.groupBy(*by).agg(F.max("n").alias("n"), *(add(c).alias(c) for c in ("w", *SUMS)))
+    add = "coalesce(sum({0}) filter (where part = 1), 0) + coalesce(max(part * {0}) filter (where part < 1), 0.0D) as {0}"
+    return chosen.groupBy(*by).agg(F.expr("max(n) as n"), *(F.expr(add.format(c)) for c in ("w", *SUMS)))
 
 
 def _starts(spread: DataFrame) -> DataFrame:
@@ -192,9 +186,8 @@ def _starts(spread: DataFrame) -> DataFrame:
     wide = parts.groupBy("key").agg(F.max("n").alias("n"), *(one("m", i).alias(f"m{i}") for i in DIMS), *(one("s", i).alias(f"d{i}") for i in DIMS))
     second = [(F.col(f"m{i}") * F.col(f"m{j}") + (F.col(f"d{i}") * F.col(f"d{i}") if i == j else 0.0)).alias(f"s{i}{j}") for i, j in SQUARES]
     medians = wide.select("key", F.lit(0).alias("start"), "n", F.lit(1.0).alias("w"), *(F.col(f"m{i}").cast("double").alias(f"s{i}") for i in DIMS), *second)
-    n = F.col("n")
-    sums = [F.sum(n * F.col(f"x{i}")).cast("double").alias(f"s{i}") for i in DIMS] + [F.sum(n * F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"s{i}{j}") for i, j in SQUARES]
-    means = spread.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n").cast("double").alias("w"), *sums)
+    totals = spread.groupBy("key").agg(F.expr("sum(n) as n"), F.expr("cast(sum(n) as double) as w"), *map(F.expr, TOTALS))
+    means = totals.selectExpr("key", "n", "w", *(f"cast({c} as double) as {c}" for c in SUMS))
     return medians.unionByName(means.withColumn("start", F.lit(1)))
 
 
