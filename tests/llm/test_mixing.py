@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -61,3 +62,19 @@ def test_odd_rows(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
     mix = mixing.mixture(spark.createDataFrame(rows, SCHEMA))
     assert mix.columns == ["doc_id", "text", "source"] and mix.count() > 0
+
+
+def test_dual_against_bisection(spark):
+    levels = [("=a", k, 3 + k % 5) for k in range(1, 200, 3)] + [("=b", 7, 50), ("=b", 9000, 1), ("", 3, 4)]
+    size = {s: sum(k * n for x, k, n in levels if x == s) for s in ("=a", "=b", "")}
+    count = {s: sum(n for x, _, n in levels if x == s) for s in size}
+    mean = {s: size[s] / count[s] for s in size}
+    goal = {"=a": 0.2 * size["=a"], "=b": 1.7 * size["=b"], "": 1.99 * size[""]}
+    got = mixing._solve(spark.createDataFrame(levels, "src string, size long, n long"), mean, goal)
+    for s in size:
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            lam = (low + high) / 2
+            took = sum(2 * n * k / (1 + math.exp(-max(-700, min(700, lam * k / mean[s])))) for x, k, n in levels if x == s)
+            low, high = (low, lam) if took > goal[s] else (lam, high)
+        assert got[s] == pytest.approx(low, rel=1e-4, abs=1e-6)
