@@ -53,14 +53,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-w AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS l FROM v
+w AS (SELECT u, vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS l FROM v
       WHERE len(list_filter(e, lambda x: x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id,
+p AS (SELECT q.u, q.vec_id AS query_id, c.vec_id,
              list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda a, b: a + b) / (q.l * c.l) AS score
-      FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+      FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.u <> q.u AND len(c.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id) AS n FROM p)
 SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
