@@ -79,3 +79,18 @@ def quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
         return items.crossJoin(docs.select("doc_id")).select("item_id", "doc_id").where("false")
     texts = docs.select("doc_id", "text")
     return pairs.distinct().join(q.select("item_id", "quote"), "item_id").join(texts, "doc_id").where(T.quoted(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+
+
+def merged(base: str | Column, own: str | Column, depth: int) -> Column:
+    """base with own's entries over it; maps that both sides hold are merged down to `depth` levels, other values replaced."""
+    base, own = (F.col(m) if isinstance(m, str) else m for m in (base, own))
+    inner = (lambda k, a, b: F.coalesce(b, a)) if depth == 1 else (lambda k, a, b: merged(a, b, depth - 1))
+    return F.when(base.isNull(), own).when(own.isNull(), base).otherwise(F.map_zip_with(base, own, inner))
+
+
+def citations(answers: DataFrame, sources: DataFrame, answer_id: str) -> DataFrame:
+    """(answer_id, id, place, evidence): sources (id, opened) that answers (answer_id, text) cite as [id], each at its first place."""
+    ids = F.array_distinct(F.regexp_extract_all("text", F.lit("\\[(web_[a-f0-9]{12})\\]"), F.lit(1)))
+    cited = answers.select(answer_id, F.posexplode(ids).alias("place", "id"))
+    evidence = F.when(F.col("opened"), "opened").otherwise("discovered")
+    return cited.join(sources, "id").select(answer_id, "id", (F.col("place") + 1).alias("place"), evidence.alias("evidence"))

@@ -36,6 +36,14 @@ def chunk_prefix(actions: Column, most: int, gap: int) -> Column:
     return F.slice(actions, 1, F.least(F.lit(most), F.coalesce(F.get(stop, 0), size)))
 
 
+def near_prefix(d: DataFrame, by: list[str], order: list[str], t: str, most: int, gap: int) -> DataFrame:
+    """Each key's first rows, at most `most`, up to the first that comes more than `gap` after the one before."""
+    w = W.partitionBy(*by).orderBy(*order)
+    first = d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    late = F.coalesce(F.col(t) - F.lag(t).over(w) > gap, F.lit(False))
+    return first.withColumn("_late", late).withColumn("_cut", F.max("_late").over(w.rowsBetween(W.unboundedPreceding, 0))).where(~F.col("_cut")).drop("_n", "_late", "_cut")
+
+
 def round_robin(d: DataFrame, group: str, order: list[str], name: str = "place") -> DataFrame:
     """Place of each row when groups take turns, in the order of the groups."""
     depth = F.row_number().over(W.partitionBy(group).orderBy(*order))
@@ -152,6 +160,25 @@ class ScrollRuns:
         return [self.run] if self.run else []
 
 
+class FixedWindow:
+    """(attempts, refused): attempts beyond `most` of a window that opens with the first attempt after the last has ended."""
+
+    def __init__(self, length: int, most: int):
+        self.length, self.most = length, most
+        self.opened, self.used, self.attempts, self.refused = None, 0, 0, 0
+
+    def take(self, row) -> list[tuple]:
+        if self.opened is None or row.t - self.opened >= self.length:
+            self.opened, self.used = row.t, 0
+        self.used += 1
+        self.attempts += 1
+        self.refused += self.used > self.most
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.attempts, self.refused)]
+
+
 class Windows:
     """(first_step, end_step, history, omitted, tokens): consecutive steps in windows of a share of the budget.
 

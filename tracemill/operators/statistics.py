@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.operators import sequences
+
 
 def nearest_rank(d: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles, ranks rounded half to even; from counts of equal values, so no list is built."""
@@ -38,7 +42,31 @@ def balanced_weights(d: DataFrame, group: str, temperature: float) -> DataFrame:
     return n.withColumn("weight", power / F.sum(power).over(W.partitionBy()) / F.col("n"))
 
 
+def expected_coverage(d: DataFrame, group: str, temperature: float) -> DataFrame:
+    """(group, n, coverage, overall): expected share of distinct rows met by as many draws as there are rows, with replacement."""
+    n, every = balanced_weights(d, group, temperature), W.partitionBy()
+    met = 1 - F.pow(1 - F.col("weight"), F.sum("n").over(every))
+    c = n.select(group, "n", met.alias("coverage"))
+    return c.withColumn("overall", F.sum(F.col("n") * F.col("coverage")).over(every) / F.sum("n").over(every))
+
+
+class Digest:
+    """(n, sha256): running digest of the lines, joined by a separator."""
+
+    def __init__(self, between: str = "\n"):
+        self.between, self.n, self.hash = between.encode(), 0, hashlib.sha256()
+
+    def take(self, row) -> list[tuple]:
+        self.hash.update((self.between if self.n else b"") + row.line.encode())
+        self.n += 1
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.n, self.hash.hexdigest())]
+
+
 def ordered_digest(d: DataFrame, by: list[str], name: str, digest: str) -> DataFrame:
-    """(keys, files, sha256): digest over the sorted (name, digest) lines of each key."""
-    line = F.concat_ws("\t", name, digest)
-    return d.groupBy(*by).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("sha256"))
+    """(key, files, sha256): digest over the sorted (name, digest) lines of each key, streamed in order."""
+    lines = d.select(*by, F.concat_ws("\t", name, digest).alias("line"))
+    keys = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in by)
+    return sequences.fold(lines, by, ["line"], Digest, f"{keys}, files long, sha256 string")

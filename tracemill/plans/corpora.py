@@ -15,6 +15,8 @@ from tracemill.storage import table
 
 SPLIT_SQL = "CASE WHEN {s} < 0.8 THEN 'train' WHEN {s} < 0.9 THEN 'validation' ELSE 'test' END"
 SHARE_SQL = "(('0x' || substr(sha256({k}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+#: Radius of a vector's outline: no two are equal, so no corner lies on another outline.
+OUTLINE_RADIUS = "50 + abs(round({e} * 1000)) + vec_id / 1000003.0"
 DOC_SPLIT_SQL = SPLIT_SQL.format(s=SHARE_SQL.format(k="doc_id"))
 
 
@@ -99,14 +101,13 @@ def join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_ranked_matches",
-    """WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS token FROM documents WHERE lang = 'en'),
+    """WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS token FROM documents),
     s AS (SELECT item_id, doc_id, count(*) AS shared FROM q JOIN d USING (token) GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM s)
     SELECT * FROM r WHERE rank <= 5""",
 )
 def join_ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-20, TOP-05, TXT-26: best five by shared tokens, through an inverted index."""
-    d = _docs(spark, sf_dir).where("lang = 'en'")
-    return keyed.ranked_matches(table(spark, sf_dir, "benchmark"), d, "item_id", "doc_id", 5)
+    return keyed.ranked_matches(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), "item_id", "doc_id", 5)
 
 
 @query("agg_macro_average", """WITH g AS (SELECT lang, count(*) AS n, avg((length(text) > 1000)::INT) AS mean, sum((length(text) > 1000)::INT) AS s FROM documents GROUP BY 1)
@@ -118,10 +119,18 @@ def agg_macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_balanced_weights", "WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, n, round(sqrt(n) / (SELECT sum(sqrt(n)) FROM g) / n, 12) AS weight FROM g")
 def agg_balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-09/10: tempered sampling weights."""
+    """AGG-09: tempered sampling weights."""
     return statistics.balanced_weights(_docs(spark, sf_dir), "source", 0.5).withColumn("weight", F.round("weight", 12))
 
 
+@query("agg_expected_coverage", """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total, sqrt(n) / sum(sqrt(n)) OVER () / n AS weight FROM g), c AS (SELECT source, n, total, 1 - (1 - weight) ** total AS share FROM t)
+    SELECT source, n, round(share, 9) AS coverage, round(sum(n * share) OVER () / total, 9) AS overall FROM c""")
+def agg_expected_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: share of distinct rows that as many draws with replacement as there are rows should meet."""
+    c = statistics.expected_coverage(_docs(spark, sf_dir), "source", 0.5)
+    return c.select("source", "n", F.round("coverage", 9).alias("coverage"), F.round("overall", 9).alias("overall"))
+
+
 @query("agg_split_quotas", "SELECT lang, count(*) AS n, CASE WHEN count(*) >= 2 THEN greatest(1, round_even(0.1 * count(*), 0)) ELSE 0 END::INT AS validation, CASE WHEN count(*) >= 3 THEN greatest(1, round_even(0.1 * count(*), 0)) ELSE 0 END::INT AS test FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY 1")
 def agg_split_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-17: held-out groups of each application."""
@@ -185,10 +194,10 @@ def txt_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(T.measurements(F.col("text"))).cast("long").alias("n"))
 
 
-@query("txt_quotes", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.lang = 'en' AND contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g')))")
+@query("txt_quotes", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g')))")
 def txt_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-25, FLT-15/16: quotes held verbatim in English documents."""
-    return keyed.quotes(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir).where("lang = 'en'"))
+    """TXT-25, FLT-15/16: quotes that documents hold verbatim."""
+    return keyed.quotes(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir))
 
 
 @query("seq_dialogue_context", """WITH u AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
@@ -282,19 +291,39 @@ def join_evidence_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("o_orderkey").agg(F.count("*").alias("checks"), F.count_if(ok).alias("passed"), F.bool_and(ok).alias("all_passed"))
 
 
-@query("join_foreign_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey % 5 = 0 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
+@query("join_foreign_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
 def join_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-27, SET-03: references to what isn't there."""
-    l = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
     good = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
     return l.join(good, "s_suppkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
+@query(
+    "geo_outline_roles",
+    f"""WITH o AS (SELECT label AS drawing, vec_id AS path_id, round(embedding[1]::DOUBLE * 1000) AS x, round(embedding[2]::DOUBLE * 1000) AS y, {OUTLINE_RADIUS.format(e="embedding[3]::DOUBLE")} AS r FROM embeddings),
+    d AS (SELECT o.drawing, o.path_id, o.r, count(b.path_id) AS depth FROM o LEFT JOIN o b ON b.drawing = o.drawing AND b.path_id <> o.path_id
+      AND greatest(abs(o.x + o.r - b.x) + abs(o.y - b.y), abs(o.x - o.r - b.x) + abs(o.y - b.y), abs(o.x - b.x) + abs(o.y + o.r - b.y), abs(o.x - b.x) + abs(o.y - o.r - b.y)) < b.r GROUP BY ALL)
+    SELECT drawing, path_id, depth, CASE WHEN depth % 2 = 1 THEN 'hole' ELSE 'outer' END AS role, round(2 * r * r, 3) AS area FROM d""",
+)
+def geo_outline_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-02/13: nesting depth of outlines, and the roles that follow; each vector gives a diamond of its drawing."""
+    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    o = table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("drawing"), F.col("vec_id").alias("path_id"), F.round(e(0) * 1000).alias("x"), F.round(e(1) * 1000).alias("y"),
+        F.expr(OUTLINE_RADIUS.format(e="embedding[2]")).alias("r"),
+    )
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    corners = F.array(*(F.struct(px.alias("x"), py.alias("y")) for px, py in ((x + r, y), (x, y + r), (x - r, y), (x, y - r))))
+    points = o.select("drawing", "path_id", F.posexplode(corners).alias("i", "p")).select("drawing", "path_id", "i", "p.x", "p.y")
+    return geometry.outline_roles(points, cell=250.0).select("drawing", "path_id", "depth", "role", F.round(F.abs("area"), 3).alias("area"))
+
+
 @query("geo_shoelace", """WITH p AS (SELECT label AS path_id, vec_id AS i, round(embedding[1]::DOUBLE * 1000) AS x, round(embedding[2]::DOUBLE * 1000) AS y FROM embeddings),
     e AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM p WINDOW w AS (PARTITION BY path_id ORDER BY i))
     SELECT path_id, count(*) AS n, sum(x * ny - nx * y) / 2 AS area FROM e GROUP BY 1""")
 def geo_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-02/13: signed areas."""
+    """GEO-02: signed areas."""
     c = lambda k: F.round(F.get("embedding", F.lit(k)).cast("double") * 1000)
     return geometry.signed_areas(table(spark, sf_dir, "embeddings").select(F.col("label").alias("path_id"), F.col("vec_id").alias("i"), c(0).alias("x"), c(1).alias("y")))
 

@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 from tracemill.functions import keys as K
 from tracemill.functions import text as T
-from tracemill.operators import graph, sequences
+from tracemill.operators import graph, keyed, sequences
 from tracemill.plans.registry import query
-from tracemill.sources.tables import EVENTS_SQL, events
+from tracemill.sources.tables import EVENTS_SQL, events, turns
 from tracemill.storage import table
 
 HOUR = 3_600_000_000
@@ -148,22 +148,32 @@ def txt_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("doc_id").agg(parts.alias("parts"), F.sum("score").alias("score"))
 
 
-@query("txt_relevant", """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark), c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM conversations WHERE turn = 0)
-    SELECT conv_id, item_id, len(list_intersect(q.w, c.w)) AS shared FROM q JOIN c ON len(list_intersect(q.w, c.w)) >= 3""")
+@query(
+    "txt_relevant",
+    f"""WITH w AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) > 1 AND NOT regexp_full_match(x, '[0-9]+')) AS w FROM benchmark),
+    a AS (SELECT item_id, w, list_filter(w, lambda x: NOT list_contains({list(T.GENERIC)}, x)) AS a FROM w), q AS (SELECT item_id, CASE WHEN len(a) > 0 THEN a ELSE w END AS q FROM a),
+    c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations)
+    SELECT conv_id, turn, item_id, len(list_intersect(q, w)) AS shared FROM q JOIN c ON len(q) > 0 AND len(list_intersect(q, w)) >= least(2, len(q))""",
+)
 def txt_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-21: results that share enough anchor words with a query."""
-    from tracemill.operators.keyed import tokens
-
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tokens(F.col("text"))).alias("w"))
-    c = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.explode(tokens(F.col("text"))).alias("w"))
-    return c.join(q, "w").groupBy("conv_id", "item_id").agg(F.count("*").alias("shared")).where("shared >= 3")
+    """TXT-21: results (here turns) that hold two of a query's anchors, or the only one."""
+    q = table(spark, sf_dir, "benchmark").select("item_id", T.anchors(F.col("text")).alias("q"))
+    q = q.select("item_id", F.least(F.lit(2), F.size("q")).alias("need"), F.explode("q").alias("w"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    c = turns(spark, sf_dir).select("conv_id", "turn", F.explode(words).alias("w"))
+    return c.join(q, "w").groupBy("conv_id", "turn", "item_id", "need").agg(F.count("*").alias("shared")).where("shared >= need").drop("need")
 
 
-@query("txt_citations", "SELECT word, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]{2,}(?:[$]{3}|[&]{3}|[%]{3})')) AS word FROM documents) GROUP BY 1")
+@query(
+    "txt_citations",
+    """WITH s AS (SELECT 'web_' || substr(sha256(url), 1, 12) AS id, bool_or(page_id % 3 = 0) AS opened FROM pages GROUP BY 1), a AS (SELECT page_id, 'web_' || substr(sha256(url), 1, 12) AS x, 'web_' || substr(sha256(regexp_replace(url, '[?#].*$', '')), 1, 12) AS y FROM pages),
+    c AS (SELECT page_id, x AS id, 1 AS place FROM a UNION ALL SELECT page_id, y, 2 FROM a WHERE y <> x) SELECT page_id, id, place, CASE WHEN opened THEN 'opened' ELSE 'discovered' END AS evidence FROM c JOIN s USING (id)""",
+)
 def txt_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-34: marked references of all texts, with their first place."""
-    words = F.explode(F.regexp_extract_all("text", F.lit("[a-z]{2,}(?:[$]{3}|[&]{3}|[%]{3})"), F.lit(0)))
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    """TXT-34: an answer's citations of known sources, by first place; each page gives an answer that cites itself and its bare address."""
+    p = table(spark, sf_dir, "pages").select("page_id", T.source_id(F.col("url")).alias("x"), T.source_id(F.regexp_replace("url", "[?#].*$", "")).alias("y"))
+    answers = p.select("page_id", F.format_string("As [%s] says ([%s], [WEB_0], [web_12]); again [%s].", "x", "y", "x").alias("text"))
+    return keyed.citations(answers, p.groupBy(F.col("x").alias("id")).agg(F.bool_or(F.col("page_id") % 3 == 0).alias("opened")), "page_id")
 
 
 @query("agg_ratios", "SELECT source, round(count(*) FILTER (WHERE lang = 'en') / count(*), 6) AS ratio FROM documents GROUP BY 1")

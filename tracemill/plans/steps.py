@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.functions import text as T
+from tracemill.operators import keyed, sequences, statistics
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL, events, turns
 from tracemill.storage import table
@@ -68,9 +70,10 @@ def join_cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join_quotes_of_source", "SELECT c_nationkey, sha256(string_agg(c_name, ' | ' ORDER BY c_custkey)) AS quotes, count(*) AS n FROM customer GROUP BY 1")
 def join_quotes_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-28: a source's quotes in order, carried as one text."""
-    names = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sha2(F.array_join(names, " | "), 256).alias("quotes"), F.count("*").alias("n"))
+    """JOIN-28: a source's quotes in order, carried as one text; they stream past, no list is built."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("line"))
+    schema = f"c_nationkey {c.schema['c_nationkey'].dataType.simpleString()}, n long, quotes string"
+    return sequences.fold(c, ["c_nationkey"], ["c_custkey"], lambda: statistics.Digest(" | "), schema)
 
 
 @query(
@@ -93,12 +96,19 @@ def scl_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count_if((now - F.col("t")).between(0, 5 * 24 * HOUR)).alias("fresh"), F.count("*").alias("n"))
 
 
-@query("set_map_merge", "SELECT user_id, count(DISTINCT event_type) AS keys, max(CASE WHEN event_type = 'click' THEN event_id END) AS click FROM events GROUP BY 1")
+@query(
+    "set_map_merge",
+    f"""WITH {EVENTS_SQL} SELECT user_id, event_type, t // {24 * HOUR} % 7 AS day, coalesce(max(event_id) FILTER (WHERE event_id % 2 = 1), max(event_id) FILTER (WHERE event_id % 2 = 0)) AS setting FROM e GROUP BY ALL""",
+)
 def set_map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SET-08: maps of one key merged, later entries win."""
-    d = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("v"))
-    m = d.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
-    return m.select("user_id", F.size("m").cast("long").alias("keys"), F.element_at("m", F.lit("click")).alias("click"))
+    """SET-08: each user's settings (type -> day -> number) over a base of the same shape; nested maps merge, leaves are replaced."""
+    e = events(spark, sf_dir).select("user_id", "event_type", F.expr(f"t div {24 * HOUR} % 7").alias("day"), (F.col("event_id") % 2).alias("side"), "event_id")
+    e = e.groupBy("user_id", "side", "event_type", "day").agg(F.max("event_id").alias("v"))
+    as_map = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v))).alias("v")
+    sides = e.groupBy("user_id", "side", "event_type").agg(as_map("day", "v")).groupBy("user_id", "side").agg(as_map("event_type", "v"))
+    side = lambda s: F.any_value(F.when(F.col("side") == s, F.col("v")), ignoreNulls=True)
+    m = sides.groupBy("user_id").agg(side(0).alias("base"), side(1).alias("own")).select("user_id", keyed.merged("base", "own", 2).alias("m"))
+    return m.select("user_id", F.explode("m").alias("event_type", "days")).select("user_id", "event_type", F.explode("days").alias("day", "setting"))
 
 
 @query("src_report", """SELECT '{"documents":' || count(*) || ',"languages":' || count(DISTINCT lang) || ',"longest":' || max(length(text)) || '}' AS report FROM documents""")
@@ -119,12 +129,12 @@ def src_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("conv_id").agg(F.count_if(F.col("used") <= 2000).alias("kept"), F.count_if(F.col("used") > 2000).alias("refused"))
 
 
-@query("src_remember", "SELECT left(text, 60) AS statement, source, min(doc_id) AS doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND left(o.text, 60) = left(d.text, 60) AND o.source = d.source) GROUP BY 1, 2")
+@query("src_remember", "SELECT left(text, 600) AS statement, source, min(doc_id) AS doc_id FROM documents d WHERE doc_id % 2 = 1 AND text <> '' AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.text = d.text AND o.source = d.source) GROUP BY text, source")
 def src_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-18: new facts only, one of each (statement, source)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("statement"), "source")
-    new = d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0"), ["statement", "source"], "left_anti")
-    return new.groupBy("statement", "source").agg(F.min("doc_id").alias("doc_id"))
+    """SRC-18: new facts (odd ids) that aren't known (even ids), one of each (whole statement, source); 600 characters are kept."""
+    d = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.sha2("text", 256).alias("key"), F.left("text", F.lit(600)).alias("statement"), "source")
+    new = d.where("doc_id % 2 = 1").join(d.where("doc_id % 2 = 0").select("key", "source"), ["key", "source"], "left_anti")
+    return new.groupBy("key", "source").agg(F.min_by("statement", "doc_id").alias("statement"), F.min("doc_id").alias("doc_id")).drop("key")
 
 
 @query("src_tasks", "SELECT i AS task, ['small', 'medium', 'large'][1 + ('0x' || substr(sha256(i::VARCHAR), 1, 6))::BIGINT % 3] AS size, 10 + ('0x' || substr(sha256(i::VARCHAR), 7, 6))::BIGINT % 90 AS width FROM range(500) r(i)")
@@ -142,10 +152,18 @@ def str_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("todo"))
 
 
-@query("str_snapshot", f"WITH {EVENTS_SQL} SELECT user_id, count(*) AS missed, max(event_id) AS upto FROM e WHERE event_id > 500 GROUP BY 1 HAVING count(*) > 20")
+@query(
+    "str_snapshot",
+    f"""WITH {EVENTS_SQL}, c AS (SELECT *, max((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS read FROM e)
+    SELECT user_id, count(*) AS missed, CASE WHEN count(*) > 2 THEN 'snapshot' ELSE 'events' END AS sent, CASE WHEN count(*) > 2 THEN 1 ELSE count(*) END AS messages, arg_max(k, (t, event_id)) AS state FROM c WHERE read = 0 GROUP BY 1""",
+)
 def str_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-02: readers so far behind that they get a snapshot instead of events."""
-    return events(spark, sf_dir).where("event_id > 500").groupBy("user_id").agg(F.count("*").alias("missed"), F.max("event_id").alias("upto")).where("missed > 20")
+    """STR-02: a reader (up to its last view) gets the events it missed, or beyond a bounded queue one snapshot of the state."""
+    newest_first = W.partitionBy("user_id").orderBy(F.desc("t"), F.desc("event_id"))
+    unread = events(spark, sf_dir).withColumn("read", F.max(F.col("event_type") == "view").over(newest_first)).where("not read")
+    g = unread.groupBy("user_id").agg(F.count("*").alias("missed"), F.max_by("k", F.struct("t", "event_id")).alias("state"))
+    late = F.col("missed") > 2
+    return g.select("user_id", "missed", F.when(late, "snapshot").otherwise("events").alias("sent"), F.when(late, F.lit(1).cast("long")).otherwise(F.col("missed")).alias("messages"), "state")
 
 
 @query("top_first_examples", "SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 4 ORDER BY source, doc_id LIMIT 30")
@@ -174,11 +192,38 @@ def txt_supervised_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", F.col("end") - F.col("start")).otherwise(0)).alias("supervised"), F.max("end").alias("chars"))
 
 
-@query("txt_redirects", "SELECT page_id, CASE WHEN url LIKE '%utm_source=%' THEN regexp_extract(url, 'utm_source=([a-z]+)', 1) WHEN url LIKE '%page=%' THEN 'page ' || regexp_extract(url, 'page=([0-9]+)', 1) END AS inner_part FROM pages")
+REDIRECTED_SQL = """u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://duckduckgo.com/l/?kl=x&uddg=' || url_encode(url) WHEN 1 THEN 'https://www.bing.com/ck/a?u=a1' || rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') || '&n=1'
+      WHEN 2 THEN 'https://www.bing.com/search?u=a1aHR0' ELSE url END AS raw, url FROM pages)"""
+
+
+@query("txt_redirects", f"WITH {REDIRECTED_SQL} SELECT page_id, CASE WHEN page_id % 4 = 2 THEN raw ELSE url END AS target FROM u")
 def txt_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-20: what an address carries in its query."""
-    source, page = (F.expr(f"try_parse_url(url, 'QUERY', '{k}')") for k in ("utm_source", "page"))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(source, F.concat(F.lit("page "), page)).alias("inner_part"))
+    """TXT-20: search engines' redirects unwrapped; the addresses are wrapped here in one of four ways by number."""
+    url, by = F.col("url"), F.col("page_id") % 4
+    coded = F.rtrim(F.translate(F.base64(F.encode(url, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+    raw = (
+        F.when(by == 0, F.concat(F.lit("https://duckduckgo.com/l/?kl=x&uddg="), F.url_encode(url)))
+        .when(by == 1, F.concat(F.lit("https://www.bing.com/ck/a?u=a1"), coded, F.lit("&n=1")))
+        .when(by == 2, F.lit("https://www.bing.com/search?u=a1aHR0"))
+        .otherwise(url)
+    )
+    return table(spark, sf_dir, "pages").select("page_id", T.unwrapped(raw).alias("target"))
+
+
+PUBLIC_CASES = ("", "//user@", "//10.1.2.3/", "//172.20.0.1/", "//8.8.8.8/", "//localhost/", "//box.local/", "//[::1]/", "//[2606:4700::1]/", "//a.example.org:8080/", "//a.example.org:443/")
+PUBLIC_OK = ("", "//8.8.8.8/", "//[2606:4700::1]/")
+
+
+@query(
+    "txt_public_addresses",
+    f"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, {list(PUBLIC_CASES)}[1 + page_id % {len(PUBLIC_CASES)}] AS c FROM pages)
+    SELECT page_id, CASE WHEN c = '' THEN url WHEN c IN {PUBLIC_OK[1:]} OR c = '//a.example.org:443/' AND url LIKE 'https:%' THEN regexp_replace(regexp_replace(url, '//[^/]+/', c), ':443', '') END AS address FROM u""",
+)
+def txt_public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-19: normal form of public addresses, null for what isn't one; by number the pages' hosts are swapped for odd ones."""
+    case = F.get(F.array(*(F.lit(c) for c in PUBLIC_CASES)), (F.col("page_id") % len(PUBLIC_CASES)).cast("int"))
+    odd = F.when(case == "", F.col("url")).when(case == "//user@", F.replace("url", F.lit("//"), F.lit("//user@"))).otherwise(F.regexp_replace(F.col("url"), F.lit("//[^/]+/"), case))
+    return table(spark, sf_dir, "pages").select("page_id", T.public_address(odd).alias("address"))
 
 
 @query(
@@ -219,10 +264,23 @@ def txt_control_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT design, max(n) AS parameters, max_by(v, n) AS last_value FROM r GROUP BY 1""",
 )
 def geo_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-06: parameters in order, each from the one before."""
-    listed = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("design")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))).alias("ps"))
-    value = F.aggregate("ps", F.lit(0).cast("long"), lambda v, p: (v * 3 + p["p_size"]) % 1009)
-    return listed.select("design", F.size("ps").cast("long").alias("parameters"), value.alias("last_value"))
+    """GEO-06: parameters in order, each from the one before; a design's parameters stream past."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("design"), "p_partkey", "p_size")
+    return sequences.fold(p, ["design"], ["p_partkey"], Parameters, "design string, parameters long, last_value long")
+
+
+class Parameters:
+    """(n, value): the value of each parameter is formed from the one before and its own number."""
+
+    def __init__(self):
+        self.n, self.value = 0, 0
+
+    def take(self, row) -> list[tuple]:
+        self.n, self.value = self.n + 1, (self.value * 3 + int(row.p_size)) % 1009
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.n, self.value)]
 
 
 @query(

@@ -240,8 +240,8 @@ def seq_running_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seq_chunk_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ-08: longest prefix of few, near actions."""
-    a = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id"))).alias("actions"))
-    return a.select("user_id", F.size(sequences.chunk_prefix(F.col("actions"), 6, 8 * HOUR)).alias("taken"))
+    first = sequences.near_prefix(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "t", 6, 8 * HOUR)
+    return first.groupBy("user_id").agg(F.count("*").cast("int").alias("taken"))
 
 
 @query(
@@ -344,16 +344,10 @@ def seq_recovery_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, count(*) AS attempts, count(*) FILTER (WHERE used > 3) AS refused FROM w GROUP BY user_id""",
 )
 def str_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-08: fixed windows that start at the first attempt; a fold over each client's attempts."""
-    attempts = events(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("used"), F.lit(0).alias("refused"))
-
-    def step(a, t):
-        new = a["start"].isNull() | (t - a["start"] >= 48 * HOUR)
-        used = F.when(new, 1).otherwise(a["used"] + 1)
-        return F.struct(F.when(new, t).otherwise(a["start"]).alias("start"), used.alias("used"), (a["refused"] + F.when(used > 3, 1).otherwise(0)).alias("refused"))
-
-    return attempts.select("user_id", F.size("ts").cast("long").alias("attempts"), F.aggregate("ts", start, step)["refused"].cast("long").alias("refused"))
+    """STR-08: fixed windows that start at the first attempt; each client's attempts stream past."""
+    attempts = events(spark, sf_dir).where("event_type = 'signup'").select("user_id", "t", "event_id")
+    schema = f"user_id {attempts.schema['user_id'].dataType.simpleString()}, attempts long, refused long"
+    return sequences.fold(attempts, ["user_id"], ["t", "event_id"], lambda: sequences.FixedWindow(48 * HOUR, 3), schema)
 
 
 @query(
