@@ -16,7 +16,7 @@ from tracemill.storage import table
 SPLIT_SQL = "CASE WHEN {s} < 0.8 THEN 'train' WHEN {s} < 0.9 THEN 'validation' ELSE 'test' END"
 SHARE_SQL = "(('0x' || substr(sha256({k}::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
 #: Radius of a vector's outline: no two are equal, so no corner lies on another outline.
-OUTLINE_RADIUS = "50 + abs(round({e} * 1000)) + vec_id / 1000003.0"
+OUTLINE_RADIUS = "50 + abs(round({e} * 1000)) + vec_id / 1000003e0"
 DOC_SPLIT_SQL = SPLIT_SQL.format(s=SHARE_SQL.format(k="doc_id"))
 
 
