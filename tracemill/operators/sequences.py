@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def islands(d: DataFrame, by: list[str], t: str, order: str, wanted: Column, gap: int) -> DataFrame:
@@ -77,25 +79,31 @@ def fold(d: DataFrame, by: list[str], order: list[str], start: Callable[[], Auto
     """A sequential automaton over each key's rows in order; rows of `schema` are the key and what it emits.
 
     Rows stream past in sorted partitions, so a key of any size needs the memory of the automaton's state only.
+    Keys and values reach the automaton as Arrow holds them: a null is None and never widens its column.
     """
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f.split()[0] for f in schema.split(", ")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emitted(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, machine = None, None
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                now = tuple(None if v != v else v for v in (getattr(row, c) for c in by))
+            out, row_of = [], namedtuple("Row", b.schema.names, rename=True)
+            at = [b.schema.names.index(c) for c in by]
+            for row in map(row_of._make, zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                now = tuple(row[i] for i in at)
                 if machine is None or now != key:
                     out += [(*key, *r) for r in machine.end()] if machine else []
                     key, machine = now, start()
                 out += [(*key, *r) for r in machine.take(row)]
-            yield pd.DataFrame(out, columns=names)
+            yield emitted(out)
         if machine:
-            yield pd.DataFrame([(*key, *r) for r in machine.end()], columns=names)
+            yield emitted([(*key, *r) for r in machine.end()])
 
-    return d.repartition(parts, *by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return d.repartition(parts, *by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 class Automaton(Protocol):

@@ -51,13 +51,13 @@ def expected_coverage(d: DataFrame, group: str, temperature: float) -> DataFrame
 
 
 class Digest:
-    """(n, sha256): running digest of the lines, joined by a separator."""
+    """(n, sha256): running digest of the lines, joined by a separator; a null line is empty."""
 
     def __init__(self, between: str = "\n"):
         self.between, self.n, self.hash = between.encode(), 0, hashlib.sha256()
 
     def take(self, row) -> list[tuple]:
-        self.hash.update((self.between if self.n else b"") + row.line.encode())
+        self.hash.update((self.between if self.n else b"") + (row.line or "").encode())
         self.n += 1
         return []
 
