@@ -18,6 +18,7 @@ the tokenizers library; all others are cut alike (tested one by one).
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -37,7 +38,10 @@ WORDS_KEPT, PARTS_KEPT = 400_000, 400_000
 #: Characters of a word or part that is worth remembering.
 LONGEST_KEPT = 100
 
-WORD = re.compile(r"[^ \t-\r]+")
+#: Characters of a text whose words are looked up together.
+STRETCH = 1 << 18
+
+WORD, SPACE = re.compile(r"[^ \t-\r]+"), re.compile(r"[ \t-\r]")
 #: Stands for the end-of-word suffix, so that a piece is a slice of one string.
 END = "\0"
 NONE = 1 << 60
@@ -64,6 +68,8 @@ class Bpe:
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(inner(a), inner(b)): k for k, (a, b) in reversed([*enumerate(pairs)])}
+        #: of letters before any merge one slice tells the pair
+        self.letter_ranks = {a + b: k for (a, b), k in self.ranks.items() if len(a) == 1 and len(b.removesuffix(END)) == 1}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
@@ -77,13 +83,11 @@ class Bpe:
         """Pieces of a part's letters (the last one is END) after all merges."""
         if len(word) - 1 > SHORT:
             return self._pieces_of_long(word)
-        rank = self.ranks.get
-        bounds = [*range(len(word) - 1), len(word)]  # the last letter holds END
-        ranks = [rank((word[a:b], word[b:c]), NONE) for a, b, c in zip(bounds, bounds[1:], bounds[2:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == NONE:
-                break
+        rank, first, n = self.ranks.get, self.letter_ranks.get, len(word) - 1
+        bounds = [*range(n), n + 1]  # the last letter holds END
+        ranks = [first(word[a : a + 2], NONE) for a in range(n - 2)]
+        ranks += [first(word[n - 2 :], NONE)] if n > 1 else []
+        while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
             if i < len(ranks):
@@ -131,28 +135,32 @@ class Bpe:
         return known
 
     def _stretch(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self._part(text.lower())
         # one letter at a time: a final sigma is lower-cased like any other
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return b"".join(map(self._part, self.pattern.findall(lowered)))
 
     def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            stretches = self.cut.split(word) if self.cut else [word]
-            known = b"".join(np.array([self.special[s]], "<i4").tobytes() if k % 2 else self._stretch(s) for k, s in enumerate(stretches))
-            if len(word) <= LONGEST_KEPT:
-                if len(self.words) >= WORDS_KEPT:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
-    def encoded(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
-        words = WORD.findall(text or "")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self._word, words))
+        stretches = self.cut.split(word) if self.cut else [word]
+        return b"".join(np.array([self.special[s]], "<i4").tobytes() if k % 2 else self._stretch(s) for k, s in enumerate(stretches))
+
+    def encoded(self, text: str | None) -> Iterator[bytes]:
+        """Ids of a text as little-endian 32-bit integers, in runs of up to STRETCH characters of words or one word."""
+        for words in _runs(text or ""):
+            try:
+                yield b"".join(map(self.words.__getitem__, words))
+                continue
+            except KeyError:
+                new = {w for w in words if w not in self.words}
+            if len(self.words) + len(new) > WORDS_KEPT:
+                self.words.clear()
+                new = set(words)
+            self.words.update((w, self._word(w)) for w in new)
+            yield b"".join(map(self.words.__getitem__, words))
+            for w in new:
+                if len(w) > LONGEST_KEPT:
+                    del self.words[w]
 
     def decoded(self, ids: np.ndarray) -> str:
         """The tokens' names with a space between, as a file without a decoder says; unknown ids are left out."""
@@ -160,6 +168,17 @@ class Bpe:
         return " ".join(n for n in names.tolist() if n)
 
 
+def _runs(text: str) -> Iterator[list[str]]:
+    """Words of a text, run by run, so that a very long text's words are never held at once."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= STRETCH else at + STRETCH
+        space = SPACE.search(text, end)
+        end = space.start() if space else len(text)
+        yield WORD.findall(text, at, end)
+        at = end
+
+
 _KNOWN: dict[str, Bpe] = {}
 
 
@@ -176,7 +195,7 @@ def encode(text: str | Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _bpe(path)
         for b in batches:
-            found = [bpe.encoded(t.as_py()) for t in b]
+            found = [b"".join(bpe.encoded(t.as_py())) for t in b]
             ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int64)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
 
@@ -202,10 +221,32 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return ids.withColumn("decoded", decode("ids", path))
 
 
+def digest(text: str | Column, path: str) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256> of each text: what encode and decode give, hashed run by run where
+    it is made, so that neither ids nor decoded texts travel or are held whole."""
+
+    @F.arrow_udf("struct<n_tokens:long, ids_sha256:string, decoded_sha256:string>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _bpe(path)
+        for b in batches:
+            columns = ([], [], [])
+            for text in b:
+                n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                for run in bpe.encoded(text.as_py()):
+                    ids = np.frombuffer(run, "<i4")
+                    if not len(ids):
+                        continue
+                    between = " " if n else ""
+                    of_ids.update((between + " ".join(map(str, ids.tolist()))).encode())
+                    of_text.update((between + bpe.decoded(ids)).encode())
+                    n += len(ids)
+                for column, value in zip(columns, (n, of_ids.hexdigest(), of_text.hexdigest()), strict=True):
+                    column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return hashed(text)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document."""
-    decimal = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return tokenised(docs, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(decimal).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256")
-    )
+    return docs.select(F.col("doc_id").cast("long"), digest("text", path).alias("_d")).select("doc_id", "_d.*")
