@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from tracemill.operators.atoms import ATOM, FIELDS, Atoms
 from tracemill.storage import shared_dir, table
 
 
@@ -87,17 +91,67 @@ def limited(attempts: DataFrame, by: str, most: int, window_us: int) -> DataFram
     return attempts.groupBy(by).applyInPandasWithState(step, f"{by} long, t long, refused boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
 
 
+class AtomsOfStream(StatefulProcessor):
+    """The automaton of operators.atoms over micro-batches. State is its JSON; `quiet_ms` without an event, in event
+    time, or a closed recording, ends a stream: what is left goes out and nothing of it stays in the store."""
+
+    def __init__(self, by: str, quiet_ms: int):
+        self.quiet_ms, self.names = quiet_ms, [by, *FIELDS]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.row = handle, Row(*self.names)
+        self.kept = handle.getValueState("atoms", "state string, t double, line long, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        state, t, line, due = self.kept.get() if self.kept.exists() else (None, -1.0, -1, None)
+        machine, out, seen, closed = Atoms(json.loads(state) if state else None), [], None, False
+        for row in sorted(rows, key=lambda r: (r["t"] is not None, r["t"], r["line"])):
+            if row["kind"] == "closed":
+                closed, out = True, out + machine.end()
+            elif row["t"] is not None and (row["t"], row["line"]) <= (t, line):
+                out.append(Atoms._row(type="reject", reason="late_event", line=row["line"], t=row["t"]))
+            else:
+                out += machine.take(row)
+                t, line = (t, line) if row["t"] is None else (row["t"], row["line"])
+            seen = max(seen or row["ts"], row["ts"])
+        if due is not None:
+            self.handle.deleteTimer(due)
+        if closed and not (machine.at.last or machine.at.press):
+            self.kept.clear()
+        else:
+            due = int(seen.timestamp() * 1000) + self.quiet_ms
+            self.handle.registerTimer(due)
+            self.kept.update((json.dumps(machine.state()), t, line, due))
+        return (self.row(*key, *r) for r in out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        machine = Atoms(json.loads(self.kept.get()[0])) if self.kept.exists() else Atoms()
+        self.kept.clear()
+        return (self.row(*key, *r) for r in machine.end())
+
+    def close(self) -> None:
+        pass
+
+
+def atoms_of(events: DataFrame, by: str = "workflow", quiet: int = 3600, late: str = "1 hour") -> DataFrame:
+    """SEQ-02/05 as a stream: (by, ATOM) of events with the columns of as_events and ts, the event time. A row of kind
+    `closed` ends a stream, `quiet` seconds of silence too. An event older than one already taken is a reject."""
+    kind = events.schema[by].dataType.simpleString()
+    grouped = events.withWatermark("ts", late).groupBy(by)
+    return grouped.transformWithState(AtomsOfStream(by, quiet * 1000), f"{by} {kind}, {ATOM}", "Append", "EventTime")
+
+
 def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote; restartable from its checkpoint."""
     spark = stream.sparkSession
     place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/out/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{place}/out/micro_batch={epoch}")
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    found = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, epoch long").parquet(f"{place}/out")
+    found = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, micro_batch long").parquet(f"{place}/out")
     if mode == "complete":
-        found = found.where(F.col("epoch") == found.agg(F.max("epoch")).first()[0])
-    return found.drop("epoch")
+        found = found.where(F.col("micro_batch") == found.agg(F.max("micro_batch")).first()[0])
+    return found.drop("micro_batch")
