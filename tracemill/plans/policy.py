@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import actions as A
 from tracemill.functions import keys as K
-from tracemill.operators import graph
+from tracemill.operators import graph, splits
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL, events
-from tracemill.storage import table
+from tracemill.storage import checkpointed, table
 
 KEY_SQL = f"coalesce({K.sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END)"
 NEUTRAL_SQL = f"""{EVENTS_SQL}, n AS (SELECT event_id, user_id, t, k, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'purchase' THEN 'drag' WHEN 'signup' THEN 'type_text' ELSE 'key' END AS type,
@@ -75,22 +75,29 @@ def policy_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(F.get("actions", F.lit(0))["type"].alias("type")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("workflows"), F.min("t").alias("first_t"))
 
 
-@query(
-    "split_assignment",
-    """WITH g AS (SELECT DISTINCT lang AS app, source AS grp FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY app) AS n, row_number() OVER (PARTITION BY app ORDER BY sha256('7/' || grp)) AS rn FROM g),
-    q AS (SELECT *, CASE WHEN n >= 2 THEN greatest(1, round_even(0.1 * n, 0)) ELSE 0 END AS v, CASE WHEN n >= 3 THEN greatest(1, round_even(0.1 * n, 0)) ELSE 0 END AS t FROM n)
-    SELECT app, grp, CASE WHEN rn <= v THEN 'validation' WHEN rn <= v + t THEN 'test' ELSE 'train' END AS split FROM q""",
-)
+#: Documents as workflows of applications of very different size; equal texts are a shared artifact.
+WORKFLOWS = "concat('app', cast(CASE WHEN doc_id % 50 = 0 THEN 9 WHEN doc_id % 97 = 0 THEN 8 WHEN doc_id < 4 THEN 7 ELSE doc_id % 5 END AS string))"
+#: A step of the recursion takes one candidate; left, held (validation) and tested count by application.
+SPLITS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {WORKFLOWS.replace("AS string", "AS VARCHAR")} AS app, min(doc_id) OVER (PARTITION BY coalesce(text, doc_id::VARCHAR)) AS grp FROM documents),
+    p AS (SELECT DISTINCT app, grp FROM d), a AS (SELECT app, count(*) AS n, row_number() OVER (ORDER BY app) AS no FROM p GROUP BY app),
+    g AS (SELECT grp, list(no ORDER BY no) AS apps FROM p JOIN a USING (app) GROUP BY grp),
+    c AS (SELECT row_number() OVER (ORDER BY a.n, a.app, sha256('7/' || grp)) AS i, a.no, g.grp, g.apps, CASE WHEN n >= 2 THEN greatest(1, round_even(0.1 * n, 0)) ELSE 0 END AS v, CASE WHEN n >= 3 THEN greatest(1, round_even(0.1 * n, 0)) ELSE 0 END AS t
+      FROM p JOIN a USING (app) JOIN g USING (grp)),
+    w AS (SELECT 0::BIGINT AS i, (SELECT list(n ORDER BY no) FROM a) AS left_, (SELECT list(0::BIGINT) FROM a) AS held, (SELECT list(0::BIGINT) FROM a) AS tested, []::BIGINT[] AS gone, NULL::BIGINT AS grp, NULL::VARCHAR AS split
+      UNION ALL SELECT c.i, CASE WHEN s.split IS NULL THEN left_ ELSE list_transform(left_, lambda x, k: x - list_contains(c.apps, k)::BIGINT) END,
+        CASE WHEN s.split = 'validation' THEN list_transform(held, lambda x, k: x + list_contains(c.apps, k)::BIGINT) ELSE held END, CASE WHEN s.split = 'test' THEN list_transform(tested, lambda x, k: x + list_contains(c.apps, k)::BIGINT) ELSE tested END,
+        CASE WHEN s.split IS NULL THEN gone ELSE list_append(gone, c.grp) END, c.grp, s.split
+      FROM w JOIN c ON c.i = w.i + 1, LATERAL (SELECT CASE WHEN list_contains(w.gone, c.grp) OR len(list_filter(c.apps, lambda k: w.left_[k] <= 1)) > 0 THEN NULL WHEN w.held[c.no] < c.v THEN 'validation' WHEN w.tested[c.no] < c.t THEN 'test' END AS split) s)
+    SELECT d.doc_id, d.app, d.grp, coalesce(w.split, 'train') AS split FROM d LEFT JOIN (SELECT grp, split FROM w WHERE split IS NOT NULL) w ON w.grp = d.grp"""
+
+
+@query("split_assignment", SPLITS_SQL)
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-17/18: each application's quotas filled in hash order, at least one group left to train on."""
-    from pyspark.sql import Window as W
-
-    g = table(spark, sf_dir, "documents").select(F.col("lang").alias("app"), F.col("source").alias("grp")).distinct()
-    w = W.partitionBy("app")
-    d = g.withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.sha2(F.concat(F.lit("7/"), "grp"), 256))))
-    quota = lambda least: F.when(F.col("n") >= least, F.greatest(F.lit(1.0), F.bround(0.1 * F.col("n")))).otherwise(0.0)
-    split = F.when(F.col("rn") <= quota(2), "validation").when(F.col("rn") <= quota(2) + quota(3), "test").otherwise("train")
-    return d.select("app", "grp", split.alias("split"))
+    """AGG-17/18: groups of shared artifacts to splits, each application keeping a group to train on."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(WORKFLOWS).alias("app"), F.coalesce("text", F.col("doc_id").cast("string")).alias("artifact"))
+    groups = splits.artifact_groups(d.select(F.col("doc_id").alias("workflow")), d.select(F.col("doc_id").alias("workflow"), "artifact"))
+    placed = checkpointed(d.select("doc_id", "app").join(groups.withColumnRenamed("workflow", "doc_id"), "doc_id"))
+    return placed.join(splits.guarded_splits(placed.select("app", "grp"), "7"), "grp").select("doc_id", "app", "grp", "split")
 
 
 DAG_SQL = """n AS (SELECT p_partkey AS id FROM part), e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2 AND p_partkey // 2 IN (SELECT p_partkey FROM part))"""
