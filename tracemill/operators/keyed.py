@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.functions import text as T
+from tracemill.storage import written
 
 
 def latest(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -47,16 +48,80 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
 
 
-def ranked_matches(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, k: int, least: int = 2) -> DataFrame:
-    """(query_id, text_id, shared, rank): the k texts that share most distinct tokens with each query.
+class Overlaps:
+    """Texts that share tokens with queries, through an inverted index entered by each query's rarest tokens only.
 
-    An inverted index: both sides meet on single tokens, so work follows the matches.
+    queries: (query_id, tokens); texts: (text_id, tokens) and, where titles count `heavy` times more, title, each an array
+    of distinct tokens. A query whose rarest p tokens lead to no text can share at most its other tokens with it; so the
+    prefix that a lower bound on the score calls for finds all texts that reach it, and the frequent tokens beyond are
+    never joined. What is found is verified on both token lists.
     """
-    q = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("token"))
-    d = texts.select(text_id, F.explode(tokens(F.col("text"))).alias("token"))
-    shared = q.join(d, "token").groupBy(query_id, text_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("shared"), text_id))
-    return shared.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def __init__(self, queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, heavy: int = 0):
+        self.query_id, self.text_id, self.heavy = query_id, text_id, heavy
+        held = texts.select(F.col(text_id).alias("_d"), "tokens", *(["title"] if heavy else []))
+        self.texts = written(held)
+        both = F.array_union("tokens", "title") if heavy else F.col("tokens")
+        self.index = self.texts.select("_d", F.explode(both).alias("token"))
+        asked = queries.select(F.col(query_id).alias("_q"), F.array_distinct("tokens").alias("wanted"))
+        self.asked = asked
+        frequency = self.index.groupBy("token").agg(F.count("*").alias("df"))
+        known = asked.select("_q", F.explode("wanted").alias("token")).join(frequency, "token")
+        rare = W.partitionBy("_q").orderBy("df", "token")
+        #: Tokens that some text has, each query's rarest first; postings before and with each.
+        placed = known.withColumn("place", F.row_number().over(rare)).withColumn("postings", F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, 0)))
+        self.tokens = written(placed.withColumn("size", F.count("*").over(W.partitionBy("_q"))))
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("wanted", "tokens"))
+        if self.heavy:
+            shared = shared + self.heavy * F.size(F.array_intersect("wanted", "title"))
+        return pairs.join(self.asked, "_q").join(self.texts, "_d").select("_q", "_d", shared.cast("long").alias("score"))
+
+    def _met(self, tokens: DataFrame) -> DataFrame:
+        return tokens.select("_q", "token").join(self.index, "token").select("_q", "_d").distinct()
+
+    def _prefix(self, score) -> Column:
+        """Places that a text of that score can't miss: those beyond can't make it up, each at its heaviest."""
+        return F.col("size") - F.ceil(score / F.lit(1 + self.heavy)) + 1
+
+    def at_least(self, need: DataFrame) -> DataFrame:
+        """(query_id, text_id, score) with the score that need (query_id, need) asks of each query."""
+        needs = need.select(F.col(self.query_id).alias("_q"), "need")
+        tokens = self.tokens.join(needs, "_q").where(F.col("place") <= self._prefix(F.col("need")))
+        found = self._verified(self._met(tokens)).join(needs, "_q").where("score >= need")
+        return found.select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score")
+
+    def best(self, k: int, least: int = 1, postings: int = 256) -> DataFrame:
+        """(query_id, text_id, score, rank): the k best of at least `least`, ties to the smaller text_id.
+
+        A first look follows each query's rarest tokens up to a number of postings; the k-th score that it gives
+        decides how many more tokens must be followed.
+        """
+        rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_d"))
+        begun = (F.col("postings") <= postings) | (F.col("place") == 1)
+        first = written(self._verified(self._met(self.tokens.where(begun))))
+        bound = first.withColumn("rank", rank).where(F.col("rank") == k).select("_q", F.col("score").alias("kth"))
+        open_ = self.tokens.where(~begun).join(bound, "_q", "left").where(F.col("place") <= self._prefix(F.greatest(F.coalesce("kth", F.lit(0)), F.lit(least))))
+        new = self._met(open_).join(first.select("_q", "_d"), ["_q", "_d"], "left_anti")
+        every = first.unionByName(self._verified(new)).where(F.col("score") >= least)
+        return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score", "rank")
+
+
+def ranked_matches(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, k: int, least: int = 2) -> DataFrame:
+    """(query_id, text_id, shared, rank): the k texts that share most distinct tokens with each query."""
+    told = lambda d, i: d.select(i, tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return Overlaps(told(queries, query_id), told(texts, text_id), query_id, text_id).best(k, least).withColumnRenamed("score", "shared")
+
+
+def noted(topics: DataFrame, notes: DataFrame, most: int = 6000, k: int = 2) -> DataFrame:
+    """(topic_id, note_id, rank, score, chars): the k notes that best fit each topic, title tokens counting three times
+    more, and how many characters of each are within the topic's `most`. topics: (topic_id, text); notes: (note_id, title, text)."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    found = Overlaps(topics.select("topic_id", words("text").alias("tokens")), notes.select("note_id", words("text").alias("tokens"), words("title").alias("title")), "topic_id", "note_id", heavy=3).best(k)
+    sized = found.join(notes.select("note_id", F.char_length("text").cast("long").alias("length")), "note_id")
+    before = F.coalesce(F.sum("length").over(W.partitionBy("topic_id").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return sized.withColumn("chars", F.least("length", most - before)).where((F.col("rank") == 1) | (F.col("chars") > 0)).drop("length")
 
 
 def quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -76,7 +141,7 @@ def quotes(items: DataFrame, docs: DataFrame) -> DataFrame:
         found = grams.join(F.broadcast(openings) if n < 100_000 else openings, "g").select("item_id", "doc_id")
         pairs = found if pairs is None else pairs.union(found)
     if pairs is None:
-        return items.crossJoin(docs.select("doc_id")).select("item_id", "doc_id").where("false")
+        return items.join(docs, F.lit(False)).select("item_id", "doc_id")
     texts = docs.select("doc_id", "text")
     return pairs.distinct().join(q.select("item_id", "quote"), "item_id").join(texts, "doc_id").where(T.quoted(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
 

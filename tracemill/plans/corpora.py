@@ -106,10 +106,24 @@ def join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM r WHERE rank <= 5""",
 )
 def join_ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOIN-20, TOP-05, TXT-26: best five by shared tokens, through an inverted index."""
+    """JOIN-20, TOP-05: best five by shared tokens, through an index entered by rare tokens."""
     return keyed.ranked_matches(table(spark, sf_dir, "benchmark"), _docs(spark, sf_dir), "item_id", "doc_id", 5)
 
 
+@query(
+    "txt_design_notes",
+    """WITH t AS (SELECT item_id AS topic_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), d AS (SELECT doc_id AS note_id, length(text)::BIGINT AS l, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS body, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS title FROM documents),
+    s AS (SELECT topic_id, note_id, l, 3 * len(list_intersect(q, title)) + len(list_intersect(q, body)) AS score FROM t, d), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, note_id) AS rank FROM s WHERE score > 0),
+    c AS (SELECT *, coalesce(sum(l) OVER (PARTITION BY topic_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE rank <= 2)
+    SELECT topic_id, note_id, rank, score, least(l, 6000 - before)::BIGINT AS chars FROM c WHERE rank = 1 OR 6000 - before > 0 AND l > 0""",
+)
+def txt_design_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-26: the two documents that best fit each topic, titles weighted, within 6,000 characters."""
+    topics = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
+    notes = _docs(spark, sf_dir).select(F.col("doc_id").alias("note_id"), F.substring_index("text", "\n", 1).alias("title"), "text")
+    return keyed.noted(topics, notes)
+
+
 @query("agg_macro_average", """WITH g AS (SELECT lang, count(*) AS n, avg((length(text) > 1000)::INT) AS mean, sum((length(text) > 1000)::INT) AS s FROM documents GROUP BY 1)
     SELECT 'group:' || lang AS scope, n, mean FROM g UNION ALL SELECT 'overall', sum(n)::BIGINT, sum(s) / sum(n) FROM g UNION ALL SELECT 'macro', count(*), avg(mean) FROM (SELECT mean FROM g ORDER BY lang)""")
 def agg_macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,11 +157,12 @@ def txt_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def txt_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-21: results (here turns) that hold two of a query's anchors, or the only one."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", T.anchors(F.col("text")).alias("q"))
-    q = q.select("item_id", F.least(F.lit(2), F.size("q")).alias("need"), F.explode("q").alias("w"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    c = turns(spark, sf_dir).select("conv_id", "turn", F.explode(words).alias("w"))
-    return c.join(q, "w").groupBy("conv_id", "turn", "item_id", "need").agg(F.count("*").alias("shared")).where("shared >= need").drop("need")
+    q = table(spark, sf_dir, "benchmark").select("item_id", T.anchors(F.col("text")).alias("tokens"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    c = turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("at"), words.alias("tokens"))
+    need = q.where(F.size("tokens") > 0).select("item_id", F.least(F.lit(2), F.size("tokens")).alias("need"))
+    found = keyed.Overlaps(q, c, "item_id", "at").at_least(need)
+    return found.select("at.conv_id", "at.turn", "item_id", F.col("score").alias("shared"))
 
 
 @query(
