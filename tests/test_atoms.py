@@ -1,6 +1,5 @@
 """Atomic actions: literal recordings, in a fold and in a stream."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import atoms as A
@@ -85,16 +84,7 @@ def test_app_matches(spark):
     assert d.select(A.app_matches(F.lit("Siemens NX 12"), "nx-cad", "").alias("m")).first()["m"]
 
 
-@pytest.fixture
-def stores(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.set(name, before) if before else spark.conf.unset(name)
-
-
-def test_stream_equals_fold(spark, stores, tmp_path):
+def test_stream_equals_fold(spark, tmp_path):
     """Micro-batches cut the recordings anywhere; a closing row or an hour's silence ends them."""
     d = frame(spark, RECORDINGS).withColumn("t", F.when(F.isnan("t") | (F.col("t") < 0), None).otherwise(F.col("t")))
     stamped = d.withColumn("ts", F.timestamp_seconds(F.coalesce("t", F.lit(0.0)) + 1_000_000)).cache()
@@ -105,6 +95,7 @@ def test_stream_equals_fold(spark, stores, tmp_path):
     for n, s in enumerate(steps):
         s.repartition(1).write.parquet(str(tmp_path / f"in/step={n}"))
     raw = spark.readStream.schema(stamped.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = jobs.to_end(jobs.atoms_of(raw.drop("step")))
+    with jobs.durable_state(spark):
+        got = jobs.to_end(jobs.atoms_of(raw.drop("step")))
     want = A.atoms(stamped.drop("ts")).collect()
     assert told(r for r in got.collect() if r["workflow"] != 999) == told(want)

@@ -239,6 +239,51 @@ class JoinedTyping:
         return [self.last] if self.last else []
 
 
+class Reassembled:
+    """(text): pieces laid end to end by their offsets up to the first hole; what lies within the text so far is past."""
+
+    def __init__(self):
+        self.parts, self.length, self.whole = [], 0, True
+
+    def take(self, row) -> list[tuple]:
+        if self.whole and row.offset == self.length:
+            self.parts.append(row.text)
+            self.length += len(row.text)
+        elif row.offset > self.length:
+            self.whole = False
+        return []
+
+    def end(self) -> list[tuple]:
+        return [("".join(self.parts),)]
+
+
+#: How an operation may end.
+TERMINAL = ("completed", "incomplete", "failed", "cancelled", "interrupted")
+
+
+def settled(events: DataFrame, by: str = "operation") -> DataFrame:
+    """(by, status, settled_at, text): each started operation, whatever order its events came in.
+
+    events: (by, event_id, ts, kind, offset, text, status). Event ids count once. The earliest settlement stands, later
+    ones change nothing, except that an interrupted operation may turn out cancelled. Deltas after the settlement are
+    ignored; the rest are laid end to end, of one offset the earliest.
+    """
+    when = F.struct("ts", "event_id")
+    told = events.where((F.col("kind") != "settle") | F.col("status").isin(*TERMINAL)).dropDuplicates([by, "event_id"])
+    ends = F.col("kind") == "settle"
+    state = told.groupBy(by).agg(
+        F.bool_or(F.col("kind") == "start").alias("started"), F.min_by("status", F.when(ends, when)).alias("first"), F.min(F.when(ends, F.col("ts"))).alias("settled_at"),
+        F.coalesce(F.bool_or(ends & (F.col("status") == "cancelled")), F.lit(False)).alias("cancelled"),
+    ).where("started")
+    status = F.when((F.col("first") == "interrupted") & F.col("cancelled"), "cancelled").otherwise(F.coalesce("first", F.lit("running")))
+    state = state.select(by, status.alias("status"), "settled_at")
+    deltas = told.where("kind = 'delta' and offset >= 0 and text <> ''").join(state.select(by, "settled_at"), by).where("settled_at is null or ts <= settled_at")
+    pieces = deltas.groupBy(by, "offset").agg(F.min_by("text", when).alias("text"))
+    kind = events.schema[by].dataType.simpleString()
+    text = fold(pieces, [by], ["offset"], Reassembled, f"{by} {kind}, text string")
+    return state.join(text, by, "left").select(by, "status", "settled_at", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def priority_pick(d: DataFrame, by: list[str], item: str, order: str, priority: Column, most: int) -> DataFrame:
     """Distinct items of each key, the latest occurrence's order and the highest priority, best `most` first."""
     each = d.withColumn("_p", priority).groupBy(*by, item).agg(F.max("_p").alias("priority"), F.max(order).alias(order))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.operators import atoms as A
+from tracemill.operators import sequences
 from tracemill.plans.registry import query
-from tracemill.sources.tables import EVENTS_SQL, events
+from tracemill.sources.tables import EVENTS_SQL, events, turns
+from tracemill.streaming import jobs
 
 #: Each user's events as one recording: 120 to 180 ms apart, of all kinds, pointers at four places of the screen.
 RECORDED = {
@@ -105,3 +107,60 @@ def agg_input_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-09: rejected inputs by reason."""
     d = A.atoms(recorded(spark, sf_dir)).where("type = 'reject'")
     return d.groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("workflow").alias("workflows"))
+
+
+#: Each conversation's turn as an operation: deltas of 16 characters with holes and stale pieces, one of four endings.
+OPERATION_EVENTS = {
+    "start": ("turn % 9 <> 8", "'start'", "0", "-1", "''", "NULL"),
+    "done": ("turn % 4 IN (0, 1)", "'settle'", "1000", "-2", "''", "'completed'"),
+    "stop": ("turn % 4 = 1", "'settle'", "12", "-3", "''", "'cancelled'"),
+    "cut": ("turn % 4 = 2", "'settle'", "14", "-4", "''", "'interrupted'"),
+    "late": ("turn % 4 = 2", "'settle'", "20", "-5", "''", "'cancelled'"),
+}
+SECOND, DAY = 1_000_000, 86_400
+OPERATIONS_SQL = (
+    "t AS (SELECT DISTINCT conv_id || ':' || turn AS operation, turn, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL), "
+    "i AS (SELECT operation, turn, text, unnest(range((length(text) + 15) // 16)) AS i FROM t), "
+    "v AS (SELECT operation, 'delta' AS kind, (10 + i) AS ts, i * 16 AS place, substr(text, i * 16 + 1, 16) AS piece, NULL AS status, i AS no FROM i WHERE (i + turn) % 11 <> 10 "
+    "UNION ALL SELECT operation, 'delta', 10 + i, i * 16 - 5, 'zzz', NULL, 100000 + i FROM i WHERE i % 4 = 3 "
+    + " ".join(f"UNION ALL SELECT operation, {kind}, {ts}, {at}, {piece}, {status}, {at} FROM t WHERE {where}" for where, kind, ts, at, piece, status in OPERATION_EVENTS.values())
+    + ")"
+)
+
+
+def operation_events(turns: DataFrame) -> DataFrame:
+    """(operation, event_id, ts, kind, offset, text, status), in no order that means anything; some come twice."""
+    t = turns.where("conv_id is not null and turn is not null and text is not null").selectExpr("concat(conv_id, ':', turn) AS operation", "cast(turn as long) AS turn", "text")
+    i = t.selectExpr("operation", "turn", "text", "explode(sequence(0, greatest(0, (char_length(text) + 15) div 16 - 1))) AS i").where("char_length(text) > 0")
+    kinds = "'delta' AS kind", "cast(10 + i as long) AS ts"
+    found = i.where("(i + turn) % 11 <> 10").selectExpr("operation", *kinds, "cast(i * 16 as long) AS offset", "substr(text, cast(i * 16 + 1 as int), 16) AS text", "cast(NULL as string) AS status", "cast(i as long) AS no")
+    found = found.union(i.where("i % 4 = 3").selectExpr("operation", *kinds, "cast(i * 16 - 5 as long)", "'zzz'", "NULL", "cast(100000 + i as long)"))
+    for where, kind, ts, at, piece, status in OPERATION_EVENTS.values():
+        found = found.union(t.where(where).selectExpr("operation", kind, f"cast({ts} as long)", f"cast({at} as long)", piece, status, f"cast({at} as long)"))
+    told = found.selectExpr("operation", "concat(operation, '/', no) AS event_id", f"(ts + {DAY}) * {SECOND} AS ts", "kind", "offset", "text", "status")
+    return told.union(told.where("crc32(event_id) % 5 = 0"))
+
+
+#: The text grows piece by piece; a hole or a piece past the settlement ends it.
+SETTLED_TWIN = f"""WITH RECURSIVE {OPERATIONS_SQL}, s AS (SELECT operation, min(ts) FILTER (WHERE kind = 'settle') AS settled_at, arg_min(status, ts) FILTER (WHERE kind = 'settle') AS first,
+      coalesce(bool_or(status = 'cancelled'), false) AS cancelled FROM v GROUP BY operation HAVING bool_or(kind = 'start')),
+    d AS (SELECT operation, place, arg_min(piece, (ts, operation || '/' || no)) AS piece FROM v JOIN s USING (operation) WHERE kind = 'delta' AND place >= 0 AND (settled_at IS NULL OR ts <= settled_at) GROUP BY ALL),
+    w AS (SELECT operation, '' AS text FROM s UNION ALL SELECT w.operation, w.text || d.piece FROM w JOIN d ON d.operation = w.operation AND d.place = length(w.text)),
+    f AS (SELECT operation, arg_max(text, length(text)) AS text FROM w GROUP BY operation)
+    SELECT operation, CASE WHEN first = 'interrupted' AND cancelled THEN 'cancelled' ELSE coalesce(first, 'running') END AS status, (settled_at + {DAY}) * {SECOND} AS settled_at, text FROM s JOIN f USING (operation)"""
+
+
+@query("seq_settled_operations", SETTLED_TWIN)
+def seq_settled_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-17 in batch: operations' last states, whatever the order of events."""
+    return sequences.settled(operation_events(turns(spark, sf_dir)))
+
+
+@query("stream_settled_operations", SETTLED_TWIN)
+def stream_settled_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-17, STR-09: the same as a keyed stream, whose state expires."""
+    raw = jobs.table_stream(spark, sf_dir, "conversations")
+    with jobs.durable_state(spark):
+        seen = jobs.to_end(jobs.operations(operation_events(raw)), "update")
+    newest = F.max_by(F.struct("status", "settled_at", "text"), "revision").alias("_s")
+    return seen.groupBy("operation").agg(newest).select("operation", "_s.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,14 +15,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tracemill.operators.atoms import ATOM, FIELDS, Atoms
+from tracemill.operators.sequences import TERMINAL, Reassembled
 from tracemill.storage import shared_dir, table
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream of its files, event time as a timestamp."""
-    schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table read as a stream of its files; a pattern, since a table may be one file or a folder of them."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def log_appends(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -141,10 +146,91 @@ def atoms_of(events: DataFrame, by: str = "workflow", quiet: int = 3600, late: s
     return grouped.transformWithState(AtomsOfStream(by, quiet * 1000), f"{by} {kind}, {ATOM}", "Append", "EventTime")
 
 
-def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote; restartable from its checkpoint."""
+class SettlingOperations(StatefulProcessor):
+    """operations.settled over micro-batches: every batch that touches a started operation emits its present state.
+
+    Kept for each operation until `ttl_ms` of event time pass without an event of it: the earliest delta of each offset
+    and the settlements' essence. Keeping them by event time, not arrival, makes the last state the same for any order.
+    Then a timer clears it, and what comes later meets no operation.
+    """
+
+    def __init__(self, by: str, ttl_ms: int):
+        self.by, self.ttl_ms = by, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.row = handle, Row(self.by, "status", "settled_at", "text", "revision")
+        self.deltas = handle.getMapState("deltas", "offset long", "ts long, event_id string, text string")
+        self.state = handle.getValueState("state", "started boolean, status string, at long, event_id string, cancelled boolean, newest long, revision long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        started, status, at, by_event, cancelled, newest, revision = self.state.get() if self.state.exists() else (False, None, None, None, False, None, 0)
+        pieces: dict[int, tuple] = {}
+        due = newest
+        for r in rows:
+            now = (r["ts"], r["event_id"])
+            newest = max(r["ts"], newest if newest is not None else r["ts"])
+            if r["kind"] == "start":
+                started = True
+            elif r["kind"] == "settle" and r["status"] in TERMINAL:
+                cancelled |= r["status"] == "cancelled"
+                if status is None or now < (at, by_event):
+                    status, (at, by_event) = r["status"], now
+            elif r["kind"] == "delta" and r["text"] and r["offset"] is not None and r["offset"] >= 0:
+                pieces[r["offset"]] = min(pieces.get(r["offset"], (*now, r["text"])), (*now, r["text"]))
+        for offset, piece in pieces.items():
+            held = self.deltas.getValue((offset,)) if self.deltas.containsKey((offset,)) else None
+            if held is None or piece < tuple(held):
+                self.deltas.updateValue((offset,), piece)
+        if due != newest:
+            if due is not None:
+                self.handle.deleteTimer(due // 1000 + self.ttl_ms)
+            self.handle.registerTimer(newest // 1000 + self.ttl_ms)
+        self.state.update((started, status, at, by_event, cancelled, newest, revision + 1))
+        if started:
+            ended = "cancelled" if status == "interrupted" and cancelled else status or "running"
+            yield self.row(*key, ended, at, self._text(at), revision + 1)
+
+    def _text(self, at: int | None) -> str:
+        whole = Reassembled()
+        for (offset,), (ts, _, text) in sorted((tuple(k), tuple(v)) for k, v in self.deltas.iterator()):
+            if at is None or ts <= at:
+                whole.take(Row(offset=offset, text=text))
+        return whole.end()[0][0]
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.deltas.clear()
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def operations(events: DataFrame, by: str = "operation", ttl: int = 12 * 3600, late: str = "1 hour") -> DataFrame:
+    """STR-17/09: (by, status, settled_at, text, revision); events as for sequences.settled, ts in microseconds. The row
+    of the highest revision is an operation's state; `ttl` seconds after its newest event nothing of it is kept."""
+    kind = events.schema[by].dataType.simpleString()
+    timed = events.withColumn("at", F.timestamp_micros("ts")).withWatermark("at", late).withColumn("event_id", F.col("event_id").cast("string"))
+    schema = f"{by} {kind}, status string, settled_at long, text string, revision long"
+    return timed.groupBy(by).transformWithState(SettlingOperations(by, ttl * 1000), schema, "Update", "EventTime")
+
+
+@contextmanager
+def durable_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in the store that keyed timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def to_end(stream: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote; restartable from its checkpoint at `place`."""
     spark = stream.sparkSession
-    place = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    place = place or f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/micro_batch={epoch}")
