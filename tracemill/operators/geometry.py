@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.operators.graph import connected_components
+from tracemill.storage import checkpointed
 
 
 def signed_areas(points: DataFrame, path: str = "path_id", order: str = "i") -> DataFrame:
@@ -63,26 +64,62 @@ def crossings(segments: DataFrame, cell: float) -> DataFrame:
     return a.join(b, same).where(proper).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+#: Share of the volume that meshing may lose, more of it a facet up to a most; millimetres that bounds may
+#: differ; volume under which a shell is nothing.
+LOST, LOST_A_FACET, MOST_LOST, BOUNDS_OFF, NOTHING = 0.003, 3e-7, 0.03, 0.06, 1e-12
+
+
 def mesh_audit(facets: DataFrame) -> DataFrame:
-    """(mesh_id, facets, open_edges, bad_edges, solids, volume, closed) of facets with corners x1..z3.
+    """(mesh_id, facets, degenerate, open_edges, bad_edges, shells, solids, cavities, flat_shells, volume, size_x, size_y,
+    size_z, closed) of facets with corners x1..z3.
 
-    A closed, consistently turned surface uses each undirected edge once in each direction; solids are
-    components of facets that share edges, and the signed volume sums the facets' tetrahedra.
+    Corners with equal coordinates are one vertex. A closed, consistently turned surface uses each undirected edge once
+    in each direction. A sliver, two of whose corners are one vertex, closes by its neighbours: it takes part in nothing
+    but the counts and the bounds. Shells are facets connected by edges; a shell of positive signed volume is a solid,
+    a negative one a cavity. Volumes are measured from the mesh's first corner, which keeps their rounding small.
     """
+    # adding zero makes -0.0 and 0.0 one vertex
+    flat = facets.select("mesh_id", "facet", *((F.col(f"{c}{k}") + F.lit(0.0)).alias(f"{c}{k}") for k in "123" for c in "xyz"))
+    origin = flat.groupBy("mesh_id").agg(F.min_by(F.struct("x1", "y1", "z1"), "facet").alias("o"), *(f(F.greatest(*(F.col(f"{c}{k}") for k in "123")) if f is F.max else F.least(*(F.col(f"{c}{k}") for k in "123"))).alias(f"{n}_{c}") for f, n in ((F.max, "high"), (F.min, "low")) for c in "xyz"))
     corner = lambda k: F.concat_ws(",", *(F.col(f"{c}{k}").cast("string") for c in "xyz"))
-    d = facets.select("mesh_id", "facet", *(corner(k).alias(f"c{k}") for k in "123"), *(f"{c}{k}" for k in "123" for c in "xyz"))
+    ux, uy, uz, vx, vy, vz = (F.col(f"{c}{k}") - F.col(f"{c}1") for k in "23" for c in "xyz")
+    cross = (uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx)
+    volume = sum(((F.col(f"{c}1") - F.col(f"o.{c}1")) * n for c, n in zip("xyz", cross, strict=True)), F.lit(0.0)) / 6
+    d = flat.join(origin.select("mesh_id", "o"), "mesh_id").select("mesh_id", "facet", *(corner(k).alias(f"c{k}") for k in "123"), volume.alias("volume"), (sum((n * n for n in cross), F.lit(0.0)) == 0).alias("thin"))
+    d = checkpointed(d.withColumn("sliver", (F.col("c1") == F.col("c2")) | (F.col("c2") == F.col("c3")) | (F.col("c3") == F.col("c1"))))
     edge = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), F.when(F.col(p) < F.col(q), 1).otherwise(-1).alias("turn"))
-    edges = d.select("mesh_id", "facet", F.explode(F.array(edge("c1", "c2"), edge("c2", "c3"), edge("c3", "c1"))).alias("e")).select("mesh_id", "facet", "e.*")
-    uses = edges.groupBy("mesh_id", "a", "b").agg(F.count("*").alias("n"), F.sum("turn").alias("turn"), F.min("facet").alias("low"), F.max("facet").alias("high"))
+    real = d.where("not sliver")
+    edges = real.select("mesh_id", "facet", F.explode(F.array(edge("c1", "c2"), edge("c2", "c3"), edge("c3", "c1"))).alias("e")).select("mesh_id", "facet", "e.*")
+    uses = checkpointed(edges.groupBy("mesh_id", "a", "b").agg(F.count("*").alias("n"), F.sum("turn").alias("turn"), F.min("facet").alias("low"), F.max("facet").alias("high")))
     checked = uses.groupBy("mesh_id").agg(F.count_if(F.col("n") == 1).alias("open_edges"), F.count_if((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("turn") != 0))).alias("bad_edges"))
-    name = lambda m, f: F.concat_ws("#", m, f)
-    first = uses.select("mesh_id", "a", "b", "low")
-    links = edges.join(first, ["mesh_id", "a", "b"]).select(name("mesh_id", "facet").alias("src"), name("mesh_id", "low").alias("dst"), "mesh_id")
-    named = links.select("mesh_id", F.col("src").alias("node")).distinct()
-    solids = named.join(connected_components(links), "node").groupBy("mesh_id").agg(F.countDistinct("component").alias("solids"))
-    x1, y1, z1, x2, y2, z2, x3, y3, z3 = (F.col(f"{c}{k}") for k in "123" for c in "xyz")
-    volume = (x1 * (y2 * z3 - z2 * y3) - y1 * (x2 * z3 - z2 * x3) + z1 * (x2 * y3 - y2 * x3)) / 6
-    sums = d.groupBy("mesh_id").agg(F.count("*").alias("facets"), F.sum(volume).alias("volume"))
-    out = sums.join(checked, "mesh_id").join(solids, "mesh_id")
-    closed = (F.col("open_edges") == 0) & (F.col("bad_edges") == 0) & (F.col("volume") > 0)
-    return out.select("mesh_id", "facets", "open_edges", "bad_edges", "solids", "volume", closed.alias("closed"))
+    name = lambda f: F.concat_ws("#", "mesh_id", f)
+    # an edge of two facets links them; one of more links all to its first
+    two = uses.where("n = 2 and low <> high").select(name("low").alias("src"), name("high").alias("dst"))
+    more = edges.join(uses.where("n > 2").select("mesh_id", "a", "b", "low"), ["mesh_id", "a", "b"]).select(name("facet").alias("src"), name("low").alias("dst"))
+    found = connected_components(two.union(more)).withColumnRenamed("node", "name")
+    placed = real.select("mesh_id", name("facet").alias("name"), "volume").join(found, "name", "left").withColumn("shell", F.coalesce("component", "name"))
+    shells = placed.groupBy("mesh_id", "shell").agg(F.sum("volume").alias("v"))
+    kinds = shells.groupBy("mesh_id").agg(
+        F.count("*").alias("shells"), F.count_if(F.col("v") > 0).alias("solids"), F.count_if(F.col("v") < 0).alias("cavities"), F.count_if(F.abs("v") < NOTHING).alias("flat_shells"), F.sum("v").alias("volume")
+    )
+    counts = d.groupBy("mesh_id").agg(F.count("*").alias("facets"), F.count_if(F.col("sliver") | F.col("thin")).alias("degenerate"))
+    none = F.lit(0).cast("long")
+    out = counts.join(checked, "mesh_id", "left").join(kinds, "mesh_id", "left").join(origin, "mesh_id")
+    told = out.select(
+        "mesh_id", "facets", "degenerate", *(F.coalesce(c, none).alias(c) for c in ("open_edges", "bad_edges", "shells", "solids", "cavities", "flat_shells")),
+        F.coalesce("volume", F.lit(0.0)).alias("volume"), *((F.col(f"high_{c}") - F.col(f"low_{c}")).alias(f"size_{c}") for c in "xyz"),
+    )
+    return told.withColumn("closed", (F.col("open_edges") == 0) & (F.col("bad_edges") == 0) & (F.col("volume") > 0))
+
+
+def mesh_verdicts(audits: DataFrame, expected: DataFrame) -> DataFrame:
+    """(mesh_id, verdict): ok, or the first that is wrong: edges, open, shells, volume, bounds. expected: (mesh_id,
+    want_solids, want_volume, want_x, want_y, want_z)."""
+    d = audits.join(expected, "mesh_id")
+    lost = F.greatest(F.lit(1e-5), F.col("want_volume") * (LOST + F.least(F.lit(MOST_LOST), F.col("facets") * LOST_A_FACET)))
+    off = [F.abs(F.col(f"size_{c}") - F.col(f"want_{c}")) > F.greatest(F.lit(BOUNDS_OFF), F.abs(f"want_{c}") * 1e-5) for c in "xyz"]
+    verdict = (
+        F.when(F.col("bad_edges") > 0, "edges").when(F.col("open_edges") > 0, "open").when((F.col("solids") != F.col("want_solids")) | (F.col("flat_shells") > 0), "shells")
+        .when(F.abs(F.col("volume") - F.col("want_volume")) > lost, "volume").when(off[0] | off[1] | off[2], "bounds").otherwise("ok")
+    )
+    return d.select("mesh_id", verdict.alias("verdict"))

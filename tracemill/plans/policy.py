@@ -115,17 +115,48 @@ def geo_dag_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(p.select(F.col("p_partkey").alias("id")), e)
 
 
-@query(
-    "geo_mesh_audit",
-    """WITH p AS (SELECT vec_id AS mesh_id, [round(embedding[1]::DOUBLE * 100), round(embedding[2]::DOUBLE * 100), round(embedding[3]::DOUBLE * 100)] AS a FROM embeddings)
-    SELECT mesh_id, 4::BIGINT AS facets, 0::BIGINT AS open_edges, 0::BIGINT AS bad_edges, 1::BIGINT AS solids, (a[1] + 200) * 300 * 100 / 6 AS volume, a[1] + 200 > 0 AS closed FROM p""",
+#: A vector's mesh: a tetrahedron of varying length, by vec_id with a hole, a turned facet, a cavity, a second solid, or
+#: slivers that close by their neighbours. Corners are whole numbers, which 32-bit floats hold.
+BODY = ["0,0,0, 0,300,0, A,0,0", "0,0,0, A,0,0, 0,0,100", "0,0,0, 0,0,100, 0,300,0", "A,0,0, 0,300,0, 0,0,100"]
+
+
+def _moved(facets: list[str], by: int, part: float, turned: bool) -> list[str]:
+    out = []
+    for f in facets:
+        c = [v.strip() for v in f.split(",")]
+        c = [f"({v} * {part} + {by})" for v in c]
+        out.append(", ".join(c[0:3] + c[6:9] + c[3:6] if turned else c))
+    return out
+
+
+MESH_ROWS = [  # rule, facets
+    ("true", BODY[:1]), ("vec_id % 7 <> 1", BODY[1:2]), ("vec_id % 7 <> 2", BODY[2:3]), ("vec_id % 7 = 2", ["0,0,0, 0,300,0, 0,0,100"]), ("true", BODY[3:]),
+    ("vec_id % 7 = 3", _moved(BODY, 10, 0.25, True)), ("vec_id % 7 IN (1, 4)", _moved(BODY, 1000, 0.5, False)), ("vec_id % 7 = 5", ["0,0,0, 0,0,0, A,0,0", "0,0,100, A,0,0, 0,0,100"]),
+]
+MESH_FACETS = "filter(flatten(array(" + ", ".join(f"transform(array({', '.join(f'array({f})' for f in fs)}), f -> IF({rule}, transform(f, v -> cast(v as double)), NULL))" for rule, fs in MESH_ROWS) + ")), f -> f is not null)"
+MESH_A = "(round(cast(embedding[{}] as double) * 100) + 200) * 4"
+MESH_SQL = (
+    f"p AS (SELECT vec_id, ({MESH_A.format(1).replace('as double', 'AS DOUBLE')}) AS a FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), f AS ("
+    + " UNION ALL ".join(f"SELECT vec_id, {k}::BIGINT AS facet, list_transform([{f.replace('A', 'a')}], lambda v: v::DOUBLE) AS c FROM p WHERE {rule}" for k, (rule, f) in enumerate((rule, f) for rule, fs in MESH_ROWS for f in fs))
+    + "), g AS (SELECT vec_id AS mesh_id, facet, c, (c[1], c[2], c[3])::VARCHAR AS c1, (c[4], c[5], c[6])::VARCHAR AS c2, (c[7], c[8], c[9])::VARCHAR AS c3 FROM f),"
 )
+MESH_TWIN = f"""WITH RECURSIVE {MESH_SQL} h AS (SELECT *, c1 = c2 OR c2 = c3 OR c3 = c1 AS sliver, c[1] * (c[5] * c[9] - c[6] * c[8]) - c[2] * (c[4] * c[9] - c[6] * c[7]) + c[3] * (c[4] * c[8] - c[5] * c[7]) AS six FROM g),
+    e AS (SELECT mesh_id, facet, least(p, q) AS a, greatest(p, q) AS b, CASE WHEN p < q THEN 1 ELSE -1 END AS turn FROM (SELECT mesh_id, facet, unnest([c1, c2, c3]) AS p, unnest([c2, c3, c1]) AS q FROM h WHERE NOT sliver)),
+    u AS (SELECT mesh_id, a, b, count(*) AS n, sum(turn) AS t FROM e GROUP BY ALL), k AS (SELECT mesh_id, count(*) FILTER (WHERE n = 1) AS open_edges, count(*) FILTER (WHERE n > 2 OR (n = 2 AND t <> 0)) AS bad_edges FROM u GROUP BY 1),
+    r AS (SELECT mesh_id, facet, facet AS other FROM h WHERE NOT sliver UNION SELECT r.mesh_id, r.facet, y.facet FROM r JOIN e x ON x.mesh_id = r.mesh_id AND x.facet = r.other JOIN e y ON y.mesh_id = x.mesh_id AND y.a = x.a AND y.b = x.b),
+    s AS (SELECT mesh_id, facet, min(other) AS shell FROM r GROUP BY ALL), v AS (SELECT mesh_id, shell, sum(six) / 6 AS v FROM s JOIN h USING (mesh_id, facet) GROUP BY ALL),
+    w AS (SELECT mesh_id, count(*) AS shells, count(*) FILTER (WHERE v > 0) AS solids, count(*) FILTER (WHERE v < 0) AS cavities, sum(v) AS volume FROM v GROUP BY 1),
+    b AS (SELECT mesh_id, count(*) AS facets, count(*) FILTER (WHERE sliver) AS degenerate, max(greatest(c[1], c[4], c[7])) - min(least(c[1], c[4], c[7])) AS size_x FROM h GROUP BY 1)
+    SELECT mesh_id, facets, degenerate, open_edges, bad_edges, shells, solids, cavities, volume, size_x FROM b JOIN k USING (mesh_id) JOIN w USING (mesh_id)"""
+
+
+@query("geo_mesh_audit", MESH_TWIN)
 def geo_mesh_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-01: a tetrahedron a vector, with one edge of varying length."""
+    """GEO-01, SRC-15: each vector's mesh as a binary file, read back as facets and audited."""
     from tracemill.operators import geometry
+    from tracemill.sources import stl
 
-    a = F.round(F.get("embedding", F.lit(0)).cast("double") * 100) + 200
-    o, p, q, r = ((F.lit(0.0),) * 3, (a, F.lit(0.0), F.lit(0.0)), (F.lit(0.0), F.lit(300.0), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(100.0)))
-    facet = lambda k, *corners: F.struct(F.lit(k).alias("facet"), *(v.alias(f"{c}{j}") for j, corner in enumerate(corners, 1) for c, v in zip("xyz", corner, strict=True)))
-    rows = F.explode(F.array(facet(1, o, q, p), facet(2, o, p, r), facet(3, o, r, q), facet(4, p, q, r)))
-    return geometry.mesh_audit(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mesh_id"), rows.alias("f")).select("mesh_id", "f.*"))
+    v = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").selectExpr("vec_id", f"{MESH_A.format(0)} AS A")
+    files = v.select(F.col("vec_id").alias("mesh_id"), stl.binary(F.expr(MESH_FACETS)).alias("content"))
+    told = geometry.mesh_audit(stl.facets(files)).select("mesh_id", "facets", "degenerate", "open_edges", "bad_edges", "shells", "solids", "cavities", "volume", "size_x")
+    return told
