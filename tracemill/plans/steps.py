@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,8 +11,9 @@ from pyspark.sql import Window as W
 from tracemill.functions import text as T
 from tracemill.operators import keyed, sequences, statistics
 from tracemill.plans.registry import query
+from tracemill.sources import build, ledger
 from tracemill.sources.tables import EVENTS_SQL, events, turns
-from tracemill.storage import table
+from tracemill.storage import shared_dir, table
 
 HOUR = 3_600_000_000
 ALONG = "PARTITION BY user_id ORDER BY t, event_id"
@@ -145,11 +148,22 @@ def src_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(500).select(F.col("id").alias("task"), F.get(sizes, (part(1) % 3).cast("int")).alias("size"), (10 + part(7) % 90).alias("width"))
 
 
-@query("str_incremental", "SELECT source, count(*) AS todo FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1")
+@query(
+    "str_incremental",
+    """WITH u AS (SELECT coalesce(source, 'none') AS unit, count(*) AS rows, sum(length(text))::BIGINT AS chars, bool_or(text IS NULL OR length(text) < 4) AS spoilt FROM documents GROUP BY 1)
+    SELECT unit, 'complete' AS status, NULL AS reason, rows, CASE WHEN spoilt THEN 2 ELSE 1 END AS number, chars FROM u UNION ALL SELECT 'planned', 'skipped', 'no rows', 0, 1, NULL""",
+)
 def str_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-16, SRC-04: what a restarted build still has to do; failed units are done again."""
-    done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("todo"))
+    """STR-16, SRC-11: sources built in two runs; the first fails those with a text under four characters, the second
+    does only these again, and none is built twice."""
+    root = f"{shared_dir(spark)}/builds/{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("source"))
+    planned = d.select(F.col("source").alias("unit")).union(spark.createDataFrame([("planned",)], "unit string"))
+    short = F.when(F.coalesce(F.char_length("text") < 4, F.lit(True)), "text under four characters")
+    build.run(spark, root, d, "source", short, planned)
+    build.run(spark, root, d, "source", F.lit(None).cast("string"), planned)
+    chars = build.built(spark, root).groupBy(F.col("source").alias("unit")).agg(F.sum(F.char_length("text")).alias("chars"))
+    return build.state(spark, root).select("unit", "status", "reason", "rows", "number").join(chars, "unit", "left")
 
 
 @query(
@@ -285,14 +299,40 @@ class Parameters:
 
 @query(
     "geo_revisions",
-    """WITH r AS (SELECT o_custkey AS project, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders)
-    SELECT project, 'r' || lpad(n::VARCHAR, 4, '0') AS revision, o_orderkey, parent FROM r""",
+    """WITH RECURSIVE a AS (SELECT o_custkey AS project, o_orderkey AS attempt, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+    x AS (SELECT *, greatest(0, i * 6 // 10 - (attempt % 4 = 0)::INT) AS expected FROM a),
+    w AS (SELECT project, i, attempt, (expected = 0)::BIGINT AS head, expected = 0 AS won FROM x WHERE i = 1
+      UNION ALL SELECT x.project, x.i, x.attempt, w.head + (x.expected = w.head)::BIGINT, x.expected = w.head FROM w JOIN x ON x.project = w.project AND x.i = w.i + 1)
+    SELECT project, attempt, CASE WHEN won THEN 'r' || lpad(head::VARCHAR, 4, '0') END AS revision, CASE WHEN won AND head > 1 THEN 'r' || lpad((head - 1)::VARCHAR, 4, '0') END AS parent FROM w""",
 )
 def geo_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GEO-07/08: contiguous revision ids with their parents."""
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    n = F.concat(F.lit("r"), F.lpad(F.row_number().over(w).cast("string"), 4, "0"))
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), n.alias("revision"), "o_orderkey", F.lag("o_orderkey").over(w).alias("parent"))
+    """GEO-08: logged attempts against the head that each had read; those that read another lose."""
+    i = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("attempt"), i.cast("long").alias("at"))
+    read = F.greatest(F.lit(0), F.expr("at * 6 div 10") - F.when(F.col("attempt") % 4 == 0, 1).otherwise(0))
+    return ledger.replayed(a.withColumn("expected", read))
+
+
+@query(
+    "geo_ledger",
+    """SELECT 'r' || lpad((row_number() OVER (ORDER BY o))::VARCHAR, 4, '0') AS id, CASE WHEN row_number() OVER (ORDER BY o) > 1 THEN 'r' || lpad((row_number() OVER (ORDER BY o) - 1)::VARCHAR, 4, '0') END AS parent, restored_from, name, rows FROM
+    (SELECT r_regionkey AS o, NULL AS restored_from, r_name AS name, count(c_custkey) AS rows FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL
+    UNION ALL SELECT 1000, 'r0001', arg_min(r_name, r_regionkey), (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT min(r_regionkey) FROM region)) FROM region)""",
+)
+def geo_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEO-08: a table's revisions, one a region, each tried by two writers; the first restored at the end."""
+    log = ledger.Ledger(spark, f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}")
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "c_custkey", "c_name")
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        head = log.head()
+        log.commit(customers.where(F.col("n_regionkey") == r["r_regionkey"]), head, r["r_name"])
+        try:
+            log.restore("r0001", head)
+            raise AssertionError("two writers committed against one head")
+        except ledger.Conflict:
+            pass
+    log.restore("r0001", log.head())
+    return spark.createDataFrame(log.revisions(), "id string, parent string, restored_from string, name string, rows long")
 
 
 @query("geo_checks", "SELECT p_brand, count(*) FILTER (WHERE p_size BETWEEN 10 AND 30) AS holes, max(p_size) - min(p_size) AS gap, bool_and(p_retailprice < 2500) AS bounds FROM part WHERE p_size / 50.0 > 0.2 GROUP BY 1")
