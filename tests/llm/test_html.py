@@ -64,3 +64,123 @@ def test_whole_table_keeps_articles(spark):
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"<[^>]*\Z", "", body[1]) if body else "")
         want = [" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in parts]
         assert r["text"] == "\n".join(x for x in want if x)
+
+
+def test_comment_threads_of_articles():
+    thread = f'<article class="comment-body"><p>{LONG}</p><p>{LONG}</p></article>'
+    assert html.main_text(f'<article><p>A</p></article><section class="comments"><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></section>') == "A"
+    assert html.main_text(f'<main><article><p>{LONG}</p></article><section id="comments"><ol class="comment-list"><li>{thread}</li></ol></section></main>') == LONG
+    assert html.main_text(f'<main><h1>T</h1><p>{LONG}</p><div class="comments">{thread}{thread}</div></main>') == f"T\n{LONG}"
+
+
+def test_adverts_and_marks_within_an_article():
+    for part in ('<div class="user-comments"><p>X</p></div>', '<div class="advert-slot">X</div>', '<div class="related-posts">X</div>', '<p class="advert">X</p>', '<span class="ad">X</span>'):
+        assert html.main_text(f"<article><p>{LONG}</p>{part}<p>Z</p></article>") == f"{LONG}\nZ", part
+
+
+def test_all_of_an_article():
+    assert html.main_text(f"<article><p>{LONG}</p><h2>Refs</h2><ul><li><a href=x>Smith 2001</a></li><li><a href=y>Jones 2002</a></li></ul></article>") == f"{LONG}\nRefs\nSmith 2001\nJones 2002"
+    assert html.main_text(f"<body><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><h2>End</h2><p>A short closing part.</p></section></body>").endswith("End\nA short closing part.")
+    assert html.main_text(f"<body><article><p>{LONG}</p></article><article><p>Two, short</p></article></body>") == f"{LONG}\nTwo, short"
+
+
+def test_time_follows_length():
+    import time
+
+    for part in ("<div>", "<div><p>", "<span>", '<b><div class="x">', "<p><table><div>", "<header><h1>", "<ul><li>", "</p>", "<a>"):
+        start = time.time()
+        html.main_text(part * 20_000 + "x")
+        assert time.time() - start < 8, part  # seconds of a slow machine; a quadratic walk takes minutes
+
+
+class Node:
+    """A page's tree for the slow scorer, which walks all ancestors of all paragraphs."""
+
+    def __init__(self, tag, *children):
+        self.tag, self.children, self.up = tag, children, None
+        for c in children:
+            if isinstance(c, Node):
+                c.up = self
+
+    def html(self):
+        return f"<{self.tag}>" + "".join(c.html() if isinstance(c, Node) else c for c in self.children) + f"</{self.tag}>"
+
+    def all(self):
+        yield self
+        for c in self.children:
+            if isinstance(c, Node):
+                yield from c.all()
+
+    def chain(self):
+        return [self, *(self.up.chain() if self.up else [])]
+
+    def text(self, linked=False, within=False):
+        """All text, or that of links only."""
+        within = within or self.tag == "a"
+        return "".join(c.text(linked, within) if isinstance(c, Node) else c if within or not linked else "" for c in self.children)
+
+
+def slow_text(body):
+    """Main text of a page of div, section, p, ul, li and a, each p or li holding text and links only."""
+    leaves = [n for n in body.all() if n.tag in ("p", "li")]
+    under = lambda n: [x for x in leaves if n in x.chain()]
+    chars = lambda n: sum(len(x.text()) for x in under(n))
+    density = lambda n: sum(len(x.text(linked=True)) for x in under(n)) / chars(n) if chars(n) else 0.0
+
+    def points(n):
+        total = 0.0
+        for x in leaves:
+            above = x.chain()[1:]
+            if n in above:
+                t = x.text()
+                total += (1 + t.count(",") + min(len(t) // 100, 3)) / 2 ** above.index(n)
+        return total
+
+    def score(n):
+        return (points(n) + html.WEIGHTS.get(n.tag, 0)) * (1 - density(n)) if points(n) else 0.0
+
+    order = list(body.all())
+    best = max(order, key=lambda n: (round(score(n), 9), -order.index(n)))
+    kept = {best}
+    for n in order:
+        if n is not best and best.up and n.up is best.up and chars(n):
+            plain = n.tag == "p" and density(n) < 0.25 and (chars(n) > 80 or not density(n))
+            part = n.tag == "section" and density(n) < 0.25 and score(n) > 0
+            if score(n) >= max(10.0, 0.2 * score(best)) or plain or part:
+                kept.add(n)
+    out = []
+    for x in leaves:
+        above = x.chain()
+        if not kept & set(above):
+            continue
+        inner = above[: next(k for k, n in enumerate(above) if n in kept)]
+        menu = any(n.tag == "ul" and density(n) > 0.9 and len(under(n)) > 1 and chars(n) < 25 * len(under(n)) for n in inner)
+        if not menu:
+            out.append(x.text())
+    return "\n".join(out)
+
+
+def test_scores_against_a_slow_tree():
+    import random
+
+    rng = random.Random(11)
+    words = "lorem, ipsum dolor, sit amet consectetur adipiscing elit, sed do eiusmod tempor".split()
+
+    def prose(most):
+        return " ".join(rng.choices(words, k=rng.randrange(1, most)))
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.45:
+            return Node("p", prose(40), *([Node("a", prose(12))] if rng.random() < 0.3 else []))
+        if kind < 0.6:
+            return Node("ul", *(Node("li", *([Node("a", prose(3))] if rng.random() < 0.7 else [prose(15)])) for _ in range(rng.randrange(1, 5))))
+        return Node(rng.choice(["div", "section"]), *(tree(depth - 1) for _ in range(rng.randrange(1, 5))))
+
+    some = 0
+    for _ in range(300):
+        body = Node("body", *(tree(4) for _ in range(rng.randrange(1, 5))))
+        want = slow_text(body)
+        assert html.main_text(body.html()) == want, body.html()
+        some += want != "\n".join(n.text() for n in body.all() if n.tag in ("p", "li"))
+    assert some > 50

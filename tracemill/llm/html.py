@@ -1,13 +1,15 @@
 """Main text of web pages by tree scoring.
 
 Each paragraph earns points for its length and commas and passes them to its ancestors, the full
-amount to the nearest container and less to each further one. A container's points are discounted by
+amount to the nearest container and half as much to each further one. A container's points are discounted by
 the share of its text that is link text. The best container is kept with those siblings that score well;
-where an article or main element holds it, all of that element's blocks are its siblings. Left out are
-elements whose tag or role makes them menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments, lists of short links, and containers whose class names nothing but such a part ("cookie-notice", not
-"related-work"). Ids count like classes outside articles only; paragraphs and headings are never left out for
-their class or id, and a container with most of the page's paragraphs isn't either.
+where an article or main element holds it, all of that element's blocks are its siblings, and so are articles
+beside it. Left out are elements whose tag or role makes them menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments, lists of short links that no heading introduces, and containers whose class names nothing
+but such a part ("cookie-notice", not "related-work"). Ids count like classes outside articles only; paragraphs and
+headings are left out only where a class names an advert. A marked container stays if it holds the page's title, most of
+its paragraphs where there is no article, or every article of the page (a thread of comments as articles doesn't).
+Sums go up and marks go down the tree once each, so a page takes time in proportion to its length.
 
 White space is HTML's: space, tab, line ends, form feed; no-break spaces stay.
 
@@ -54,8 +56,10 @@ JUNK_WORDS = frozenset(
 #: Parts of class names that say where an element is, not what it is; elements that class names may mark.
 LAYOUT_WORDS = frozenset(
     "site page main top bottom left right global local primary secondary outer inner wrapper wrap container content section area block box bar list item group row col column "
-    "panel inline float fixed sticky small large mobile desktop links buttons button icons thread".split()
+    "panel inline float fixed sticky small large mobile desktop links buttons button icons thread slot unit zone placement user reader readers post posts stories body".split()
 )
+AD_WORDS = frozenset("ad ads advert adverts advertisement sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section ul ol dl table td tr header menu details center article".split())
 #: Elements that end an open element of the first name, up to the nearest of the others.
 CLOSES = {
@@ -82,8 +86,11 @@ class Page:
         self.tag, self.parent, self.junk = [""], [-1], [False]
         self.named: list[bool] = [False]  # junk by class or id only
         self.links: list[bool] = [False]  # inside a link
+        self.inside: list[bool] = [False]  # an article or inside one
+        self.block: list[int] = [0]  # nearest block element, itself included
         self.blocks: list[tuple[int, list[tuple[int, str]]]] = []  # (nearest block element, [(element, text)])
         self._open, self._new = [0], True
+        self._places: dict[str, list[int]] = {}  # of each tag, where it stands among the open elements
         self._read(source)
         self._settle()
 
@@ -110,8 +117,7 @@ class Page:
         if not text:
             return
         if self._new and text.strip(SPACE):
-            owner = next(e for e in reversed(self._open) if e == 0 or self.tag[e] in BLOCK)
-            self.blocks.append((owner, []))
+            self.blocks.append((self.block[self._open[-1]], []))
             self._new = False
         if not self._new:
             self.blocks[-1][1].append((self._open[-1], html.unescape(text) if "&" in text else text))
@@ -131,11 +137,14 @@ class Page:
         up = self._open[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        named = bool(attrs) and tag in CONTAINERS and _named(attrs, any(self.tag[e] in ARTICLE for e in self._open))
+        named = bool(attrs) and (tag in CONTAINERS and _named(attrs, self.inside[up]) or _advert(attrs))
+        self.inside.append(tag in ARTICLE or self.inside[up])
+        self.block.append(len(self.tag) - 1 if tag in BLOCK else self.block[up])
         self.junk.append(named or tag in JUNK_TAGS or bool(attrs) and _marked(attrs))
         self.named.append(named and not (tag in JUNK_TAGS or _marked(attrs)))
         self.links.append(tag == "a" or self.links[up])
         if not attrs.rstrip().endswith("/") or tag not in ("svg", "path"):
+            self._places.setdefault(tag, []).append(len(self._open))
             self._open.append(len(self.tag) - 1)
 
     def _end(self, tag: str) -> None:
@@ -143,38 +152,37 @@ class Page:
         self._close((tag,), () if tag in BLOCK else tuple(BLOCK - {"p"}))
 
     def _close(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[k]]
-            if tag in tags:
-                del self._open[k:]
-                return
-            if tag in stops:
-                return
+        nearest = lambda names: max((self._places[t][-1] for t in names if self._places.get(t)), default=0)
+        at = nearest(tags)
+        if at and at >= nearest(stops):
+            for e in self._open[at:]:
+                self._places[self.tag[e]].pop()
+            del self._open[at:]
 
     def _settle(self) -> None:
         """Marks spare what holds the article, its title or most paragraphs; junk covers all below it."""
         n = len(self.tag)
-        holds, chars = [False] * n, [0] * n
+        title, article, marked, chars = [False] * n, [False] * n, [False] * n, [0] * n
         for owner, pieces in self.blocks:
             if self.tag[owner] in PARAGRAPH:
                 chars[owner] += sum(len(t) for e, t in pieces if not self.links[e])
+        for e in range(1, n):
+            marked[e] = marked[self.parent[e]] or self.junk[e] and self.tag[e] not in ("html", "body")
+        clean = any(self.tag[e] in ARTICLE and not marked[e] for e in range(1, n))
         for e in range(n - 1, 0, -1):
-            own = self.tag[e] in ARTICLE and not self.junk[e] or self.tag[e] == "h1"
-            holds[self.parent[e]] |= own or holds[e]
+            title[self.parent[e]] |= self.tag[e] == "h1" or title[e]
+            article[self.parent[e]] |= self.tag[e] in ARTICLE and not self.junk[e] or article[e]
             if self.tag[e] not in JUNK_TAGS:
                 chars[self.parent[e]] += chars[e]
         for e in range(1, n):
             tag, up = self.tag[e], self.parent[e]
+            holds = title[e] or article[e] and not clean
             if tag == "header":
-                self.junk[e] = not (holds[e] and any(self.tag[x] in ARTICLE for x in self.above(e)))
-            elif self.junk[e] and tag not in JUNK_TAGS and (holds[e] or tag in ("html", "body") or self.named[e] and 2 * chars[e] > chars[0]):
+                self.junk[e] = not ((title[e] or article[e]) and self.inside[e])
+            elif self.junk[e] and tag not in JUNK_TAGS and (holds or tag in ("html", "body") or self.named[e] and not clean and 2 * chars[e] > chars[0]):
                 self.junk[e] = False
             self.junk[e] |= self.junk[up]
 
-    def above(self, e: int) -> Iterator[int]:
-        while (e := self.parent[e]) > 0:
-            yield e
-
 
 def _marked(attrs: str) -> bool:
     """Whether an element is hidden or its role says that it is no part of an article."""
@@ -200,46 +208,73 @@ def _named(attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _advert(attrs: str) -> bool:
+    """Whether a class is the plain name of an advert, which is one on any element."""
+    return any(name.lower() == "class" and not AD_WORDS.isdisjoint("".join(values).lower().split()) for name, *values in ATTRIBUTE.findall(attrs))
+
+
 def main_text(source: str | None) -> str:
     """Text of the article's blocks, joined by newlines."""
     page = Page(source or "")
-    n = len(page.tag)
-    points, chars, linked, pieces_, blocks = [0.0] * n, [0] * n, [0] * n, [0] * n, []
+    n, up = len(page.tag), page.parent
+    points, chars, linked, count, blocks = [0.0] * n, [0] * n, [0] * n, [0] * n, []
     for owner, pieces in page.blocks:
         kept = [(e, t) for e, t in pieces if not page.junk[e]]
         if text := SPACES.sub(" ", "".join(t for _, t in kept)).strip(" "):
             blocks.append((owner, text))
-            links = sum(len(t) for e, t in kept if page.links[e])
-            for e in (owner, *page.above(owner)):
-                chars[e] += len(text)
-                linked[e] += min(links, len(text))
-                pieces_[e] += 1
+            chars[owner] += len(text)
+            linked[owner] += min(sum(len(t) for e, t in kept if page.links[e]), len(text))
+            count[owner] += 1
             paragraph = page.tag[owner] in PARAGRAPH
             if paragraph and page.tag[owner][0] != "h" or len(text) >= 25:
                 earned = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) // 100, 3)
-                takers = [*page.above(owner)] if paragraph else [owner, *page.above(owner)]
-                for level, e in enumerate(takers):
-                    points[e] += earned / (1, 2)[level] if level < 2 else earned / (3 * level)
+                # a paragraph's nearest container is above it
+                points[max(up[owner], 0) if paragraph else owner] += earned
     if not blocks:
         return ""
+    for e in range(n - 1, 0, -1):
+        for sums in (chars, linked, count):
+            sums[up[e]] += sums[e]
+        points[up[e]] += points[e] / 2
     density = [linked[e] / chars[e] if chars[e] else 0.0 for e in range(n)]
     score = [(points[e] + WEIGHTS.get(page.tag[e], 0)) * (1 - density[e]) if points[e] else 0.0 for e in range(n)]
     best = max(range(n), key=lambda e: (score[e], -e))
     if not score[best]:
         articles = [e for e in range(1, n) if page.tag[e] in ARTICLE and chars[e]]
         best = max(articles, key=lambda e: (chars[e], -e), default=0)
-    whole = [e for e in (best, *page.above(best)) if page.tag[e] in ARTICLE]
-    kept = {whole[-1]} if whole else {best, *_siblings(page, best, score, density, chars)}
-    out = []
+    return "\n".join(_kept(page, blocks, _chosen(page, best, score, density, chars), density, chars, count))
+
+
+def _chosen(page: Page, best: int, score: list[float], density: list[float], chars: list[int]) -> set[int]:
+    """The elements whose blocks are the article."""
+    if not page.inside[best]:
+        return {best, *_siblings(page, best, score, density, chars)}
+    whole = best
+    while page.inside[page.parent[whole]]:
+        whole = page.parent[whole]
+    beside = (e for e in range(1, len(page.tag)) if page.parent[e] == page.parent[whole] and page.tag[e] in ARTICLE and not page.junk[e] and score[e] > 0)
+    return {whole, *beside}
+
+
+def _kept(page: Page, blocks: list[tuple[int, str]], chosen: set[int], density: list[float], chars: list[int], count: list[int]) -> Iterator[str]:
+    """Texts of the chosen elements' blocks without menus: lists of short links that no heading comes before."""
+    n = len(page.tag)
+    within, menu, first = [0 in chosen] * n, [0] * n, {}
+    for e in range(1, n):
+        up = page.parent[e]
+        within[e] = within[up] or e in chosen
+        menu[e] = menu[up]
+        short = page.tag[e] in LISTS and density[e] > 0.9 and count[e] > 1 and chars[e] < SHORT_LINK * count[e]
+        if within[e] and e not in chosen and not menu[e] and short:
+            menu[e] = e
+    before = ""
     for owner, text in blocks:
-        chain = [owner, *page.above(owner)]
-        if 0 not in kept and kept.isdisjoint(chain):
-            continue
-        inner = chain[: next((k for k, e in enumerate(chain) if e in kept), len(chain))]
-        if any(page.tag[e] in LISTS and density[e] > 0.9 and pieces_[e] > 1 and chars[e] < SHORT_LINK * pieces_[e] for e in inner):
-            continue  # a menu within the article
-        out.append(text)
-    return "\n".join(out)
+        at = menu[owner]
+        if at and at not in first:
+            first[at] = before in HEADINGS and before != "h1"
+        before = page.tag[owner]
+        if within[owner] and (not at or first[at]):
+            yield text
 
 
 def _siblings(page: Page, best: int, score: list[float], density: list[float], chars: list[int]) -> list[int]:
@@ -248,7 +283,8 @@ def _siblings(page: Page, best: int, score: list[float], density: list[float], c
     for e in range(1, len(page.tag)):
         if e != best and page.parent[e] == page.parent[best] and not page.junk[e] and chars[e]:
             plain = page.tag[e] == "p" and density[e] < 0.25 and (chars[e] > 80 or not density[e])
-            if score[e] >= least or plain or page.tag[e] in ("h1", "h2"):
+            part = page.tag[e] == "section" and density[e] < 0.25 and score[e] > 0
+            if score[e] >= least or plain or part or page.tag[e] in ("h1", "h2"):
                 out.append(e)
     return out
 
