@@ -6,8 +6,10 @@ and source the minimum-covariance-determinant estimate is found by concentration
 takes the share COVER of the group's documents that lie nearest by the current Mahalanobis distance and estimates
 centre and covariance anew from them; the start that ends with the smaller determinant is kept, and a last step
 reweights. A document is rejected if a distance as large as its own has a probability below ALPHA, the number
-of documents behind the estimate considered. Groups of under MIN_GROUP documents, twice the number of statistics,
-have no estimate of their own and take their language's, or that of all documents.
+of documents behind the estimate considered. Each step draws a group's estimate to its language's, and a language's to
+that of all documents, as if PRIOR documents of the larger group belonged to it: an estimate of few documents is close to
+the larger group's, one of many is its own, and there is no size at which the rule changes. A group takes the whole
+part of its share, so that a lone document has no say in its own estimate.
 
 Documents are first counted by (language, source, vector); a step is one aggregation of these counts by (group,
 distance bin), so a group of any size is pre-aggregated before it is shuffled. Statistics are whole numbers (1/SCALE
@@ -31,8 +33,8 @@ from tracemill.llm.batches import whole_row
 from tracemill.storage import checkpointed, written
 
 MIN_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20
-#: Least documents of a group with an estimate of its own: twice as many as statistics.
-MIN_GROUP = 8
+#: Documents of the next larger group that count towards an estimate, where it has so many more.
+PRIOR = 20
 COVER, REWEIGHT, STEPS = 0.75, 0.975, 5
 #: Probability of a distance below which a document is rejected.
 ALPHA = 1e-6
@@ -130,16 +132,30 @@ SUMS = [f"s{i}" for i in DIMS] + [f"s{i}{j}" for i, j in SQUARES]
 FOUND = [f"m{i}" for i in DIMS] + [f"l{i}{j}" for i, j in SQUARES]
 
 
-def _factored(stats: DataFrame, *by: str, factor: float) -> DataFrame:
+def _factored(stats: DataFrame, *by: str, factor: float, prior: DataFrame | None = None) -> DataFrame:
     """(by, n, w, m0.., l00..): centres and Cholesky factors from (by, n, w, s*, s**), w documents summed. No
-    pivot (the deviation of a statistic, the earlier ones given) is less than its floor."""
-    means = [f"s{i} / w as m{i}" for i in DIMS]
+    pivot (the deviation of a statistic, the earlier ones given) is less than its floor. prior: (by, pw, pm0.., pl00..),
+    the next larger group's estimate; w then counts the documents that it adds."""
+    if prior is None:
+        d = stats.selectExpr("*", "0.0D as pw", *(f"0.0D as pm{i}" for i in DIMS), *(f"0.0D as pl{i}{j}" for i, j in SQUARES))
+    else:
+        d = stats.join(prior, [*by], "left").na.fill(0.0, ["pw", *(f"pm{i}" for i in DIMS), *(f"pl{i}{j}" for i, j in SQUARES)])
+    d = d.withColumn("v", F.least(F.lit(float(PRIOR)), F.greatest(F.col("pw") - F.col("w"), F.lit(0.0)))).withColumn("all", F.nullif(F.col("w") + F.col("v"), F.lit(0.0)))
+    d = d.selectExpr("*", *(f"(s{i} + v * pm{i}) / all as m{i}" for i in DIMS))
     low = []  # each row of the factor refers to the ones before it
     for i, j in SQUARES:
+        own = f"coalesce(s{i} * s{j} / nullif(w, 0), 0.0D)"
+        larger = " + ".join(f"pl{i}{k} * pl{j}{k}" for k in range(j + 1))
         rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-        c = f"{factor!r}D * (s{i}{j} / w - m{i} * m{j}){rest}"
+        c = f"({factor!r}D * (s{i}{j} - {own}) + {own} + v * ({larger} + pm{i} * pm{j})) / all - m{i} * m{j}{rest}"
         low.append(f"sqrt(greatest({c}, {(FLOORS[i] * SCALE) ** 2!r}D)) as l{i}{j}" if i == j else f"({c}) / l{j}{j} as l{i}{j}")
-    return checkpointed(stats.selectExpr(*by, "n", "w", *means, *low))
+    return checkpointed(d.selectExpr(*by, "n", "all as w", *(f"m{i}" for i in DIMS), *low))
+
+
+def _larger(found: DataFrame, parents: DataFrame, few: bool, *by: str) -> DataFrame:
+    """(by, pw, pm0.., pl00..): for each key the estimate of the key above it. parents: (key, parent)."""
+    up = found.select(F.col("key").alias("parent"), *(c for c in by if c != "key"), F.col("w").alias("pw"), *(F.col(c).alias(f"p{c}") for c in FOUND))
+    return parents.join(_sided(up, few), "parent").drop("parent")
 
 
 def _distance(d: DataFrame, of: str = "") -> DataFrame:
@@ -159,17 +175,19 @@ def _sided(estimates: DataFrame, few: bool) -> DataFrame:
 
 def _step(spread: DataFrame, estimates: DataFrame, few: bool, *by: str, reweight: bool = False) -> DataFrame:
     """One concentration step: sums over the nearest share COVER of each group's documents, the bin that the share
-    ends in with the part that is missing; reweight: also all within the normal quantile REWEIGHT."""
+    ends in with the part that is missing; reweight: also all within the normal quantile REWEIGHT. The share is rounded
+    down, but up for all documents, which no larger group helps out."""
     placed = _distance(spread.join(_sided(estimates.drop("n", "w"), few), "key")).withColumn("bin", _bin(F.col("d2")))
     binned = placed.groupBy(*by, "bin").agg(F.expr("sum(n) as w"), *map(F.expr, TOTALS))
     below = F.sum("w").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("w")
     total = F.sum("w").over(W.partitionBy(*by))
-    share = (F.ceil(COVER * F.col("n")) - F.col("below")) / F.col("w")
+    wanted = F.when(F.col("key") == _keys()[2], F.ceil(COVER * F.col("n"))).otherwise(F.floor(COVER * F.col("n")))
+    share = (wanted - F.col("below")) / F.col("w")
     if reweight:
         share = F.when(F.col("bin") <= int(BINS_PER_OCTAVE * math.log2(1 + _quantile(REWEIGHT, len(FLOORS)))), 1.0).otherwise(share)
-    chosen = binned.withColumn("below", below).withColumn("n", total).withColumn("part", F.least(share, F.lit(1.0))).where("part > 0")
+    chosen = binned.withColumn("below", below).withColumn("n", total).withColumn("part", F.greatest(F.lit(0.0), F.least(share, F.lit(1.0))))
     # whole bins add up in whole numbers, so the order of rows doesn't matter; one bin at most is taken in part
-    add = "coalesce(sum({0}) filter (where part = 1), 0) + coalesce(max(part * {0}) filter (where part < 1), 0.0D) as {0}"
+    add = "coalesce(sum({0}) filter (where part = 1), 0) + coalesce(max(part * {0}) filter (where part > 0 and part < 1), 0.0D) as {0}"
     return chosen.groupBy(*by).agg(F.expr("max(n) as n"), *(F.expr(add.format(c)) for c in ("w", *SUMS)))
 
 
@@ -195,27 +213,24 @@ def estimates(rows: DataFrame) -> DataFrame:
     """(group, n, w, m0.., l00..): the estimate that each language and source is judged by. rows: lang, source, x0..
     of documents that passed the base rules.
 
-    A language and source with MIN_GROUP documents has its own estimate; one with fewer has that of its language,
-    one of a language with fewer that of all documents.
+    All languages and sources, all languages and all documents are estimated side by side; each step draws on what the
+    step before found for the larger group.
     """
     xs = [f"x{i}" for i in DIMS]
     names = [k.alias(f"k{level}") for level, k in enumerate(_keys())]
     vectors = checkpointed(rows.groupBy("lang", "source", *xs).agg(F.count("*").alias("n")).select(*names, *xs, "n"))
-    groups = vectors.groupBy("k0", "k1", "k2").agg(F.sum("n").alias("n0"))
-    of_lang = groups.groupBy("k1").agg(F.sum("n0").alias("n1"))
-    key = F.when(F.col("n0") >= MIN_GROUP, F.col("k0")).when(F.col("n1") >= MIN_GROUP, F.col("k1")).otherwise(F.col("k2"))
-    groups = checkpointed(groups.join(of_lang, "k1").select("k0", key.alias("key")))
+    groups = checkpointed(vectors.select("k0", "k1", "k2").distinct())
     few = groups.count() <= MOST_BROADCAST
-    deciding = groups.select("key").distinct()
-    each = [vectors.select(F.col(f"k{level}").alias("key"), *xs, "n").join(_sided(deciding, few), "key", "left_semi") for level in range(3)]
-    spread = checkpointed(each[0].unionByName(each[1].unionByName(each[2]).groupBy("key", *xs).agg(F.sum("n").alias("n"))))
+    parents = groups.select(F.col("k0").alias("key"), F.col("k1").alias("parent")).union(groups.select("k1", "k2")).distinct()
+    larger = [vectors.select(F.col(f"k{level}").alias("key"), *xs, "n") for level in range(3)]
+    spread = checkpointed(larger[0].unionByName(larger[1].unionByName(larger[2]).groupBy("key", *xs).agg(F.sum("n").alias("n"))))
     found = _factored(_starts(spread), "key", "start", factor=1.0)
     for _ in range(STEPS):
-        found = _factored(_step(spread, found, few, "key", "start"), "key", "start", factor=_consistent(COVER))
+        found = _factored(_step(spread, found, few, "key", "start"), "key", "start", factor=_consistent(COVER), prior=_larger(found, parents, few, "key", "start"))
     size = F.struct(F.round(sum((F.log(f"l{i}{i}") for i in DIMS), F.lit(0.0)), 9), "start")  # of the determinant
     best = found.groupBy("key").agg(F.min_by(F.struct("n", "w", *FOUND), size).alias("b")).select("key", "b.*")
-    last = _factored(_step(spread, best, few, "key", reweight=True), "key", factor=_consistent(REWEIGHT))
-    return checkpointed(groups.join(_sided(last, few), "key").select(F.col("k0").alias("group"), "n", "w", *FOUND))
+    last = _factored(_step(spread, best, few, "key", reweight=True), "key", factor=_consistent(REWEIGHT), prior=_larger(best, parents, few, "key"))
+    return checkpointed(groups.join(_sided(last.withColumnRenamed("key", "k0"), few), "k0").select(F.col("k0").alias("group"), "n", "w", *FOUND))
 
 
 def _surprise(d2: Column, w: Column) -> Column:
