@@ -7,8 +7,8 @@ looked up by a scan, its boundary deleted, and the ranks left and right of it re
 A scan a merge suits short parts; parts over SHORT symbols take their least rank from a heap instead, with the same
 result.
 
-Words (between ASCII white space) are independent, since nothing in the cut or the merges reaches across white space;
-a Python worker remembers the ids of words and of parts up to WORDS_KEPT and PARTS_KEPT and then starts anew.
+Nothing in the cut or the merges reaches across ASCII white space, so a long text is encoded run by run between spaces.
+A Python worker remembers the ids of up to PARTS_KEPT parts and then starts anew.
 
 Defined results: a null or empty text has no ids, and decodes to the empty string; the name of a special token within a
 text is that token; repeated rows are encoded one by one; null doc_ids are kept; an empty table gives no rows. Extra
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 #: Symbols of a part that is merged by scans; longer ones use a heap.
 SHORT = 64
-#: Words and parts that a worker remembers. Beyond these counts it forgets and starts again; results don't change.
-WORDS_KEPT, PARTS_KEPT = 400_000, 400_000
-#: Characters of a word or part that is worth remembering.
+#: Parts that a worker remembers (some 200 MB). Beyond these it forgets and starts again; results don't change.
+PARTS_KEPT = 1_000_000
+#: Characters of a part that is worth remembering.
 LONGEST_KEPT = 100
 
-#: Characters of a text whose words are looked up together.
+#: Characters of a text that are cut into parts together.
 STRETCH = 1 << 18
 
-WORD, SPACE = re.compile(r"[^ \t-\r]+"), re.compile(r"[ \t-\r]")
+SPACE = re.compile(r"[ \t-\r]")
 #: Stands for the end-of-word suffix, so that a piece is a slice of one string.
 END = "\0"
 NONE = 1 << 60
@@ -76,7 +76,6 @@ class Bpe:
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def pieces(self, word: str) -> list[str]:
@@ -135,32 +134,20 @@ class Bpe:
         return known
 
     def _stretch(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():
-            return self._part(text.lower())
         # one letter at a time: a final sigma is lower-cased like any other
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self._part, self.pattern.findall(lowered)))
-
-    def _word(self, word: str) -> bytes:
-        stretches = self.cut.split(word) if self.cut else [word]
-        return b"".join(np.array([self.special[s]], "<i4").tobytes() if k % 2 else self._stretch(s) for k, s in enumerate(stretches))
+        parts = self.pattern.findall(lowered)
+        try:
+            return b"".join(map(self.parts.__getitem__, parts))
+        except KeyError:
+            return b"".join(map(self._part, parts))
 
     def encoded(self, text: str | None) -> Iterator[bytes]:
-        """Ids of a text as little-endian 32-bit integers, in runs of up to STRETCH characters of words or one word."""
-        for words in _runs(text or ""):
-            try:
-                yield b"".join(map(self.words.__getitem__, words))
-                continue
-            except KeyError:
-                new = {w for w in words if w not in self.words}
-            if len(self.words) + len(new) > WORDS_KEPT:
-                self.words.clear()
-                new = set(words)
-            self.words.update((w, self._word(w)) for w in new)
-            yield b"".join(map(self.words.__getitem__, words))
-            for w in new:
-                if len(w) > LONGEST_KEPT:
-                    del self.words[w]
+        """Ids of a text as little-endian 32-bit integers, in runs of up to about STRETCH characters."""
+        for run in _runs(text or ""):
+            stretches = self.cut.split(run) if self.cut else [run]
+            for k, s in enumerate(stretches):
+                yield np.array([self.special[s]], "<i4").tobytes() if k % 2 else self._stretch(s)
 
     def decoded(self, ids: np.ndarray) -> str:
         """The tokens' names with a space between, as a file without a decoder says; unknown ids are left out."""
@@ -168,14 +155,14 @@ class Bpe:
         return " ".join(n for n in names.tolist() if n)
 
 
-def _runs(text: str) -> Iterator[list[str]]:
-    """Words of a text, run by run, so that a very long text's words are never held at once."""
+def _runs(text: str) -> Iterator[str]:
+    """A text in runs that end before white space, so that a very long text's parts are never held at once."""
     at = 0
     while at < len(text):
         end = len(text) if len(text) - at <= STRETCH else at + STRETCH
         space = SPACE.search(text, end)
         end = space.start() if space else len(text)
-        yield WORD.findall(text, at, end)
+        yield text[at:end]
         at = end
 
 
