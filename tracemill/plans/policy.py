@@ -10,7 +10,7 @@ from tracemill.functions import keys as K
 from tracemill.operators import graph, splits
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL, events
-from tracemill.storage import checkpointed, table
+from tracemill.storage import checkpointed, table, written
 
 KEY_SQL = f"coalesce({K.sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END)"
 NEUTRAL_SQL = f"""{EVENTS_SQL}, n AS (SELECT event_id, user_id, t, k, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'scroll' WHEN 'purchase' THEN 'drag' WHEN 'signup' THEN 'type_text' ELSE 'key' END AS type,
@@ -37,7 +37,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     actions = F.filter(F.array(F.when(k % 17 > 0, action)), lambda a: a.isNotNull())
     image = F.when(k % 13 > 0, "frame.png")
-    d = events(spark, sf_dir).select("event_id", "user_id", "t", "k", A.judged(actions).alias("actions"), image.alias("image"))
+    # written once: reasons and targets refer to the judged actions many times, and a filter would put them in at each
+    d = written(events(spark, sf_dir).select("event_id", "user_id", "t", "k", A.judged(actions).alias("actions"), image.alias("image")))
     reason = A.row_reason(F.col("actions"), F.col("image"), drags=k % 7 == 0)
     return d.select("event_id", "user_id", "t", "actions", reason.alias("reason"))
 
