@@ -21,11 +21,12 @@ def along():
     return W.partitionBy("user_id").orderBy("t", "event_id")
 
 
-@query("scl_key_names", f"WITH {EVENTS_SQL} SELECT event_id, coalesce({K.sql_map(K.windows_table())}[k + 8], CASE WHEN k % 2 = 0 THEN lower(chr(33 + k)) END) AS name FROM e")
+@query("scl_key_names", f"WITH {EVENTS_SQL} SELECT event_id, coalesce(CASE WHEN user_id % 3 = 0 THEN {K.sql_map(K.MAC)}[k + 8] ELSE {K.sql_map(K.windows_table())}[k + 8] END, CASE WHEN k = 94 THEN 'Delete' WHEN k % 2 = 0 AND k < 94 THEN lower(chr(33 + k)) END) AS name FROM e")
 def scl_key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCL-11, JOIN-12: key codes to names, then characters."""
+    """SCL-11, JOIN-12: key codes to names by each recording's platform, then characters."""
     chars = F.when(F.col("k") % 2 == 0, F.char(F.col("k") + 33))
-    return events(spark, sf_dir).select("event_id", K.key_name(F.col("k") + 8, chars).alias("name"))
+    platform = F.when(F.col("user_id") % 3 == 0, "mac").when(F.col("user_id") % 3 == 1, "windows")
+    return events(spark, sf_dir).select("event_id", K.key_name(F.col("k") + 8, chars, platform).alias("name"))
 
 
 @query(

@@ -140,12 +140,12 @@ def src_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("key", "source").agg(F.min_by("statement", "doc_id").alias("statement"), F.min("doc_id").alias("doc_id")).drop("key")
 
 
-@query("src_tasks", "SELECT i AS task, ['small', 'medium', 'large'][1 + ('0x' || substr(sha256(i::VARCHAR), 1, 6))::BIGINT % 3] AS size, 10 + ('0x' || substr(sha256(i::VARCHAR), 7, 6))::BIGINT % 90 AS width FROM range(500) r(i)")
+@query("src_tasks", "SELECT i AS task, ['small', 'medium', 'large'][1 + ('0x' || substr(sha256(i::VARCHAR), 1, 6))::BIGINT % 3] AS size, 10 + ('0x' || substr(sha256(i::VARCHAR), 7, 6))::BIGINT % 90 AS width FROM (SELECT p_partkey AS i FROM part)")
 def src_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-27: tasks that follow from their number alone."""
+    """SRC-27: a task for each part, which follows from its number alone."""
     part = lambda at: F.conv(F.substring(F.sha2(F.col("id").cast("string"), 256), at, 6), 16, 10).cast("long")
     sizes = F.array(F.lit("small"), F.lit("medium"), F.lit("large"))
-    return spark.range(500).select(F.col("id").alias("task"), F.get(sizes, (part(1) % 3).cast("int")).alias("size"), (10 + part(7) % 90).alias("width"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).select(F.col("id").alias("task"), F.get(sizes, (part(1) % 3).cast("int")).alias("size"), (10 + part(7) % 90).alias("width"))
 
 
 @query(
