@@ -92,3 +92,18 @@ def test_expected_coverage(spark):
     d = spark.createDataFrame([("a",)] * 4 + [("b",)], "g string")
     got = {r["g"]: r for r in statistics.expected_coverage(d, "g", 1.0).collect()}
     assert abs(got["a"]["coverage"] - (1 - 0.8**5)) < 1e-12 and abs(got["b"]["overall"] - (1 - 0.8**5)) < 1e-12
+
+
+def test_lookup_cache(spark):
+    def told(rows, **more):
+        d = spark.createDataFrame([("u", n, *r) for n, r in enumerate(rows)], "u string, lookup long, t long, subject int, aspect int, page boolean, failed boolean")
+        got = sequences.fold(d, ["u"], ["t", "lookup"], lambda: sequences.LookupCache(**more), "u string, lookup long, outcome string").collect()
+        return [r["outcome"] for r in sorted(got, key=lambda r: r["lookup"])]
+
+    ok = lambda t, s, a=0: (t, s, a, False, False)
+    assert told([ok(0, 1), ok(899, 1), ok(900, 1), ok(901, 1, 1)]) == ["fetched", "hit", "fetched", "fetched"]
+    # two entries: the third pushes the first out, and a renewed one keeps its place
+    assert told([ok(0, 1), ok(1, 2), ok(2, 3), ok(3, 1), ok(4, 3)], most=2) == ["fetched", "fetched", "fetched", "fetched", "hit"]
+    assert told([ok(0, 1), ok(1, 2), ok(900, 1), ok(901, 3), ok(902, 1)], most=2) == ["fetched"] * 5
+    bad = lambda t, s, page: (t, s, 0, page, True)
+    assert told([bad(0, 1, False), ok(89, 1), ok(90, 1), bad(100, 2, True), (3699, 2, 1, True, False), (3700, 2, 1, True, False)]) == ["failed", "suppressed", "fetched", "failed", "suppressed", "fetched"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -284,6 +285,39 @@ def settled(events: DataFrame, by: str = "operation") -> DataFrame:
     return state.join(text, by, "left").select(by, "status", "settled_at", F.coalesce("text", F.lit("")).alias("text"))
 
 
+class LookupCache:
+    """(lookup, outcome): hit, suppressed, fetched or failed, of lookups (lookup, t, subject, aspect, page, failed).
+
+    A result is kept for (subject, aspect), the oldest entry going when there are more than `most`; fetching a kept key
+    anew renews its time, not its place. A failure keeps a subject from being looked up for a while, pages for longer than
+    searches. `failed` is how the lookup would end if it were done. Failures past their time are forgotten.
+    """
+
+    #: Seconds that a result, a page's failure and a search's failure last; entries.
+    RESULT, PAGE, SEARCH, MOST = 900, 3600, 90, 24
+
+    def __init__(self, most: int = MOST):
+        self.most, self.results, self.failures = most, {}, {}
+
+    def take(self, row) -> list[tuple]:
+        key = (row.subject, row.aspect)
+        self.failures = {s: t for s, t in self.failures.items() if row.t - t < self.PAGE}
+        if row.t - self.failures.get(row.subject, -math.inf) < (self.PAGE if row.page else self.SEARCH):
+            return [(row.lookup, "suppressed")]
+        if row.t - self.results.get(key, -math.inf) < self.RESULT:
+            return [(row.lookup, "hit")]
+        if row.failed:
+            self.failures[row.subject] = row.t
+            return [(row.lookup, "failed")]
+        self.results[key] = row.t
+        if len(self.results) > self.most:
+            del self.results[next(iter(self.results))]
+        return [(row.lookup, "fetched")]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def priority_pick(d: DataFrame, by: list[str], item: str, order: str, priority: Column, most: int) -> DataFrame:
     """Distinct items of each key, the latest occurrence's order and the highest priority, best `most` first."""
     each = d.withColumn("_p", priority).groupBy(*by, item).agg(F.max("_p").alias("priority"), F.max(order).alias(order))

@@ -164,3 +164,27 @@ def stream_settled_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen = jobs.to_end(jobs.operations(operation_events(raw)), "update")
     newest = F.max_by(F.struct("status", "settled_at", "text"), "revision").alias("_s")
     return seen.groupBy("operation").agg(newest).select("operation", "_s.*")
+
+
+LOOKUPS = {"t": "cast(i * 10 + k % 10 AS bigint)", "subject": "k % 15", "aspect": "k % 4", "page": "k % 2 = 0", "failed": "event_type = 'error' AND k % 3 = 0"}
+
+
+@query(
+    "str_lookup_cache",
+    f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM (SELECT * FROM e)),
+    s AS (SELECT user_id, i AS n, event_id AS lookup, {", ".join(f"{rule} AS {name}" for name, rule in LOOKUPS.items())} FROM (SELECT user_id, event_id, event_type, k, i FROM o)),
+    w AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS lookup, NULL::VARCHAR AS outcome, []::STRUCT(s INT, a INT, t BIGINT)[] AS kept, []::STRUCT(s INT, t BIGINT)[] AS bad FROM (SELECT DISTINCT user_id FROM s)
+      UNION ALL SELECT s.user_id, s.n, s.lookup, q.outcome,
+        CASE WHEN q.outcome <> 'fetched' THEN w.kept WHEN len(q.same) > 0 THEN list_transform(w.kept, lambda x: {{s: x.s, a: x.a, t: CASE WHEN x.s = s.subject AND x.a = s.aspect THEN s.t ELSE x.t END}})
+          ELSE list_append(w.kept, {{s: s.subject, a: s.aspect, t: s.t}})[CASE WHEN len(w.kept) = 24 THEN 2 ELSE 1 END:] END,
+        CASE WHEN q.outcome = 'failed' THEN list_append(list_filter(w.bad, lambda x: x.s <> s.subject), {{s: s.subject, t: s.t}}) ELSE w.bad END
+      FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1,
+      LATERAL (SELECT list_filter(w.kept, lambda x: x.s = s.subject AND x.a = s.aspect) AS same, list_filter(w.bad, lambda x: x.s = s.subject) AS ill) l,
+      LATERAL (SELECT l.same, CASE WHEN len(l.ill) > 0 AND s.t - l.ill[1].t < CASE WHEN s.page THEN 3600 ELSE 90 END THEN 'suppressed' WHEN len(l.same) > 0 AND s.t - l.same[1].t < 900 THEN 'hit' WHEN s.failed THEN 'failed' ELSE 'fetched' END AS outcome) q)
+    SELECT user_id, lookup, outcome FROM w WHERE n > 0""",
+)
+def str_lookup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-20: each user's lookups through a bounded cache with lifetimes for results and failures."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("t", "event_id"))
+    d = events(spark, sf_dir).withColumn("i", place).selectExpr("user_id", "event_id AS lookup", *(f"{rule} AS {name}" for name, rule in LOOKUPS.items()))
+    return sequences.fold(d, ["user_id"], ["t", "lookup"], sequences.LookupCache, "user_id long, lookup long, outcome string")
