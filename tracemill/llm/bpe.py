@@ -13,7 +13,7 @@ A Python worker remembers the ids of up to PARTS_KEPT parts and then starts anew
 Defined results: a null or empty text has no ids, and decodes to the empty string; the name of a special token within a
 text is that token; repeated rows are encoded one by one; null doc_ids are kept; an empty table gives no rows. Extra
 columns of the input are ignored. Code points that are newer than the Unicode tables of Python (15.1) may be cut otherwise than by
-the tokenizers library; all others are cut alike (tested one by one).
+the tokenizers library; all others are cut alike (checked one by one).
 """
 
 from __future__ import annotations
