@@ -78,3 +78,69 @@ def test_stage_is_the_same_each_time(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
     got = [sorted(map(repr, simhash.one_of_each_group(docs.orderBy(order)).collect())) for order in ("`a.b`", "text")]
     assert got[0] == got[1] and len(got[0]) == 3
+
+
+def shingle_set(text, size=5):
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def brute_groups(rows):
+    """Component of each (doc_id, text): links of five-word Jaccard similarity 0.8 or more, all pairs compared."""
+    sets = [shingle_set(t) for _, t in rows]
+    comp = list(range(len(rows)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not either or both >= 0.8 * either:
+                comp[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def brute_kept(rows):
+    """Smallest doc_id of each component."""
+    least = {}
+    for (d, _), c in zip(rows, brute_groups(rows), strict=True):
+        least[c] = min(least.get(c, d), d)
+    return sorted(least.values())
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for at in rng.choice(len(out), changes, replace=False):
+        out[at] = f"changed{rng.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def test_stage_finds_unequal_copies(spark):
+    """Groups of 1 to 40 unequal copies at 0.8 and above, texts that share half, long and very short ones."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(120):
+        size = int(rng.integers(60, 400)) if g else 6000
+        words = [f"w{rng.integers(20000)}" for _ in range(size)]
+        copies = 40 if g == 1 else int(rng.integers(0, 4))
+        rows.append(" ".join(words))
+        rows += [edited(rng, words, max(1, size // 60)) for _ in range(copies)]
+        rows.append(" ".join(words[: size // 2] + [f"v{rng.integers(20000)}" for _ in range(size // 2)]))
+    rows += [None, "", " \n", "one two", "One  two", "one three", "a b c d e", "a b c d f"]
+    rows = list(enumerate(rows))
+    got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept, wanted = {r["doc_id"] for r in got}, set(brute_kept(rows))
+    # sketches of the texts of 6,000 words are estimates
+    assert len(wanted - kept) <= 1 and len(kept - wanted) <= 0.02 * (len(rows) - len(wanted))
+
+
+def test_stage_on_odd_tables(spark):
+    empty = simhash.one_of_each_group(spark.createDataFrame([], "doc_id long, text string, key int"))
+    assert empty.columns == ["doc_id", "text", "key"] and empty.count() == 0
+    long_text = " ".join(f"word{i}" for i in range(200_000))
+    rows = [(2**60 + 1, long_text, 1), (2**60 + 3, long_text + " end", 2), (None, long_text, 3), (7, "x", 4), (7, "x", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `set` int").withColumnsRenamed({"set": "id"})
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == [7, 2**60 + 1]
