@@ -274,12 +274,12 @@ def _met(ids: np.ndarray, minima: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of one bucket to verify: each member's NEAREST, and a spanning forest of the most alike."""
     n, out = len(ids), []
     best, link, left = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
-    node = 0
+    node, columns = 0, np.ascontiguousarray(minima.T)
     for _ in range(n):
         left[node] = False
         if best[node] >= ALIKE:
             out.append((ids[node], ids[link[node]]))
-        equal = (minima == minima[node]).sum(axis=1)
+        equal = (columns == columns[:, node, None]).sum(axis=0, dtype=np.uint8).astype(np.int16)
         equal[node] = -1
         top = np.argpartition(equal, -NEAREST)[-NEAREST:] if n > NEAREST else np.arange(n)
         out += [(ids[node], ids[k]) for k in top if equal[k] >= ALIKE]
