@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import budget
-from tracemill.operators import lineage
+from tracemill.operators import lineage, links
 from tracemill.plans.results import results_of
 from tracemill.sources import images
 from tracemill.sources.tables import turns
@@ -154,3 +154,22 @@ def test_placed_crops(spark, crop, sizes, want, times):
     at = lineage.placed_crop(F.array(*map(F.lit, crop)), *map(F.lit, sizes))
     row = spark.range(1).select(at.alias("at")).select("at", lineage.enlargement(F.col("at")).alias("n")).first()
     assert row["at"] == want and (want is None or row["n"] == times)
+
+
+def test_ranked_links(spark):
+    found = [
+        (1, 0, "Home", None, "/home"),
+        (1, 1, "NEMA motor", "x" * 90, "/m"),
+        (1, 2, "Drawing", "", "/d.PDF"),
+        (1, 3, "motor drawing", None, "/m"),
+        (1, 4, "t" * 120 + " motor", None, "/long"),
+        (1, 5, None, None, "/spec"),
+        (2, 0, "motor", None, "/m"),
+        (3, 0, "the and", None, "/z"),
+    ]
+    d = spark.createDataFrame(found, "page_id int, place int, title string, context string, url string")
+    focus = spark.createDataFrame([(1, "The NEMA Motor motor pdf"), (2, None), (3, "the and")], "page_id int, text string")
+    got = [tuple(r) for r in links.ranked_links(d, focus, "page_id").orderBy("page_id", "rank").collect()]
+    want = [(1, 1, "Drawing", None, "/d.PDF", 5), (1, 2, "motor drawing", None, "/m", 5), (1, 3, "", None, "/spec", 3), (1, 4, "t" * 100, None, "/long", 2)]
+    assert got == want
+    assert [r["url"] for r in links.ranked_links(d, focus, "page_id", 2).collect()] == ["/d.PDF", "/m"]

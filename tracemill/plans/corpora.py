@@ -197,7 +197,7 @@ def txt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("txt_page_dedupe", "SELECT host, count(*) AS n FROM (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS u, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages) GROUP BY host")
 def txt_page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-16/19, TOP-06: distinct addresses without query or fragment."""
+    """TXT-19, TOP-06: distinct addresses without query or fragment."""
     u = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("u"), T.host(F.col("url")).alias("host")).distinct()
     return u.groupBy("host").agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import budget
 from tracemill.functions import scalars as S
 from tracemill.operators import lineage
+from tracemill.operators.links import A_NAME, A_PDF, A_WORD, PLAIN, TECHNICAL, ranked_links
 from tracemill.plans.registry import query
 from tracemill.sources import images
 from tracemill.sources.tables import EVENTS_SQL, events, turns
@@ -100,3 +101,26 @@ def join_crop_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     crop = F.when(F.col("k") % 11 != 0, F.concat(F.array_join("at", ","), F.lit(" x"), lineage.enlargement(F.col("at"))))
     traced = lineage.lineage(kept.select("image_id", "parent_id", crop.alias("crop")))
     return traced.withColumn("crops", F.array_join("crops", ";"))
+
+
+#: An address and a title of each link, and a page's title as what is looked for.
+LINK, TITLE = '<a href="([^"]*)"[^>]*>([^<]*)</a>', "<title>([^<]*)</title>"
+
+
+@query(
+    "txt_ranked_links",
+    f"""WITH p AS (SELECT page_id, list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(html, '{TITLE}', 1) || ' ' || url), '[\\p{{L}}\\p{{N}}_.-]{{3,}}'), lambda w: w NOT IN {PLAIN})) AS words,
+      regexp_extract_all(html, '{LINK}', 1) AS urls, regexp_extract_all(html, '{LINK}', 2) AS titles FROM pages),
+    l AS (SELECT page_id, words, unnest(range(len(urls))) AS place, unnest(urls) AS url, unnest(titles) AS title FROM p),
+    t AS (SELECT *, lower(title || '  ' || url) AS told FROM l),
+    s AS (SELECT *, {A_WORD} * len(list_filter(words, lambda w: contains(told, w))) + CASE WHEN regexp_matches(told, '{TECHNICAL}') THEN {A_NAME} ELSE 0 END + CASE WHEN contains(told, '.pdf') THEN {A_PDF} ELSE 0 END AS score FROM t),
+    b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY score DESC, place) = 1)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, place)::INT AS rank, left(title, 100) AS title, NULL::VARCHAR AS section, url, score::BIGINT AS score FROM b QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, place) <= 12""",
+)
+def txt_ranked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-16: each page's links that best fit its title and address."""
+    pages = table(spark, sf_dir, "pages")
+    found = [F.regexp_extract_all("html", F.lit(LINK), F.lit(k)).alias(name) for k, name in ((1, "url"), (2, "title"))]
+    links = pages.select("page_id", F.posexplode(F.arrays_zip(*found)).alias("place", "_l")).select("page_id", "place", "_l.url", "_l.title", F.lit("").alias("context"))
+    focus = pages.select("page_id", F.concat_ws(" ", F.regexp_extract("html", TITLE, 1), "url").alias("text"))
+    return ranked_links(links, focus, "page_id")
