@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL
+from tracemill.storage import shared_dir
 from tracemill.streaming import jobs
 
 HOUR = 3_600_000_000
@@ -43,3 +46,12 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     attempts = jobs.event_stream(spark, sf_dir).where("event_type = 'click'").select("user_id", F.unix_micros("ts").alias("t"))
     out = jobs.to_end(jobs.limited(attempts, "user_id", 3, 48 * HOUR))
     return out.groupBy("user_id").agg(F.count("*").alias("attempts"), F.count_if("refused").alias("refused"))
+
+
+@query("stream_routes", "SELECT CASE WHEN event_type = 'view' THEN 'live' ELSE 'saved' END AS route, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
+def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: views go to a live feed only, other events to the history."""
+    at = f"{shared_dir(spark)}/routes/{uuid.uuid4().hex}"
+    jobs.routed(jobs.table_stream(spark, sf_dir, "events"), F.col("event_type") == "view", f"{at}/saved", f"{at}/live", f"{at}/log")
+    sides = [spark.read.parquet(f"{at}/{side}").withColumn("route", F.lit(side)) for side in ("saved", "live")]
+    return sides[0].unionByName(sides[1]).groupBy("route", "event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

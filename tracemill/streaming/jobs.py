@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,10 +30,27 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log_appends(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """STR-01/03, SRC-16: each event id once within the lateness bound."""
+    """STR-01, SRC-16: each event id once within the lateness bound."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def routed(stream: DataFrame, ephemeral: Column, saved: str, live: str, checkpoint: str) -> None:
+    """STR-03: rows of a stream to its history or, where `ephemeral` is true, to a live feed only; each row once.
+
+    One query feeds both, so the stream is read once. A batch writes folders of its own number and replaces them if it
+    is done again after a failure, so neither gets a row twice. Null counts as not ephemeral. Runs until the input ends.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumn("_live", F.coalesce(ephemeral, F.lit(False)))
+        held = marked.persist()
+        for path, side in ((saved, ~F.col("_live")), (live, F.col("_live"))):
+            held.where(side).drop("_live").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def typing_sessions(stream: DataFrame, by: str, gap: str, late: str = "1 day") -> DataFrame:
     """STR-15: runs of events at most `gap` apart."""
     grouped = stream.withWatermark("ts", late).groupBy(by, F.session_window("ts", gap))
