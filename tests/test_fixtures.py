@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import actions as A
+from tracemill.functions import claims as C
 from tracemill.functions import scalars as S
 from tracemill.functions import text as T
 from tracemill.operators import geometry, graph, intervals, keyed, sequences, statistics
@@ -160,5 +161,5 @@ def test_graph_and_mesh(spark):
 
 
 def test_text(spark):
-    r = one(spark, key=T.normal_key(F.lit("  A\t b ")), err=T.last_error(F.lit("x\nValueError: a\nKeyError: b\nend")), yes=T.quoted(F.lit("Hello  World"), F.lit("say hello world!")), short=T.quoted(F.lit("abc"), F.lit("abc")), m=T.measurements(F.lit("5 mm and 3.5cm, 7")))
+    r = one(spark, key=T.normal_key(F.lit("  A\t b ")), err=T.last_error(F.lit("x\nValueError: a\nKeyError: b\nend")), yes=T.quoted(F.lit("Hello  World"), F.lit("say hello world!")), short=T.quoted(F.lit("abc"), F.lit("abc")), m=C.measurements(F.lit("5 mm and 3.5cm, 7")))
     assert r == {"key": "a b", "err": "KeyError: b", "yes": True, "short": False, "m": ["5 mm", "3.5cm"]}

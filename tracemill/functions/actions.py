@@ -119,7 +119,7 @@ def errors(text: Column) -> Column:
     top = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     only = F.coalesce((F.size(top) == 1) & (F.get(top, F.lit(0)) == "actions"), F.lit(False))
     items = F.try_variant_get(v, "$.actions", "array<variant>")
-    each = F.flatten(F.transform(F.transform(items, _typed), _item_errors))
+    each = F.flatten(F.transform(F.transform(items, typed), _item_errors))
     return (
         F.when(v.isNull(), F.array(F.lit("not_json")))
         .when(~only, F.array(F.lit("keys")))
@@ -128,7 +128,8 @@ def errors(text: Column) -> Column:
     )
 
 
-def _typed(item: Column) -> Column:
+def typed(item: Column) -> Column:
+    """An action's fields, null where one is missing or has another type, and the names that it has."""
     at = lambda key, kind: F.try_variant_get(item, f"$.{key}", kind)
     shape = lambda key: F.schema_of_variant(at(key, "variant"))
     whole = lambda key: F.when(shape(key) == "BIGINT", at(key, "bigint")).alias(key)

@@ -29,11 +29,6 @@ def host_class(name: Column) -> Column:
     return F.when(name.startswith("m."), "mobile").when(name.startswith("blog."), "blog").when(name.endswith(".org"), "reference").otherwise("other")
 
 
-def measurements(text: Column) -> Column:
-    """Numbers with a unit."""
-    return F.regexp_extract_all(text, F.lit("[0-9]+(?:\\.[0-9]+)? ?(?:mm|cm|deg)"), F.lit(0))
-
-
 def last_error(log: Column) -> Column:
     """Last line of a log that names an error."""
     return F.element_at(F.filter(F.split(log, "\n"), lambda x: x.rlike("(Error|Exception)")), -1)

@@ -202,12 +202,6 @@ def txt_page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy("host").agg(F.count("*").alias("n"))
 
 
-@query("txt_measurements", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)? ?(?:mm|cm|deg)')) AS n FROM documents")
-def txt_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TXT-23: numbers with units."""
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.measurements(F.col("text"))).cast("long").alias("n"))
-
-
 @query("txt_quotes", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g')))")
 def txt_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TXT-25, FLT-15/16: quotes that documents hold verbatim."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import actions as A
 from tracemill.functions import keys as K
-from tracemill.operators import graph, splits
+from tracemill.operators import graph, metrics, splits
 from tracemill.plans.registry import query
 from tracemill.sources.tables import EVENTS_SQL, events
 from tracemill.storage import checkpointed, table, written
@@ -101,6 +101,36 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(splits.guarded_splits(placed.select("app", "grp"), "7"), "grp").select("doc_id", "app", "grp", "split")
 
 
+#: By number a row is predicted as it is, as a click in the middle, as a text that isn't JSON, or as no action.
+MIDDLE = '{"actions":[{"button":"left","type":"click","y":500,"x":500}]}'
+GUESSES = (None, MIDDLE, "no json", '{"actions":[]}')
+RATES_SQL = ", ".join(f"avg({c}::INT) AS {n}" for n, c in metrics.RATES.items())
+WITHIN_SQL = ", ".join(f"avg((px <= {r})::INT) AS within_{r}" for r in metrics.RADII)
+MACRO_SQL = ", ".join(f"avg({c}) AS {c}" for c in (*metrics.MACRO, *(f"within_{r}" for r in metrics.RADII)))
+
+
+@query(
+    "policy_metrics",
+    f"""WITH {NEUTRAL_SQL}, q AS (SELECT *, user_id % 5 AS app, event_id % 4 AS g FROM r WHERE reason IS NULL),
+    s AS (SELECT app, g <> 2 AS json_ok, g < 2 AS schema_ok, g = 0 OR g = 1 AND type = 'click' AS type_ok, type_ok AS sequence_types_ok, g < 2 AS length_ok,
+      g = 0 OR g = 1 AND type = 'click' AND gx = 500 AND gy = 500 AND b = 'left' AND mask IS NULL AND clicks IS NULL AS exact_ok,
+      CASE WHEN g < 2 AND type = 'key' THEN g = 0 END AS key_ok, CASE WHEN g < 2 AND type = 'type_text' THEN g = 0 END AS text_ok,
+      CASE WHEN type IN ('click', 'drag', 'scroll') THEN CASE g WHEN 0 THEN 0 WHEN 1 THEN sqrt(((500 / 999.0::DOUBLE * 1920 - gx / 999.0::DOUBLE * 1920)) ** 2 + ((500 / 999.0::DOUBLE * 1080 - gy / 999.0::DOUBLE * 1080)) ** 2) END END AS px,
+      CASE WHEN type IN ('click', 'drag', 'scroll') THEN CASE g WHEN 0 THEN 0 WHEN 1 THEN sqrt(((500 - gx) / 999.0::DOUBLE) ** 2 + ((500 - gy) / 999.0::DOUBLE) ** 2) END END AS norm FROM q),
+    z AS (SELECT 'group' AS scope, app, * EXCLUDE (app) FROM s UNION ALL SELECT 'overall', NULL, * EXCLUDE (app) FROM s),
+    m AS (SELECT scope, app, count(*) AS count, {RATES_SQL}, avg(key_ok::INT) AS key_accuracy, count(key_ok) AS key_count, avg(text_ok::INT) AS type_text_accuracy, count(text_ok) AS type_text_count,
+      count(px) AS coord_count, avg(px) AS coord_error_px_mean, avg(norm) AS coord_error_norm_mean, {WITHIN_SQL}, median(px) AS coord_error_px_median FROM z GROUP BY ALL)
+    SELECT * FROM m UNION ALL BY NAME SELECT 'macro' AS scope, {MACRO_SQL} FROM m WHERE scope = 'group'""",
+)
+def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCL-19, AGG-07/08: every measure of predicted completions for each application, overall and on average."""
+    kept = _rows(spark, sf_dir).where("reason is null")
+    told = written(kept.select((F.col("user_id") % 5).alias("app"), "event_id", A.completion(F.transform(A.chunk(F.col("actions")), A.target)).alias("target")))
+    guess = F.get(F.array(*map(F.lit, GUESSES)), (F.col("event_id") % len(GUESSES)).cast("int"))
+    d = told.withColumn("predicted", F.coalesce(guess, "target"))
+    return metrics.summary(metrics.scored(d, "predicted", "target"), "app")
+
+
 DAG_SQL = """n AS (SELECT p_partkey AS id FROM part), e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2 AND p_partkey // 2 IN (SELECT p_partkey FROM part))"""
 
 
