@@ -52,7 +52,9 @@ def merged(spans: DataFrame, by: list[str], start: str, end: str, gap: float = 0
     return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def until_next(marks: DataFrame, by: list[str], t: str, order: str) -> DataFrame:
-    """Spans from each mark to the next of the same keys; the last is dropped."""
+def until_next(marks: DataFrame, by: list[str], t: str, order: str, end: str | None = None) -> DataFrame:
+    """Spans from each mark to the next of the same keys. The last runs to the column `end`, where its record ends (it is
+    left out where that is null or isn't after it); without such a column it is dropped."""
     follow: Column = F.lead(t).over(W.partitionBy(*by).orderBy(t, order))
-    return marks.select(*by, F.col(order).alias("span_id"), F.col(t).alias("start_t"), follow.alias("end_t")).where("end_t is not null")
+    until = F.coalesce(follow, F.when(F.col(end) > F.col(t), F.col(end))) if end else follow
+    return marks.select(*by, F.col(order).alias("span_id"), F.col(t).alias("start_t"), until.alias("end_t")).where("end_t is not null")

@@ -93,12 +93,14 @@ def scl_image_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", S.image_tokens(w, h).alias("tokens"))
 
 
-SPANS_SQL = f"""s AS (SELECT * FROM (SELECT user_id, event_id AS span_id, t AS start_t, lead(t) OVER ({ALONG}) AS end_t
-    FROM e WHERE event_type = 'error') WHERE end_t IS NOT NULL)"""
+SPANS_SQL = f"""s AS (SELECT user_id, event_id AS span_id, t AS start_t, coalesce(lead(t) OVER ({ALONG}), (SELECT max(t) + 1 FROM e a WHERE a.user_id = x.user_id)) AS end_t
+    FROM e x WHERE event_type = 'error')"""
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.until_next(events(spark, sf_dir).where("event_type = 'error'"), ["user_id"], "t", "event_id")
+    """From each error to the next of its stream, the last to the stream's end, that included."""
+    ended = events(spark, sf_dir).withColumn("end", F.max("t").over(W.partitionBy("user_id")) + 1)
+    return intervals.until_next(ended.where("event_type = 'error'"), ["user_id"], "t", "event_id", end="end")
 
 
 @query(
