@@ -102,3 +102,15 @@ def test_stage_and_nothing_to_learn(spark):
     kept = language.known_language(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert language.languages(rows.limit(0), "doc_id").count() == 0
+
+
+def test_known_language_heeds_what_is_predicted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    french = next(r for r in docs.where("lang = 'fr' and length(text) > 400").collect())
+    ids = [d for d in range(9000, 9100) if zlib.crc32(str(d).encode()) % 4 == 2][:4]  # none is learnt from
+    more = [(d, french.text, lang, french.source, len(french.text)) for d, lang in zip(ids, ("en", None, "xx", "fr"))]
+    rows = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = {r.doc_id for r in language.known_language(rows).collect()}
+    assert {*ids[1:]} <= kept and ids[0] not in kept
+    read = {r.doc_id: r.score for r in language.languages(rows, "doc_id").collect()}
+    assert all(read[d] > language.TOLD for d in kept)

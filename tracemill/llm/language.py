@@ -40,6 +40,8 @@ CORES, MARGIN = (32, 96, 224), 16
 TOGETHER, HELD = 1536, 4_000_000
 #: Sampled ids that may be broadcast; with more languages they meet their texts by a shuffle.
 MOST_BROADCAST = 100_000
+#: known_language: a language is told if it has more than this share, so more than all others together.
+TOLD = 0.5
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 SPACE = 0x20
@@ -275,5 +277,12 @@ def languages(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs' rows whose text can have a language: those with a letter. Others go, whatever could be learnt."""
-    return _read(docs, whole_row(docs).alias("_row"))[0].where("letter").select("_row.*")
+    """docs' rows whose language is known. Those without a letter go, those to which no language gives more than TOLD of
+    the probability, and those whose label is another learnt language than the one predicted. If nothing can be learnt,
+    all with a letter stay."""
+    found, names = _read(docs, whole_row(docs).alias("_row"))
+    if not names:
+        return found.where("letter").select("_row.*")
+    label = F.col("_row.lang")
+    agrees = label.isNull() | ~label.isin(*names) | (label == F.col("lang_pred"))
+    return found.where(F.col("letter") & (F.col("score") > TOLD) & agrees).select("_row.*")
