@@ -50,3 +50,20 @@ def test_none(spark):
     q, d, qs, ds = tables(spark, 1)
     assert keyed.Overlaps(qs.limit(0), ds, "q", "d").best(3).count() == 0
     assert keyed.Overlaps(qs, ds.limit(0), "q", "d").best(3).count() == 0
+
+
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    """Scores of many pairs are counted where the texts lie, repeated texts each by itself; the index gives the same."""
+    q, d, qs, ds = tables(spark, 5)
+    need = qs.select("q", F.lit(1).alias("need"))
+    for heavy in (0, 2):
+        want = sorted((i, j, n) for i, a in q for j, t, h in [*d, d[0]] if (n := len(set(a) & set(t)) + heavy * len(set(a) & set(h))) >= 1)
+        for most in (keyed.MOST_BROADCAST, 0):
+            monkeypatch.setattr(keyed, "MOST_BROADCAST", most)
+            found = keyed.Overlaps(qs, ds if not most else ds.union(ds.where(f"d = {d[0][0]}")), "q", "d", heavy).at_least(need)
+            got = sorted(tuple(r) for r in found.select("q", "d", "score").collect())
+            assert got == (want if most else sorted(set(want)))
+            if most:
+                plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+                assert plan.count("Exchange hashpartitioning") == 1
+        monkeypatch.undo()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,9 @@ from pyspark.sql import Window as W
 from tracemill.functions import text as T
 from tracemill.storage import written
 
+#: Rows of queries' tokens that may be broadcast.
+MOST_BROADCAST = 1_000_000
+
 
 def latest(d: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by one pre-aggregated max."""
@@ -61,16 +66,21 @@ class Overlaps:
         self.query_id, self.text_id, self.heavy = query_id, text_id, heavy
         held = texts.select(F.col(text_id).alias("_d"), "tokens", *(["title"] if heavy else []))
         self.texts = written(held)
-        both = F.array_union("tokens", "title") if heavy else F.col("tokens")
-        self.index = self.texts.select("_d", F.explode(both).alias("token"))
-        asked = queries.select(F.col(query_id).alias("_q"), F.array_distinct("tokens").alias("wanted"))
-        self.asked = asked
+        self.asked = queries.select(F.col(query_id).alias("_q"), F.array_distinct("tokens").alias("wanted"))
+
+    @cached_property
+    def index(self) -> DataFrame:
+        both = F.array_union("tokens", "title") if self.heavy else F.col("tokens")
+        return self.texts.select("_d", F.explode(both).alias("token"))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Tokens that some text has, each query's rarest first; postings before and with each."""
         frequency = self.index.groupBy("token").agg(F.count("*").alias("df"))
-        known = asked.select("_q", F.explode("wanted").alias("token")).join(frequency, "token")
+        known = self.asked.select("_q", F.explode("wanted").alias("token")).join(frequency, "token")
         rare = W.partitionBy("_q").orderBy("df", "token")
-        #: Tokens that some text has, each query's rarest first; postings before and with each.
         placed = known.withColumn("place", F.row_number().over(rare)).withColumn("postings", F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, 0)))
-        self.tokens = written(placed.withColumn("size", F.count("*").over(W.partitionBy("_q"))))
+        return written(placed.withColumn("size", F.count("*").over(W.partitionBy("_q"))))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         shared = F.size(F.array_intersect("wanted", "tokens"))
@@ -85,9 +95,29 @@ class Overlaps:
         """Places that a text of that score can't miss: those beyond can't make it up, each at its heaviest."""
         return F.col("size") - F.ceil(score / F.lit(1 + self.heavy)) + 1
 
+    def _counted(self, wanted: DataFrame) -> DataFrame:
+        """(_q, _d, need, score) of all pairs with a shared token. wanted: (_q, _i, need, token), a row a query and token."""
+        weighed = [F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("weight")))]
+        if self.heavy:
+            weighed.append(F.transform("title", lambda t: F.struct(t.alias("token"), F.lit(self.heavy).cast("long").alias("weight"))))
+        # dealt by _n: grouping by it and the query needs no other exchange
+        parts = int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.texts.withColumn("_n", F.monotonically_increasing_id()).repartition(parts, "_n")
+        held = dealt.select("_n", "_d", F.explode(F.concat(*weighed)).alias("_w")).select("_n", "_d", "_w.*")
+        met = held.join(F.broadcast(wanted), "token")
+        return met.groupBy("_n", "_i").agg(F.first("_q").alias("_q"), F.first("_d").alias("_d"), F.first("need").alias("need"), F.sum("weight").alias("score"))
+
     def at_least(self, need: DataFrame) -> DataFrame:
-        """(query_id, text_id, score) with the score that need (query_id, need) asks of each query."""
+        """(query_id, text_id, score) with the score that need (query_id, need) asks of each query.
+
+        Where the queries' tokens can be broadcast, scores are counted where the texts lie: each text is shuffled once by a
+        number of its own and no pair is, however many there are.
+        """
         needs = need.select(F.col(self.query_id).alias("_q"), "need")
+        wanted = written(self.asked.join(needs, "_q").withColumn("_i", F.monotonically_increasing_id()).select("_q", "_i", "need", F.explode("wanted").alias("token")))
+        if wanted.count() <= MOST_BROADCAST:
+            found = self._counted(wanted).where("score >= need")
+            return found.select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score")
         tokens = self.tokens.join(needs, "_q").where(F.col("place") <= self._prefix(F.col("need")))
         found = self._verified(self._met(tokens)).join(needs, "_q").where("score >= need")
         return found.select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score")
