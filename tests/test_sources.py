@@ -63,3 +63,21 @@ def test_merkle(spark):
     e = spark.createDataFrame([(3, 1), (3, 2), (5, 4), (5, 2)], "src long, dst long")
     got = {r["id"]: r["signature"] for r in graph.merkle(n, e).collect()}
     assert got[3] == got[5] == sha("u" + "".join(sorted([sha("a"), sha("b")]))) and got[1] == got[4] == sha("a")
+
+
+def test_levels_do_not_pass_through_the_driver(spark):
+    """Nothing of a graph is broadcast, and a node without a name has no signature."""
+    n = spark.createDataFrame([(0, "a"), (1, None), (2, "b"), (3, "c"), (4, "d")], "id long, name string")
+    e = spark.createDataFrame([(2, 0), (3, 1), (4, 2), (4, 0)], "src long, dst long")
+    sent = []
+    bus = graph.written, graph.checkpointed
+    seen = lambda keep: lambda d: (sent.append(d._jdf.queryExecution().executedPlan().toString()), keep(d))[1]
+    graph.written, graph.checkpointed = map(seen, bus)
+    try:
+        got = {r["id"]: r["signature"] for r in graph.merkle(n, e).collect()}
+    finally:
+        graph.written, graph.checkpointed = bus
+    assert any("SortMergeJoin" in p for p in sent) and not any("Broadcast" in p for p in sent)
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    two = h("b" + h("a"))
+    assert got == {0: h("a"), 1: None, 2: two, 3: h("c"), 4: h("d" + "".join(sorted((two, h("a")))))}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.storage import checkpointed
+from tracemill.storage import checkpointed, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -51,34 +53,44 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def depths(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     """(id, depth): longest chain of inputs below each node of a DAG; edges (src, dst): src reads dst.
 
-    Levels are found in turn and checkpointed: a node's depth is final once all its inputs have theirs.
+    Levels are found in turn: edges to the level before are done with, and nodes that have none left are the next level.
+    Joins are merges, so that no level passes through the driver.
     """
-    done = checkpointed(nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("depth")))
-    left = checkpointed(edges.distinct())
+    src = F.col("src").alias("id")
+    ready = checkpointed(nodes.join(edges.select(src).hint("merge"), "id", "left_anti").select("id", F.lit(0).alias("depth")))
+    left, levels = written(edges.distinct()), [ready]
     for level in range(1, most + 1):
         if left.isEmpty():
-            return done
-        known = left.join(done.withColumnRenamed("id", "dst"), "dst", "left")
-        ready = known.groupBy("src").agg(F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select(F.col("src").alias("id"), F.lit(level).alias("depth"))
-        ready = checkpointed(ready)
+            return reduce(DataFrame.unionByName, levels)
+        known = left.join(ready.withColumnRenamed("id", "dst").hint("merge"), "dst", "left")
+        open_ = known.groupBy("src").agg(F.count_if(F.col("depth").isNull()).alias("open"))
+        ready = checkpointed(open_.where("open = 0").select(src, F.lit(level).alias("depth")))
         if ready.isEmpty():
             raise ValueError("the graph has a cycle or an input that isn't a node")
-        done = checkpointed(done.unionByName(ready))
-        left = checkpointed(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+        levels.append(ready)
+        left = written(known.where("depth is null").select("src", "dst"))
     raise ValueError(f"deeper than {most}")
 
 
 def merkle(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     """(id, signature): SHA-256 of each node's name and its inputs' signatures in sorted order, bottom up.
 
-    nodes: (id, name). Equal signatures mean equal subtrees, whatever the nodes' ids.
+    nodes: (id, name). Equal signatures mean equal subtrees, whatever the nodes' ids. A level's signatures go once to
+    the nodes that read them and wait there for the node's own level; joins are merges, as in depths.
     """
     level = depths(nodes.select("id"), edges, most)
-    deepest = level.agg(F.max("depth")).first()[0] or 0
-    placed = checkpointed(nodes.join(level, "id"))
-    done = placed.where("depth = 0").select("id", F.sha2("name", 256).alias("signature"))
+    placed = written(nodes.join(level.hint("merge"), "id"))
+    deepest = placed.agg(F.max("depth")).first()[0] or 0
+    of = placed.select(F.col("id").alias("dst"), F.col("depth").alias("below"))
+    reads = written(edges.distinct().join(of.hint("merge"), "dst").select(F.col("src").alias("id"), "dst", "below"))
+    done = [written(placed.where("depth = 0").select("id", F.sha2("name", 256).alias("signature")))]
+    told = None
     for k in range(1, deepest + 1):
-        inputs = placed.where(F.col("depth") == k).join(edges.distinct().withColumnRenamed("src", "id"), "id").join(done.withColumnRenamed("id", "dst"), "dst")
-        below = inputs.groupBy("id").agg(F.first("name").alias("name"), F.array_join(F.sort_array(F.collect_list("signature")), "").alias("below"))
-        done = checkpointed(done.unionByName(below.select("id", F.sha2(F.concat("name", "below"), 256).alias("signature"))))
-    return done
+        mine = placed.where(F.col("depth") == k)
+        sent = reads.where(F.col("below") == k - 1).join(done[-1].withColumnRenamed("id", "dst").hint("merge"), "dst").select("id", "signature")
+        waiting = sent if told is None else told.unionByName(sent)
+        met = written(waiting.join(mine.select("id", "name", F.lit(True).alias("now")).hint("merge"), "id", "left"))
+        below = met.where("now").groupBy("id").agg(F.first("name").alias("name"), F.array_join(F.sort_array(F.collect_list("signature")), "").alias("below"))
+        done.append(written(below.select("id", F.sha2(F.concat("name", "below"), 256).alias("signature"))))
+        told = met.where("now is null").select("id", "signature")
+    return reduce(DataFrame.unionByName, done)
