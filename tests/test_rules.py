@@ -107,3 +107,12 @@ def test_lookup_cache(spark):
     assert told([ok(0, 1), ok(1, 2), ok(900, 1), ok(901, 3), ok(902, 1)], most=2) == ["fetched"] * 5
     bad = lambda t, s, page: (t, s, 0, page, True)
     assert told([bad(0, 1, False), ok(89, 1), ok(90, 1), bad(100, 2, True), (3699, 2, 1, True, False), (3700, 2, 1, True, False)]) == ["failed", "suppressed", "fetched", "failed", "suppressed", "fetched"]
+
+
+def test_outlines_meet_without_their_corners_being_shuffled(spark):
+    """Nested squares: a pair of outlines is tested where it meets; boxes meet once and get their depths."""
+    n = 60
+    rows = [("d", p, i, float(x * (p + 1)), float(y * (p + 1))) for p in range(n) for i, (x, y) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))]
+    out = geometry.outline_roles(spark.createDataFrame(rows, "drawing string, path_id int, i int, x double, y double"), 1000.0)
+    assert {r["path_id"]: r["depth"] for r in out.collect()} == {p: n - 1 - p for p in range(n)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2

@@ -23,27 +23,26 @@ def outline_roles(points: DataFrame, cell: float) -> DataFrame:
 
     An outline's depth is the number of outlines of its drawing that hold all of its corners (even-odd rule); odd
     depths are holes. Outlines meet through grid cells: one corner's cell against the cells of the others' boxes, and
-    only boxes that hold the whole box go on to the corner test.
+    only boxes that hold the whole box go on to the corner test. Outlines bring their sides along, so a pair is tested where
+    it meets and only counted further on.
     """
     path = ["drawing", "path_id"]
     w = W.partitionBy(*path)
     nx, ny = (F.coalesce(F.lead(c).over(w.orderBy("i")), F.min_by(c, "i").over(w)) for c in "xy")
     edges = points.select(*path, "x", "y", nx.alias("nx"), ny.alias("ny"))
-    boxes = edges.groupBy(*path).agg(
+    shapes = edges.groupBy(*path).agg(
         F.count("*").alias("n"), (F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"),
-        F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"),
+        F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2"), F.collect_list(F.struct("x", "y", "nx", "ny")).alias("sides"),
     )
+    boxes = shapes.drop("sides")
     at = lambda c: F.floor(F.col(c) / cell)
-    inner = boxes.select("drawing", F.col("path_id").alias("p"), *(F.col(c).alias(f"i{c}") for c in ("x1", "x2", "y1", "y2")), at("x1").alias("cx"), at("y1").alias("cy"))
-    outer = boxes.where("n > 2").withColumn("cx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("cy", F.explode(F.sequence(at("y1"), at("y2"))))
+    inner = shapes.select("drawing", F.col("path_id").alias("p"), F.col("sides").alias("corners"), *(F.col(c).alias(f"i{c}") for c in ("x1", "x2", "y1", "y2")), at("x1").alias("cx"), at("y1").alias("cy"))
+    outer = shapes.where("n > 2").withColumn("cx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("cy", F.explode(F.sequence(at("y1"), at("y2"))))
     holds = F.expr("p <> path_id and x1 <= ix1 and ix2 <= x2 and y1 <= iy1 and iy2 <= y2")
-    pairs = inner.join(outer, ["drawing", "cx", "cy"]).where(holds).select("drawing", "p", F.col("path_id").alias("q"))
-    corners = points.select("drawing", F.col("path_id").alias("p"), "i", F.col("x").alias("px"), F.col("y").alias("py"))
-    sides = edges.withColumnRenamed("path_id", "q")
-    tests = pairs.join(corners, ["drawing", "p"]).join(sides, ["drawing", "q"])
-    cut = F.expr("(y > py) <> (ny > py) and px < x + (py - y) * (nx - x) / nullif(ny - y, 0)")
-    inside = tests.groupBy("drawing", "p", "q", "i").agg((F.count_if(cut) % 2 == 1).alias("inside"))
-    depth = inside.groupBy("drawing", "p", "q").agg(F.bool_and("inside").alias("within")).where("within").groupBy("drawing", F.col("p").alias("path_id")).agg(F.count("*").alias("depth"))
+    cut = "(s.y > c.y) <> (s.ny > c.y) and c.x < s.x + (c.y - s.y) * (s.nx - s.x) / nullif(s.ny - s.y, 0)"
+    within = F.expr(f"forall(corners, c -> size(filter(sides, s -> {cut})) % 2 = 1)")
+    pairs = inner.join(outer, ["drawing", "cx", "cy"]).where(holds).where(within)
+    depth = pairs.groupBy("drawing", F.col("p").alias("path_id")).agg(F.count("*").alias("depth"))
     out = boxes.join(depth, path, "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
     return out.select(*path, "n", "area", "depth", F.when(F.col("depth") % 2 == 1, "hole").otherwise("outer").alias("role"))
 
