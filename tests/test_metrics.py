@@ -53,3 +53,11 @@ def test_scores_and_summary(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "app string, predicted string, target string")
     assert metrics.summary(metrics.scored(d, "predicted", "target"), "app").count() == 0
+
+
+def test_rows_are_scored_once(spark):
+    """Rates and medians read scores that were written; neither parses completions again."""
+    d = spark.createDataFrame([("a", '{"actions":[]}', '{"actions":[]}')], "app string, predicted string, target string")
+    scored = metrics.scored(d, "predicted", "target")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert "parsejson" in plan(scored) and "parsejson" not in plan(metrics.summary(scored, "app"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tracemill.functions import actions as A
 from tracemill.functions import scalars as S
+from tracemill.storage import written
 
 #: Radii in pixels, the screen where none is known.
 RADII, WIDTH, HEIGHT = (8, 16, 32, 64), 1920.0, 1080.0
@@ -75,7 +76,8 @@ def summary(d: DataFrame, group: str, radii: tuple[int, ...] = RADII) -> DataFra
     by (scope, group); sums of points and keys come with it. Nothing is collected, groups are of any size and number.
     """
     scopes = F.explode(F.array(F.struct(F.lit("group").alias("scope"), F.col(group).alias("_g")), F.struct(F.lit("overall").alias("scope"), F.lit(None).cast(d.schema[group].dataType).alias("_g"))))
-    s = d.select(scopes.alias("_s"), "score").select("_s.*", "score.*")
+    # written once: rates and medians are two passes, and scoring is dearer than reading
+    s = written(d.select(group, "score")).select(scopes.alias("_s"), "score").select("_s.*", "score.*")
     rate = lambda c: F.avg(F.col(c).cast("double"))
     keys = ["scope", "_g"]
     px = F.col("coord_error_px")
