@@ -80,3 +80,12 @@ def test_many_short_pieces():
     sizes = np.ones(786_432, np.int64)
     window = packing.pack(sizes)
     assert np.bincount(window, sizes).max() <= 4096 and window.max() + 1 <= 194
+
+
+def test_new_words_of_many_texts_take_one_call(model, monkeypatch):
+    texts = [f"only{chr(97 + i % 26)}here{chr(97 + i // 26)} Said it's, {i}" for i in range(300)]
+    known, calls = wordids.WordIds(tokenizer_path()), []
+    encode = known._ids
+    monkeypatch.setattr(known, "_ids", lambda text: calls.append(text) or encode(text))
+    assert [np.frombuffer(got, "<u4").tolist() for got in known.texts(texts)] == [ids_of(model, t)[:-1] for t in texts]
+    assert len(calls) == 1
