@@ -144,3 +144,21 @@ def test_stage_on_odd_tables(spark):
     rows = [(2**60 + 1, long_text, 1), (2**60 + 3, long_text + " end", 2), (None, long_text, 3), (7, "x", 4), (7, "x", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, `set` int").withColumnsRenamed({"set": "id"})
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == [7, 2**60 + 1]
+
+
+def test_sketches_are_kept_of_candidates_only(spark, monkeypatch):
+    rng, held = np.random.default_rng(4), []
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 5000, 120))) for i in range(60)]
+    rows += [(100, rows[7][1] + " more"), (101, rows[8][1]), (101, rows[8][1])]
+
+    def kept(df):
+        out = plain(df)
+        held.append(out)
+        return out
+
+    plain = simhash.written
+    monkeypatch.setattr(simhash, "written", kept)
+    got = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(60))
+    sketched = [t for t in held if "sketch" in t.columns]
+    assert sketched and all(t.count() == 2 for t in sketched)  # 7 and 100

@@ -240,34 +240,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _draws() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(HASH_SEED)
+    factors = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
 def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Of each text: its set's name and fingerprint, a key for each band of minima of its sketch, and a byte of each minimum."""
+    factors, shifts = _draws()
     for b in batches:
-        sets, fps, sketches = [], [], []
+        sets, fps, keys, minima = [], [], [], []
         for text in b:
             hashes = _hashes(text, STAGE_WORDS)
             distinct = np.unique(hashes.view("<i8"))
             sets.append(f"{xxhash.xxh3_128_hexdigest(distinct.tobytes())}{len(distinct):x}")
             fps.append(_majority(hashes))
-            sketches.append(distinct[:SKETCH])
-        yield pd.DataFrame({"set": sets, "fp": np.array(fps, "<u8").view("<i8"), "sketch": sketches})
+            least = (distinct[:SKETCH].view("<u8")[:, None] * factors + shifts).min(axis=0, initial=np.uint64((1 << 64) - 1))
+            keys.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
+            minima.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
+        yield pd.DataFrame({"set": sets, "fp": np.array(fps, "<u8").view("<i8"), "keys": keys, "minima": minima})
 
 
-def _bands(sets: DataFrame) -> DataFrame:
-    """(id, keys, minima): a key for each band of minima of each set's sketch, and a byte of each minimum."""
-    draw = np.random.default_rng(HASH_SEED)
-    factors = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, minima = [], []
-            for sketch in b["sketch"]:
-                least = (np.asarray(sketch, "<i8").view("<u8")[:, None] * factors + shifts).min(axis=0, initial=np.uint64((1 << 64) - 1))
-                keys.append([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
-                minima.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "keys": keys, "minima": minima})
-
-    return sets.select("id", "sketch").mapInPandas(run, "id long, keys array<long>, minima binary")
+def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for b in batches:
+        yield pd.Series([np.unique(_hashes(text, STAGE_WORDS).view("<i8"))[:SKETCH] for text in b])
 
 
 def _met(ids: np.ndarray, minima: np.ndarray) -> list[tuple[int, int]]:
@@ -306,14 +303,13 @@ def _met_in(buckets: np.ndarray, ids: np.ndarray, minima: np.ndarray) -> pd.Data
 def _banded(sets: DataFrame) -> DataFrame:
     """(id, other): candidates of the bands. Of bands that hold the same members one is compared; keys with over
     MEMBERS are cut into blocks, and each pair of blocks is a bucket."""
-    bands = written(_bands(sets))
-    keyed = bands.select("id", F.explode("keys").alias("key"))
+    keyed = sets.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("two")).where("n > 1")
     chosen = shared.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     dealt = keyed.join(chosen, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bucket = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-    placed = dealt.select(bucket.alias("bucket"), "id").join(bands.select("id", "minima"), "id")
+    placed = dealt.select(bucket.alias("bucket"), "id").join(sets.select("id", "minima"), "id")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,16 +327,21 @@ def _banded(sets: DataFrame) -> DataFrame:
     return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "id").mapInPandas(run, "id long, other long")
 
 
-def _similar(sets: DataFrame) -> DataFrame:
-    """(src, dst): verified links between sets (id, fp, sketch)."""
+def _similar(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): verified links between sets (id, fp, keys, minima, digest). texts: (digest, text), one or more a set.
+
+    Sketches are made, from the texts again, for sets with a candidate only: no sketch of other texts is written or moved."""
     prints = written(sets.groupBy("fp").agg(F.min("id").alias("head")))
     one, two = prints.toDF("src", "id"), prints.toDF("dst", "other")
     coded = links(prints).join(one, "src").join(two, "dst").select("id", "other")
     alike = sets.select("id", "fp").join(prints, "fp").select("id", F.col("head").alias("other"))
     met = _banded(sets).union(coded).union(alike).where("id != other")
     pairs = written(met.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct())
-    a = sets.select(F.col("id").alias("src"), F.col("sketch").alias("a"))
-    b = sets.select(F.col("id").alias("dst"), F.col("sketch").alias("b"))
+    met = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    wanted = written(sets.select("id", "digest").join(met, "id"))
+    sketch = F.pandas_udf(_sketches, "array<long>").asNondeterministic()("text")
+    sketched = written(texts.join(wanted, "digest").select("id", sketch.alias("sketch")).groupBy("id").agg(F.first("sketch").alias("sketch")))
+    a, b = sketched.toDF("src", "a"), sketched.toDF("dst", "b")
     both, either = F.array_intersect("a", "b"), F.array_union("a", "b")
     whole = (F.size("a") < SKETCH) & (F.size("b") < SKETCH)
     sample = F.slice(F.array_sort(either), 1, SKETCH)
@@ -356,13 +357,13 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Null and empty texts are one group; repeated rows are one; all columns of docs are returned, of any name."""
     row = whole_row(docs)
     digest = F.struct(F.xxhash64(row).alias("one"), F.xxhash64(F.lit(1), row).alias("two"))
-    made = F.pandas_udf(_sets, "set string, fp long, sketch array<long>").asNondeterministic()("text")
+    made = F.pandas_udf(_sets, "set string, fp long, keys array<long>, minima binary").asNondeterministic()("text")
     seen = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), made.alias("made")).select("doc_id", "digest", "made.*"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set", "digest")
-    sets = written(
-        seen.groupBy("set").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id())
-    )
-    found = connected_components(written(_similar(sets))).withColumnRenamed("node", "id")
+    told = (F.first(c).alias(c) for c in ("fp", "keys", "minima"))
+    sets = written(seen.groupBy("set").agg(F.min(order).alias("first"), *told).withColumn("id", F.monotonically_increasing_id()))
+    links_ = _similar(sets.withColumn("digest", F.col("first.digest")), docs.select(digest.alias("digest"), "text"))
+    found = connected_components(written(links_)).withColumnRenamed("node", "id")
     rooted = sets.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias("_digest"))
     again = docs.select(row.alias("_row"), digest.alias("_digest"))
