@@ -173,3 +173,18 @@ def test_ranked_links(spark):
     want = [(1, 1, "Drawing", None, "/d.PDF", 5), (1, 2, "motor drawing", None, "/m", 5), (1, 3, "", None, "/spec", 3), (1, 4, "t" * 100, None, "/long", 2)]
     assert got == want
     assert [r["url"] for r in links.ranked_links(d, focus, "page_id", 2).collect()] == ["/d.PDF", "/m"]
+
+
+def test_ended_lineages_are_written_once(spark, monkeypatch):
+    rows = [(i, None if i % 64 == 0 else i - 1, "c") for i in range(256)] + [(1000 + i, None, None) for i in range(500)]
+    told, plain = [], lineage.written
+
+    def written(df):
+        out = plain(df)
+        told.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "written", written)
+    got = lineage.lineage(spark.createDataFrame(rows, "image_id long, parent_id long, crop string")).collect()
+    assert {r["image_id"]: (r["original_id"], r["depth"], len(r["crops"])) for r in got} == {i: (i // 64 * 64, i % 64, i % 64) if i < 1000 else (i, 0, 0) for i, _, _ in rows}
+    assert max(told[1:]) < 256 and sum(told) < 5 * len(rows)  # all rows in each of a dozen rounds before

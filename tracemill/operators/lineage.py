@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +34,19 @@ def enlargement(crop: Column) -> Column:
 
 
 def _doubled(rows: DataFrame, rounds: int, crops: bool) -> DataFrame:
-    """Pointers `up` followed until they are null, twice as far each round; rows end where `up` is null."""
+    """Pointers `up` followed until they are null, twice as far each round; rows end where `up` is null.
+
+    A row that has ended is written once and only read from then on; a round writes the rows that were open before it."""
+    ended, open_ = [rows.where("up is null")], rows.where("up is not null")
     for _ in range(rounds):
-        if rows.where("up is not null").isEmpty():
+        if open_.isEmpty():
             break
-        other = rows.select(F.col("image_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *([F.col("crops").alias("_crops")] if crops else []))
-        met = rows.where("up is not null").join(other, "up")
+        known = reduce(DataFrame.unionByName, [*ended, open_])
+        other = known.select(F.col("image_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), *([F.col("crops").alias("_crops")] if crops else []))
         further = [F.col("_up").alias("up"), F.col("_top").alias("top"), (F.col("depth") + F.col("_depth")).alias("depth")]
-        gone = met.select("image_id", *further, *([F.concat("_crops", "crops").alias("crops")] if crops else []))
-        rows = written(rows.where("up is null").unionByName(gone))
-    return rows
+        gone = written(open_.join(other, "up").select("image_id", *further, *([F.concat("_crops", "crops").alias("crops")] if crops else [])))
+        ended, open_ = [*ended, gone.where("up is null")], gone.where("up is not null")
+    return reduce(DataFrame.unionByName, [*ended, open_])
 
 
 def lineage(images: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def lineage(images: DataFrame) -> DataFrame:
     rounds = max(start.count(), 2).bit_length() + 1
     ends = _doubled(start.select("image_id", "up", "top", "depth"), rounds, False)
     endless = written(ends.where("up is not null").select("image_id"))
-    gathered = _doubled(start.drop("lost").join(endless, "image_id", "left_anti"), rounds, True)
+    gathered = _doubled(written(start.drop("lost").join(endless, "image_id", "left_anti")) if not endless.isEmpty() else start.drop("lost"), rounds, True)
     outside = start.where("lost").select(F.col("top").alias("original_id"), F.lit("missing").alias("problem")).distinct()
     whole = gathered.select("image_id", F.col("top").alias("original_id"), "depth", "crops").join(outside, "original_id", "left")
     return whole.select("image_id", "original_id", "depth", "crops", "problem").unionByName(endless.withColumn("problem", F.lit("cycle")), allowMissingColumns=True)
