@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracemill.operators import sequences
@@ -66,3 +67,64 @@ def test_state_goes_after_its_time(spark, tmp_path):
     # the operation that had expired isn't taken up again, and of the first day nothing is kept
     assert not [r for r in seen if r["operation"] == 1 and "more" in r["text"]]
     assert keys <= {99, 1} and 99 in keys and not keys & {2, 3, 4, 5}
+
+
+class CountedStore:
+    """Stands for a processor's handle and its states; counts the calls, each of which is a message to the JVM."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getValueState(self, name, *schemas):  # noqa: N802
+        return CountedState(self, name)
+
+    getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+class CountedState:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _call(self):
+        self.store.calls += 1
+        return self.store.held
+
+    def exists(self):
+        return self.name in self._call()
+
+    def get(self):
+        return self._call().get(self.name)
+
+    def update(self, value):
+        self._call()[self.name] = value
+
+    def containsKey(self, key):  # noqa: N802
+        return (self.name, key) in self._call()
+
+    def getValue(self, key):  # noqa: N802
+        return self._call().get((self.name, key))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._call()[(self.name, key)] = value
+
+    def iterator(self):
+        return [(k[1], v) for k, v in self._call().items() if isinstance(k, tuple)]
+
+
+def test_calls_on_the_store_do_not_grow_with_the_deltas():
+    names = SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    store, machine, calls = CountedStore(), jobs.SettlingOperations("operation", 1000), []
+    machine.init(store)
+    piece = lambda n: Row(*names)(1, f"1/{n}", (n + FIRST) * SECOND, "delta", 2 * n, f"{n % 10},", None)
+    start = Row(*names)(1, "1/start", FIRST * SECOND, "start", None, None, None)
+    for batch in ([start, piece(0)], [piece(n) for n in range(300, 0, -1)], [piece(301)]):
+        before = store.calls
+        (last,) = machine.handleInputRows((1,), iter(batch), None)
+        calls.append(store.calls - before)
+    assert last.text == "".join(f"{n % 10}," for n in range(302)) and last.revision == 3
+    assert max(calls) <= 4

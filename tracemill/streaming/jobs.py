@@ -168,7 +168,8 @@ class SettlingOperations(StatefulProcessor):
 
     Kept for each operation until `ttl_ms` of event time pass without an event of it: the earliest delta of each offset
     and the settlements' essence. Keeping them by event time, not arrival, makes the last state the same for any order.
-    Then a timer clears it, and what comes later meets no operation.
+    Then a timer clears it, and what comes later meets no operation. All of an operation is one value, read and written
+    once a batch: each call on the store is a message to the JVM, so a call a delta would cost more than the deltas.
     """
 
     def __init__(self, by: str, ttl_ms: int):
@@ -176,46 +177,44 @@ class SettlingOperations(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.row = handle, Row(self.by, "status", "settled_at", "text", "revision")
-        self.deltas = handle.getMapState("deltas", "offset long", "ts long, event_id string, text string")
-        self.state = handle.getValueState("state", "started boolean, status string, at long, event_id string, cancelled boolean, newest long, revision long")
+        deltas = "offsets array<long>, times array<long>, ids array<string>, texts array<string>"
+        self.state = handle.getValueState("state", f"started boolean, status string, at long, event_id string, cancelled boolean, newest long, revision long, {deltas}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        started, status, at, by_event, cancelled, newest, revision = self.state.get() if self.state.exists() else (False, None, None, None, False, None, 0)
-        pieces: dict[int, tuple] = {}
+        started, status, at, by_event, cancelled, newest, revision, *held = self.state.get() or (False, None, None, None, False, None, 0, [], [], [], [])
+        pieces = {offset: piece for offset, *piece in zip(*held, strict=True)}
         due = newest
         for r in rows:
-            now = (r["ts"], r["event_id"])
+            now = [r["ts"], r["event_id"]]
             newest = max(r["ts"], newest if newest is not None else r["ts"])
             if r["kind"] == "start":
                 started = True
             elif r["kind"] == "settle" and r["status"] in TERMINAL:
                 cancelled |= r["status"] == "cancelled"
-                if status is None or now < (at, by_event):
+                if status is None or now < [at, by_event]:
                     status, (at, by_event) = r["status"], now
             elif r["kind"] == "delta" and r["text"] and r["offset"] is not None and r["offset"] >= 0:
-                pieces[r["offset"]] = min(pieces.get(r["offset"], (*now, r["text"])), (*now, r["text"]))
-        for offset, piece in pieces.items():
-            held = self.deltas.getValue((offset,)) if self.deltas.containsKey((offset,)) else None
-            if held is None or piece < tuple(held):
-                self.deltas.updateValue((offset,), piece)
+                piece = [*now, r["text"]]
+                pieces[r["offset"]] = min(pieces.get(r["offset"], piece), piece)
         if due != newest:
             if due is not None:
                 self.handle.deleteTimer(due // 1000 + self.ttl_ms)
             self.handle.registerTimer(newest // 1000 + self.ttl_ms)
-        self.state.update((started, status, at, by_event, cancelled, newest, revision + 1))
+        held = [list(pieces), *([p[k] for p in pieces.values()] for k in range(3))]
+        self.state.update((started, status, at, by_event, cancelled, newest, revision + 1, *held))
         if started:
             ended = "cancelled" if status == "interrupted" and cancelled else status or "running"
-            yield self.row(*key, ended, at, self._text(at), revision + 1)
+            yield self.row(*key, ended, at, self._text(pieces, at), revision + 1)
 
-    def _text(self, at: int | None) -> str:
+    @staticmethod
+    def _text(pieces: dict[int, list], at: int | None) -> str:
         whole = Reassembled()
-        for (offset,), (ts, _, text) in sorted((tuple(k), tuple(v)) for k, v in self.deltas.iterator()):
+        for offset, (ts, _, text) in sorted(pieces.items()):
             if at is None or ts <= at:
                 whole.take(Row(offset=offset, text=text))
         return whole.end()[0][0]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.deltas.clear()
         self.state.clear()
         return iter(())
 
