@@ -162,3 +162,18 @@ def test_sketches_are_kept_of_candidates_only(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == list(range(60))
     sketched = [t for t in held if "sketch" in t.columns]
     assert sketched and all(t.count() == 2 for t in sketched)  # 7 and 100
+
+
+def test_whole_rows_are_moved_once(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rows = [(i, f"text number {i // 2} of {i // 2}") for i in range(40)]
+        out = simhash.one_of_each_group(spark.createDataFrame(rows * 2, "doc_id long, text string"))
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 40, 2))
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.set(name, before)
+    # by the digest of a row: the rows, and the chosen digests
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("one#" in x or "_digest#" in x)]) == 2

@@ -365,6 +365,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     links_ = _similar(sets.withColumn("digest", F.col("first.digest")), docs.select(digest.alias("digest"), "text"))
     found = connected_components(written(links_)).withColumnRenamed("node", "id")
     rooted = sets.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.digest").alias("_digest"))
-    again = docs.select(row.alias("_row"), digest.alias("_digest"))
-    return again.join(chosen, "_digest", "left_semi").dropDuplicates(["_digest"]).select("_row.*")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.digest.*")
+    # two columns, not one struct: the join's exchange then serves the grouping too, and whole rows are moved once
+    again = docs.select(row.alias("_row"), digest.alias("_digest")).select("_row", "_digest.*")
+    return again.join(chosen, ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select("_row.*")
