@@ -67,3 +67,14 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
                 plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
                 assert plan.count("Exchange hashpartitioning") == 1
         monkeypatch.undo()
+
+
+def test_best_moves_few_pairs(spark, monkeypatch):
+    """Only each task's best are dealt by query; where the tokens are too many to broadcast, the index gives the same."""
+    q, d, qs, ds = tables(spark, 6)
+    found = keyed.Overlaps(qs, ds, "q", "d", 3).best(2)
+    got = sorted(tuple(r) for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(keyed, "MOST_BROADCAST", 0)
+    assert got and got == sorted(tuple(r) for r in keyed.Overlaps(qs, ds, "q", "d", 3).best(2).collect())

@@ -107,6 +107,9 @@ class Overlaps:
         met = held.join(F.broadcast(wanted), "token")
         return met.groupBy("_n", "_i").agg(F.first("_q").alias("_q"), F.first("_d").alias("_d"), F.first("need").alias("need"), F.sum("weight").alias("score"))
 
+    def _wanted(self, asked: DataFrame) -> DataFrame:
+        return written(asked.withColumn("_i", F.monotonically_increasing_id()).select("_q", "_i", "need", F.explode("wanted").alias("token")))
+
     def at_least(self, need: DataFrame) -> DataFrame:
         """(query_id, text_id, score) with the score that need (query_id, need) asks of each query.
 
@@ -114,7 +117,7 @@ class Overlaps:
         number of its own and no pair is, however many there are.
         """
         needs = need.select(F.col(self.query_id).alias("_q"), "need")
-        wanted = written(self.asked.join(needs, "_q").withColumn("_i", F.monotonically_increasing_id()).select("_q", "_i", "need", F.explode("wanted").alias("token")))
+        wanted = self._wanted(self.asked.join(needs, "_q"))
         if wanted.count() <= MOST_BROADCAST:
             found = self._counted(wanted).where("score >= need")
             return found.select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score")
@@ -125,17 +128,22 @@ class Overlaps:
     def best(self, k: int, least: int = 1, postings: int = 256) -> DataFrame:
         """(query_id, text_id, score, rank): the k best of at least `least`, ties to the smaller text_id.
 
-        A first look follows each query's rarest tokens up to a number of postings; the k-th score that it gives
-        decides how many more tokens must be followed.
+        Where the queries' tokens can be broadcast, scores are counted where the texts lie, and each task passes on k texts a
+        query. Else a first look follows each query's rarest tokens up to a number of postings; the k-th score that it
+        gives decides how many more tokens must be followed.
         """
         rank = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("score"), "_d"))
+        told = (F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score", "rank")
+        wanted = self._wanted(self.asked.withColumn("need", F.lit(least)))
+        if wanted.count() <= MOST_BROADCAST:
+            return self._counted(wanted).where("score >= need").withColumn("rank", rank).where(F.col("rank") <= k).select(*told)
         begun = (F.col("postings") <= postings) | (F.col("place") == 1)
         first = written(self._verified(self._met(self.tokens.where(begun))))
         bound = first.withColumn("rank", rank).where(F.col("rank") == k).select("_q", F.col("score").alias("kth"))
         open_ = self.tokens.where(~begun).join(bound, "_q", "left").where(F.col("place") <= self._prefix(F.greatest(F.coalesce("kth", F.lit(0)), F.lit(least))))
         new = self._met(open_).join(first.select("_q", "_d"), ["_q", "_d"], "left_anti")
         every = first.unionByName(self._verified(new)).where(F.col("score") >= least)
-        return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(self.query_id), F.col("_d").alias(self.text_id), "score", "rank")
+        return every.withColumn("rank", rank).where(F.col("rank") <= k).select(*told)
 
 
 def ranked_matches(queries: DataFrame, texts: DataFrame, query_id: str, text_id: str, k: int, least: int = 2) -> DataFrame:
