@@ -177,3 +177,25 @@ def test_whole_rows_are_moved_once(spark):
         spark.conf.set(name, before)
     # by the digest of a row: the rows, and the chosen digests
     assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("one#" in x or "_digest#" in x)]) == 2
+
+
+def test_rows_that_are_alone_are_not_moved(spark):
+    name, sc = "spark.sql.autoBroadcastJoinThreshold", spark.sparkContext._jsc.sc()
+    before = spark.conf.get(name)
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 4000))) for i in range(150)]
+    rows += [(200, rows[7][1] + " more"), (201, rows[8][1]), (9, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set(name, "-1")
+    try:
+        start = moved()
+        got = simhash.one_of_each_group(docs).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(150))
+        assert moved() - start < 0.4 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set(name, before)

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.batches import whole_row
 from tracemill.operators.graph import connected_components
-from tracemill.storage import checkpointed, written
+from tracemill.operators.sieve import marked
+from tracemill.storage import checkpointed, kept_at, removed, written
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 4, 42, 4
 #: Of the stage: words of a shingle, similarity of a link, shingles of a sketch, bands and minima of a band.
@@ -328,9 +329,10 @@ def _banded(sets: DataFrame) -> DataFrame:
 
 
 def _similar(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): verified links between sets (id, fp, keys, minima, digest). texts: (digest, text), one or more a set.
+    """(src, dst): verified links between sets (id, fp, keys, minima, one, two). texts: (one, two, text), one or more a set.
 
-    Sketches are made, from the texts again, for sets with a candidate only: no sketch of other texts is written or moved."""
+    Sketches are made, from the texts again, for sets with a candidate only: no sketch of other texts is written or moved,
+    and of the other texts only those that the sieve takes for one of these are moved."""
     prints = written(sets.groupBy("fp").agg(F.min("id").alias("head")))
     one, two = prints.toDF("src", "id"), prints.toDF("dst", "other")
     coded = links(prints).join(one, "src").join(two, "dst").select("id", "other")
@@ -338,9 +340,10 @@ def _similar(sets: DataFrame, texts: DataFrame) -> DataFrame:
     met = _banded(sets).union(coded).union(alike).where("id != other")
     pairs = written(met.select(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct())
     met = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    wanted = written(sets.select("id", "digest").join(met, "id"))
+    wanted = written(sets.select("id", "one", "two").join(met, "id"))
     sketch = F.pandas_udf(_sketches, "array<long>").asNondeterministic()("text")
-    sketched = written(texts.join(wanted, "digest").select("id", sketch.alias("sketch")).groupBy("id").agg(F.first("sketch").alias("sketch")))
+    near_texts = marked(texts, wanted, "one").where("_marked").join(wanted, ["one", "two"])
+    sketched = written(near_texts.select("id", sketch.alias("sketch")).groupBy("id").agg(F.first("sketch").alias("sketch")))
     a, b = sketched.toDF("src", "a"), sketched.toDF("dst", "b")
     both, either = F.array_intersect("a", "b"), F.array_union("a", "b")
     whole = (F.size("a") < SKETCH) & (F.size("b") < SKETCH)
@@ -358,14 +361,19 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     row = whole_row(docs)
     digest = F.struct(F.xxhash64(row).alias("one"), F.xxhash64(F.lit(1), row).alias("two"))
     made = F.pandas_udf(_sets, "set string, fp long, keys array<long>, minima binary").asNondeterministic()("text")
-    seen = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), made.alias("made")).select("doc_id", "digest", "made.*"))
+    seen, seen_at = kept_at(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), made.alias("made")).select("doc_id", "digest", "made.*"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set", "digest")
     told = (F.first(c).alias(c) for c in ("fp", "keys", "minima"))
-    sets = written(seen.groupBy("set").agg(F.min(order).alias("first"), *told).withColumn("id", F.monotonically_increasing_id()))
-    links_ = _similar(sets.withColumn("digest", F.col("first.digest")), docs.select(digest.alias("digest"), "text"))
+    sets, sets_at = kept_at(seen.groupBy("set").agg(F.min(order).alias("first"), *told).withColumn("id", F.monotonically_increasing_id()))
+    links_ = _similar(sets.select("*", "first.digest.*"), docs.select(digest.alias("_digest"), "text").select("_digest.*", "text"))
     found = connected_components(written(links_)).withColumnRenamed("node", "id")
     rooted = sets.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.digest.*")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.digest.*", F.lit(True).alias("stays"))
+    # most rows are alone and stay where they are; those that go or are repeated, and what the sieve takes for them, meet the join
+    rows = seen.select("digest.*").groupBy("one", "two").agg(F.count("*").alias("n")).join(chosen, ["one", "two"], "left")
+    touched = written(rows.where("stays is null or n > 1").select("one", "two", F.coalesce("stays", F.lit(False)).alias("stays")))
+    removed(docs.sparkSession, seen_at, sets_at)
     # two columns, not one struct: the join's exchange then serves the grouping too, and whole rows are moved once
-    again = docs.select(row.alias("_row"), digest.alias("_digest")).select("_row", "_digest.*")
-    return again.join(chosen, ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select("_row.*")
+    again = marked(docs.select(row.alias("_row"), digest.alias("_digest")).select("_row", "_digest.*"), touched, "one")
+    met = again.where("_marked").join(touched, ["one", "two"], "left").where("stays is null or stays").dropDuplicates(["one", "two"])
+    return again.where("not _marked").select("_row.*").union(met.select("_row.*"))
