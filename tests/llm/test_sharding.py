@@ -30,6 +30,16 @@ def test_shards(spark):
     check(spark, [(1, None)], 3)
 
 
+def test_partitions_of_several_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        check(spark, [(i % 70 or None, "é" * (i % 7) if i % 3 else None) for i in range(200)], 8)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty(spark):
     assert sharding.shards(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -36,8 +36,8 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
     columns, the total size and the row count. Rows are dealt by ranges of the order columns."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    part = F.spark_partition_id()
-    totals = dealt.groupBy(part.alias("part")).agg(F.sum(size).alias("size"), F.count("*").alias("n")).collect()
+    number = F.spark_partition_id()
+    totals = dealt.groupBy(number.alias("part")).agg(F.sum(size).alias("size"), F.count("*").alias("n")).collect()
     starts, before, position = {}, 0, 0
     for t in sorted(totals):
         starts[t["part"]] = (before, position)
@@ -49,7 +49,8 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
             if not b.num_rows:
                 continue
             columns = dict(zip(b.schema.names, b.columns, strict=True))
-            at = at or starts[columns.pop("_part")[0].as_py()]
+            part = columns.pop("_part")  # of each batch, not of a partition's first alone
+            at = at or starts[part[0].as_py()]
             sizes = columns[size].to_numpy()
             sums = np.cumsum(sizes)
             columns |= {"before": pa.array(at[0] + sums - sizes), "position": pa.array(at[1] + np.arange(len(sizes)))}
@@ -57,7 +58,7 @@ def prefix_sums(rows: DataFrame, order: list[str], size: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", before long, position long"
-    return dealt.withColumn("_part", part).mapInArrow(run, kinds), before, position
+    return dealt.withColumn("_part", number).mapInArrow(run, kinds), before, position
 
 
 def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:
