@@ -199,3 +199,37 @@ def test_rows_that_are_alone_are_not_moved(spark):
         assert moved() - start < 0.4 * sum(len(t) for _, t in rows)
     finally:
         spark.conf.set(name, before)
+
+
+def near_the_limit(rng, groups, copies):
+    """Groups of unequal copies of texts that aren't there themselves; many pairs lie just below the similarity of a link."""
+    rows = []
+    for _ in range(groups):
+        words = [f"w{rng.integers(20000)}" for _ in range(300)]
+        rows += [edited(rng, words, int(rng.integers(3, 6))) for _ in range(copies)]
+    return list(enumerate(rows))
+
+
+def test_links_that_a_forest_of_candidates_passes_by(spark, monkeypatch):
+    rows = near_the_limit(np.random.default_rng(11), 12, 25)
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), brute_kept(rows)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == wanted
+    monkeypatch.setattr(simhash, "MEMBERS", 4)  # groups of several blocks
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(docs).collect()) == wanted
+
+
+def test_links_within_a_forest_of_fingerprints(spark, monkeypatch):
+    """Without the bands: a fingerprint's links are verified although a forest of the bucket goes another way."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = list(enumerate(edited(rng, words, int(rng.integers(4, 8))) for _ in range(60)))
+    sets = [shingle_set(t) for _, t in rows]
+    fps = [simhash._majority(simhash._hashes(t, 5)) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    monkeypatch.setattr(simhash, "_banded", lambda sets: sets.selectExpr("id", "id as other").limit(0))
+    got = {r["doc_id"] for r in simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) <= len(set(comp))

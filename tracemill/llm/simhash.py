@@ -12,7 +12,9 @@ Such texts lie about ten bits apart, out of reach of the keys, so besides the Go
 candidates from bands of minima over a sketch of each set (BANDS x ROWS). In each bucket a member meets the
 nearest by the share of equal minima, and a maximal spanning forest keeps buckets connected, so pairs grow with
 the members and not with their square. Each candidate is verified on the sketches: exactly for sets of up to SKETCH shingles, for longer texts by the SKETCH smallest of the union
-(standard error 0.013). Fewer than five words are one shingle; texts without a word are alike.
+(standard error 0.013). Where verification parts what candidates connected, all pairs between the parts that the minima or
+the fingerprints hold to be alike are verified too, in blocks: a forest of unverified links loses none of them. Fewer than
+five words are one shingle; texts without a word are alike.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows
 keep one row each; a null doc_id gets its group's component; if a group has only null ids, so is its
@@ -328,8 +330,75 @@ def _banded(sets: DataFrame) -> DataFrame:
     return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "id").mapInPandas(run, "id long, other long")
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sketches are those of similar sets, as the verification of candidates takes it."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return len(both) >= SIMILARITY * (len(a) + len(b) - len(both))
+    sample = np.union1d(a, b)[:SKETCH]
+    return int((both <= sample[-1]).sum()) >= SIMILARITY * len(sample)
+
+
+def _between(ids: np.ndarray, parts: np.ndarray, fps: np.ndarray, minima: np.ndarray, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Verified links that connect what is connected between parts, of all pairs that minima or fingerprints hold to be alike."""
+    parts, out = parts.copy(), []
+    for k in range(len(ids) - 1):
+        others = np.flatnonzero(parts[k + 1 :] != parts[k]) + k + 1
+        equal = (minima[others] == minima[k]).sum(axis=1)
+        alike = (equal >= ALIKE) | (np.bitwise_count(fps[others] ^ fps[k]) <= MAX_BITS)
+        for other in others[alike][np.argsort(-equal[alike], kind="stable")]:
+            if parts[other] != parts[k] and _near(sketches[k], sketches[other]):
+                out.append((ids[k], ids[other]))
+                parts[parts == parts[other]] = parts[k]
+    return out
+
+
+def _left_apart(sets: DataFrame, pairs: DataFrame, parts: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(src, dst): verified links between parts of one group. pairs: verified candidates (src, dst); what they connect is
+    a group. parts: (id, part), what those of them that proved similar connect.
+
+    Groups of one part or whose pairs were all verified are done. Of the others the largest part's members meet those of
+    the rest only; members are cut into blocks of MEMBERS, and each pair of blocks is a bucket."""
+    groups = written(connected_components(pairs).toDF("id", "group"))
+    placed = written(groups.join(parts, "id", "left").select("id", "group", F.coalesce("part", "id").alias("part")))
+    verified = pairs.select(F.col("src").alias("id")).join(groups, "id").groupBy("group").agg(F.count("*").alias("pairs"))
+    sizes = placed.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("most"))
+    open_ = sizes.join(verified, "group").where("parts > 1 and pairs < n * (n - 1) div 2")
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("long")
+    open_ = open_.select("group", F.col("most.part").alias("main"), blocks(F.col("most.n")).alias("mine"), blocks(F.col("n") - F.col("most.n")).alias("theirs"))
+    members, main = placed.join(open_, "group"), F.col("part") == F.col("main")
+    own = F.when(main, F.col("theirs") + F.pmod(F.xxhash64("id"), F.col("mine"))).otherwise(F.pmod(F.xxhash64("id"), F.col("theirs")))
+    meets = F.when(main, F.col("theirs")).otherwise(F.col("theirs") + F.col("mine")) - 1
+    dealt = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets)))
+    bucket = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
+    told = sets.select("id", "fp", "minima").join(members.select("id"), "id").join(sketched, "id")
+    placed = dealt.select(bucket.alias("bucket"), "id", "part").join(told, "id")
+    parallel = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links_of(held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, b in held.groupby("bucket", sort=False):
+            minima = np.frombuffer(b"".join(b["minima"]), np.uint8).reshape(-1, BANDS * ROWS)
+            found += _between(b["id"].to_numpy(), b["part"].to_numpy(), b["fp"].to_numpy().view("<u8"), minima, b["sketch"].tolist())
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["src", "dst"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = held["bucket"] == held["bucket"].iloc[-1]  # the last bucket may go on in the next batch
+            yield links_of(held[~last])
+            held = held[last]
+        if held is not None:
+            yield links_of(held)
+
+    return placed.repartition(parallel, "bucket").sortWithinPartitions("bucket", "id").mapInPandas(run, "src long, dst long")
+
+
 def _similar(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): verified links between sets (id, fp, keys, minima, one, two). texts: (one, two, text), one or more a set.
+    """(id, root): what links of SIMILARITY connect, of sets (id, fp, keys, minima, one, two) with a link. texts: (one,
+    two, text), one or more a set.
 
     Sketches are made, from the texts again, for sets with a candidate only: no sketch of other texts is written or moved,
     and of the other texts only those that the sieve takes for one of these are moved."""
@@ -350,7 +419,17 @@ def _similar(sets: DataFrame, texts: DataFrame) -> DataFrame:
     sample = F.slice(F.array_sort(either), 1, SKETCH)
     shared = F.when(whole, F.size(both)).otherwise(F.size(F.array_intersect(sample, both)))
     near = (shared >= SIMILARITY * F.when(whole, F.size(either)).otherwise(F.size(sample))) | (F.size(either) == 0)
-    return pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst")
+    parts = written(connected_components(written(pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst"))).toDF("id", "part"))
+    more = written(_left_apart(sets, pairs, parts, sketched))
+    if more.isEmpty():
+        return parts.withColumnRenamed("part", "root")
+    part = lambda end: parts.toDF(end, f"{end}_part")
+    ends = more.join(part("src"), "src", "left").join(part("dst"), "dst", "left").select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst"))
+    joined = written(connected_components(written(ends)).toDF("part", "root"))
+    # a part of one set is none of parts', so it stands for itself
+    named = parts.join(joined, "part", "left").select("id", F.coalesce("root", "part").alias("root"))
+    alone = joined.join(parts, joined["part"] == parts["id"], "left_anti").select(F.col("part").alias("id"), "root")
+    return named.unionByName(alone)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -365,9 +444,8 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set", "digest")
     told = (F.first(c).alias(c) for c in ("fp", "keys", "minima"))
     sets, sets_at = kept_at(seen.groupBy("set").agg(F.min(order).alias("first"), *told).withColumn("id", F.monotonically_increasing_id()))
-    links_ = _similar(sets.select("*", "first.digest.*"), docs.select(digest.alias("_digest"), "text").select("_digest.*", "text"))
-    found = connected_components(written(links_)).withColumnRenamed("node", "id")
-    rooted = sets.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    found = _similar(sets.select("*", "first.digest.*"), docs.select(digest.alias("_digest"), "text").select("_digest.*", "text"))
+    rooted = sets.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.digest.*", F.lit(True).alias("stays"))
     # most rows are alone and stay where they are; those that go or are repeated, and what the sieve takes for them, meet the join
     rows = seen.select("digest.*").groupBy("one", "two").agg(F.count("*").alias("n")).join(chosen, ["one", "two"], "left")
